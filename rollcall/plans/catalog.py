@@ -85,3 +85,80 @@ def q_profile_by_id(spark, sf_dir):
 @register("profile_display")
 def q_profile_display(spark, sf_dir):
     return S.profile_display(V.users(spark, sf_dir))
+
+
+# -------------------------------------------------------------- identity
+
+from rollcall.operators import identity as I  # noqa: E402
+
+
+def users_existing(spark, sf_dir):
+    """Directory snapshot missing every 7th profile (the back-fill scenario)."""
+    return V.users(spark, sf_dir).where(F.col("id").cast("long") % 7 != 0)
+
+
+def new_identities(spark, sf_dir):
+    """Identities without a profile in ``users_existing``: the sign-up batch."""
+    return V.auth_users(spark, sf_dir).join(users_existing(spark, sf_dir).select("id"), "id", "left_anti")
+
+
+@register("derive_username")
+def q_derive_username(spark, sf_dir):
+    return I.derive_usernames(V.auth_users(spark, sf_dir))
+
+
+@register("profiles_v1")
+def q_profiles_v1(spark, sf_dir):
+    return I.build_profiles(new_identities(spark, sf_dir), users_existing(spark, sf_dir), "v1", as_of_col()).profiles
+
+
+@register("profiles_v2")
+def q_profiles_v2(spark, sf_dir):
+    return I.build_profiles(new_identities(spark, sf_dir), users_existing(spark, sf_dir), "v2", as_of_col()).profiles
+
+
+@register("resolve_collisions")
+def q_resolve_collisions(spark, sf_dir):
+    from rollcall.functions.identity import base_username
+
+    claims = new_identities(spark, sf_dir).select("id", base_username().alias("base"), "created_at")
+    res = I.resolve_collisions(claims, users_existing(spark, sf_dir).select("username"))
+    ok = res.accepted.join(claims.select("id", "base"), "id").select(
+        "id", "base", "username", "attempt", F.lit("ok").alias("status")
+    )
+    bad = res.rejected.select(
+        "id",
+        "base",
+        F.lit(None).cast("string").alias("username"),
+        F.lit(None).cast("long").alias("attempt"),
+        F.lit("rejected").alias("status"),
+    )
+    return ok.unionByName(bad)
+
+
+@register("backfill_missing_profiles")
+def q_backfill_missing_profiles(spark, sf_dir):
+    return I.backfill_missing_profiles(V.auth_users(spark, sf_dir), users_existing(spark, sf_dir), as_of_col())
+
+
+@register("backfill_avatar")
+def q_backfill_avatar(spark, sf_dir):
+    return I.backfill_avatar(V.users(spark, sf_dir), V.auth_users(spark, sf_dir))
+
+
+@register("login_touch")
+def q_login_touch(spark, sf_dir):
+    snap = I.backfill_missing_profiles(V.auth_users(spark, sf_dir), users_existing(spark, sf_dir), as_of_col())
+    return I.login_touch(snap, V.auth_events(spark, sf_dir))
+
+
+@register("cascade_delete")
+def q_cascade_delete(spark, sf_dir):
+    kept = V.auth_users(spark, sf_dir).where(F.col("id").cast("long") % 11 != 0)
+    return I.cascade_delete(V.users(spark, sf_dir), kept)
+
+
+@register("seed_upsert")
+def q_seed_upsert(spark, sf_dir):
+    res = I.seed_upsert(V.seed_batch(spark, sf_dir), V.auth_users(spark, sf_dir), V.users(spark, sf_dir), as_of_col())
+    return res.users

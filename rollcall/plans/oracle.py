@@ -203,3 +203,107 @@ FROM users""",
         "users",
     ),
 }
+
+
+def with_ctes(body: str, views: tuple[str, ...] = (), extra: tuple[str, ...] = ()) -> str:
+    """Views (by name) then extra ``name AS (...)`` CTE texts, then ``body``."""
+    parts = [f"{n} AS ({VIEWS[n]}\n)" for n in views] + list(extra)
+    return ("WITH " + ",\n".join(parts) + "\n" + body) if parts else body
+
+
+_PROFILE_NULLS = "CAST(NULL AS TIMESTAMP) AS last_login"
+_SCENARIO = ("users", "auth_users", "users_existing", "new_identities")
+_CLAIMS_V2 = f"claims AS (SELECT id, {BASE_USERNAME_SQL} AS base, created_at FROM new_identities)"
+_BACKFILL = f"""SELECT id, username, role, created_at, last_login, avatar_url FROM users_existing
+UNION ALL
+SELECT id, {V1_USERNAME_SQL} AS username, 'USER' AS role, coalesce(created_at, {AS_OF_SQL}) AS created_at,
+       {_PROFILE_NULLS}, CAST(NULL AS VARCHAR) AS avatar_url
+FROM auth_users a WHERE NOT EXISTS (SELECT 1 FROM users_existing u WHERE u.id = a.id)"""
+_SEEDS = f"""seeds AS (
+  SELECT * FROM (VALUES ('Bryan', 'USER'), ('Odin', 'ADMIN'), ('Damon', 'USER'), ('Boss', 'SUPER_ADMIN')) v(username, role)
+  UNION ALL
+  SELECT concat('User', c_custkey) AS username,
+         CASE WHEN c_custkey % 4 = 1 THEN 'ADMIN' WHEN c_custkey % 4 = 3 THEN 'SUPER_ADMIN' ELSE 'USER' END AS role
+  FROM customer),
+batch AS (SELECT concat(lower(username), '@app.local') AS email, min(username) AS username,
+                 arg_max(role, {role_rank_sql()}) AS role
+          FROM seeds GROUP BY concat(lower(username), '@app.local')),
+known AS (SELECT lower(email) AS email, min(id) AS id FROM auth_users WHERE email IS NOT NULL GROUP BY lower(email)),
+matched AS (SELECT b.email, k.id, b.role FROM batch b JOIN known k ON k.email = b.email),
+created AS (SELECT md5(b.email) AS id, b.email, concat('{{"username":"', b.username, '"}}') AS raw_user_meta_data,
+                   {AS_OF_SQL} AS created_at, b.role
+            FROM batch b WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.email = b.email)),
+claims AS (SELECT id, {BASE_USERNAME_SQL} AS base, created_at FROM created c
+           WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id = c.id))"""
+
+ORACLE.update(
+    {
+        "derive_username": with_views(
+            f"SELECT id, {BASE_USERNAME_SQL} AS base_username FROM auth_users", "auth_users"
+        ),
+        "profiles_v1": with_views(
+            f"""SELECT id, {V1_USERNAME_SQL} AS username, 'USER' AS role, {AS_OF_SQL} AS created_at,
+       {_PROFILE_NULLS}, CAST(NULL AS VARCHAR) AS avatar_url
+FROM new_identities""",
+            *_SCENARIO,
+        ),
+        "profiles_v2": with_ctes(
+            f"""SELECT r.id, r.username, 'USER' AS role, {AS_OF_SQL} AS created_at, {_PROFILE_NULLS},
+       json_extract_string(n.raw_user_meta_data, '$.avatar_url') AS avatar_url
+FROM resolved r JOIN new_identities n ON n.id = r.id
+WHERE r.username IS NOT NULL""",
+            _SCENARIO,
+            (_CLAIMS_V2, collision_sql("claims", "users_existing")),
+        ),
+        "resolve_collisions": with_ctes(
+            """SELECT id, base, username, CAST(attempt AS BIGINT) AS attempt,
+       CASE WHEN username IS NULL THEN 'rejected' ELSE 'ok' END AS status
+FROM resolved""",
+            _SCENARIO,
+            (_CLAIMS_V2, collision_sql("claims", "users_existing")),
+        ),
+        "backfill_missing_profiles": with_views(_BACKFILL, "users", "auth_users", "users_existing"),
+        "backfill_avatar": with_views(
+            """SELECT u.id, u.username, u.role, u.created_at, u.last_login,
+       coalesce(u.avatar_url, json_extract_string(a.raw_user_meta_data, '$.avatar_url')) AS avatar_url
+FROM users u LEFT JOIN auth_users a ON a.id = u.id""",
+            "users",
+            "auth_users",
+        ),
+        "login_touch": with_ctes(
+            """SELECT s.id, s.username, s.role, s.created_at, greatest(s.last_login, t.touch) AS last_login, s.avatar_url
+FROM snap s LEFT JOIN t ON t.id = s.id""",
+            ("users", "auth_users", "users_existing", "auth_events"),
+            (
+                f"snap AS ({_BACKFILL})",
+                "t AS (SELECT id, max(ts) AS touch FROM auth_events WHERE event = 'SIGNED_IN' GROUP BY id)",
+            ),
+        ),
+        "cascade_delete": with_views(
+            """SELECT id, username, role, created_at, last_login, avatar_url FROM users u
+WHERE EXISTS (SELECT 1 FROM auth_kept a WHERE a.id = u.id)""",
+            "users",
+            "auth_users",
+            "auth_kept",
+        ),
+        "seed_upsert": with_ctes(
+            f"""SELECT s.id, s.username, coalesce(p.role, s.role) AS role, s.created_at, s.last_login, s.avatar_url
+FROM snap s LEFT JOIN patches p ON p.id = s.id""",
+            ("users", "auth_users"),
+            (
+                _SEEDS,
+                collision_sql("claims", "users"),
+                f"""snap AS (
+  SELECT id, username, role, created_at, last_login, avatar_url FROM users
+  UNION ALL
+  SELECT r.id, r.username, 'USER' AS role, {AS_OF_SQL} AS created_at, {_PROFILE_NULLS},
+         json_extract_string(c.raw_user_meta_data, '$.avatar_url') AS avatar_url
+  FROM resolved r JOIN created c ON c.id = r.id WHERE r.username IS NOT NULL)""",
+                """patches AS (
+  SELECT id, role FROM matched WHERE role <> 'USER'
+  UNION ALL
+  SELECT id, role FROM created WHERE role <> 'USER')""",
+            ),
+        ),
+    }
+)
