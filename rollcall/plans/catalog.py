@@ -162,3 +162,78 @@ def q_cascade_delete(spark, sf_dir):
 def q_seed_upsert(spark, sf_dir):
     res = I.seed_upsert(V.seed_batch(spark, sf_dir), V.auth_users(spark, sf_dir), V.users(spark, sf_dir), as_of_col())
     return res.users
+
+
+# ---------------------------------------------------------------- access
+
+from rollcall.operators import access as A  # noqa: E402
+from rollcall.operators import quality as Q  # noqa: E402
+from rollcall.streaming import session_state as SS  # noqa: E402
+
+
+@register("visible_rows_user")
+def q_visible_rows_user(spark, sf_dir):
+    return A.visible_to(V.users(spark, sf_dir), "2")
+
+
+@register("visible_rows_admin")
+def q_visible_rows_admin(spark, sf_dir):
+    return A.visible_to(V.users(spark, sf_dir), "11")
+
+
+@register("visible_counts")
+def q_visible_counts(spark, sf_dir):
+    return A.visible_counts(V.users(spark, sf_dir))
+
+
+@register("permission_flags")
+def q_permission_flags(spark, sf_dir):
+    return A.permission_flags(V.role_requests(spark, sf_dir), V.users(spark, sf_dir))
+
+
+@register("change_roles")
+def q_change_roles(spark, sf_dir):
+    return A.role_change_outcomes(V.role_requests(spark, sf_dir), V.users(spark, sf_dir))
+
+
+@register("change_roles_snapshot")
+def q_change_roles_snapshot(spark, sf_dir):
+    users = V.users(spark, sf_dir)
+    return A.apply_role_changes(users, A.role_change_outcomes(V.role_requests(spark, sf_dir), users))
+
+
+# --------------------------------------------------------------- quality
+
+
+def _flatten_errors(df):
+    return df.select(
+        "form_id",
+        "username",
+        F.array_join("errors", "|").alias("errors"),
+        F.size("errors").cast("long").alias("n_errors"),
+        "valid",
+    )
+
+
+@register("signup_check")
+def q_signup_check(spark, sf_dir):
+    return _flatten_errors(Q.signup_check(V.signup_forms(spark, sf_dir)))
+
+
+@register("login_check")
+def q_login_check(spark, sf_dir):
+    return _flatten_errors(Q.login_check(V.signup_forms(spark, sf_dir)))
+
+
+@register("constraint_report")
+def q_constraint_report(spark, sf_dir):
+    kept = V.auth_users(spark, sf_dir).where(F.col("id").cast("long") % 11 != 0)
+    return Q.constraint_report(V.users(spark, sf_dir), kept)
+
+
+# --------------------------------------------------------------- session
+
+
+@register("session_state")
+def q_session_state(spark, sf_dir):
+    return SS.session_state(SS.latest_events(V.auth_events(spark, sf_dir)), users_existing(spark, sf_dir))

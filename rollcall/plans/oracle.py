@@ -307,3 +307,105 @@ FROM snap s LEFT JOIN patches p ON p.id = s.id""",
         ),
     }
 )
+
+
+_ADMINS = "('ADMIN', 'SUPER_ADMIN')"
+_OUTCOMES = """SELECT request_id, actor_id, target_id, action, status, old_role,
+       CASE WHEN status = 'applied' THEN CASE action WHEN 'promote' THEN 'ADMIN' ELSE 'USER' END
+            ELSE old_role END AS new_role
+FROM (SELECT r.request_id, r.actor_id, r.target_id, r.action, t.role AS old_role,
+             CASE WHEN coalesce(a.role <> 'SUPER_ADMIN', true) THEN 'forbidden'
+                  WHEN t.id IS NULL THEN 'not_found'
+                  WHEN NOT coalesce(r.action IN ('promote', 'demote'), false)
+                       OR t.role <> CASE r.action WHEN 'promote' THEN 'USER' ELSE 'ADMIN' END THEN 'invalid'
+                  ELSE 'applied' END AS status
+      FROM role_requests r
+      LEFT JOIN users a ON a.id = r.actor_id
+      LEFT JOIN users t ON t.id = r.target_id) x"""
+
+
+def _form_check_sql(rules: list[tuple[str, str]]) -> str:
+    cols = ",\n       ".join(f"CASE WHEN {cond} THEN '{msg}' END AS m{i}" for i, (cond, msg) in enumerate(rules))
+    names = [f"m{i}" for i in range(len(rules))]
+    count = " + ".join(f"CAST({n} IS NOT NULL AS BIGINT)" for n in names)
+    return with_views(
+        f"""SELECT form_id, username, concat_ws('|', {", ".join(names)}) AS errors,
+       CAST({count} AS BIGINT) AS n_errors, ({count}) = 0 AS valid
+FROM (SELECT form_id, username,
+       {cols}
+      FROM (SELECT form_id, username, coalesce(username, '') AS u, coalesce(password, '') AS p,
+                   coalesce(confirm_password, '') AS c FROM signup_forms) f) g""",
+        "signup_forms",
+    )
+
+
+_SIGNUP_RULES = [
+    ("length(u) < 3", "Username must be at least 3 characters."),
+    ("length(u) > 20", "Username must be under 20 characters."),
+    ("NOT regexp_full_match(u, '[a-zA-Z0-9_]+')", "Only letters, numbers, and underscores allowed."),
+    ("length(p) < 6", "Password must be at least 6 characters."),
+    ("NOT regexp_matches(p, '[A-Z]')", "Must contain one uppercase letter."),
+    ("NOT regexp_matches(p, '[a-z]')", "Must contain one lowercase letter."),
+    ("NOT regexp_matches(p, '[0-9]')", "Must contain one number."),
+    ("p <> c", "Passwords don''t match"),
+]
+_LOGIN_RULES = [("length(u) < 1", "Username is required."), ("length(p) < 1", "Password is required.")]
+
+_SESSION = f"""SELECT l.id, l.event AS last_event, l.ts AS last_event_at,
+       (l.event = 'SIGNED_IN' AND u.role IS NOT NULL) AS signed_in,
+       CASE WHEN l.event = 'SIGNED_IN' AND u.role IS NOT NULL THEN u.username END AS username,
+       CASE WHEN l.event = 'SIGNED_IN' AND u.role IS NOT NULL THEN u.role END AS role,
+       CASE WHEN l.event = 'SIGNED_IN' AND u.role IS NULL THEN 'Failed to load user profile.' END AS auth_error,
+       CASE WHEN l.event = 'SIGNED_IN' AND u.role IS NOT NULL
+            THEN CASE WHEN u.role IN {_ADMINS} THEN '/admin-dashboard' ELSE '/dashboard' END END AS landing
+FROM (SELECT id, event, ts FROM (
+        SELECT id, event, ts, row_number() OVER (PARTITION BY id ORDER BY ts DESC NULLS LAST, event_id DESC) AS rn
+        FROM auth_events WHERE event IN ('SIGNED_IN', 'SIGNED_OUT') AND id IS NOT NULL) e
+      WHERE rn = 1) l
+LEFT JOIN users_existing u ON u.id = l.id"""
+
+ORACLE.update(
+    {
+        "visible_rows_user": with_views("SELECT * FROM users WHERE id = '2'", "users"),
+        "visible_rows_admin": with_views("SELECT * FROM users", "users"),
+        "visible_counts": with_views(
+            f"""SELECT id AS actor_id,
+       CAST(CASE WHEN role IN {_ADMINS} THEN (SELECT count(*) FROM users) ELSE 1 END AS BIGINT) AS visible_rows
+FROM users""",
+            "users",
+        ),
+        "permission_flags": with_views(
+            f"""SELECT r.request_id, r.actor_id, r.target_id,
+       coalesce(a.role IN {_ADMINS}, false) AS is_admin,
+       coalesce(a.role = 'SUPER_ADMIN', false) AND coalesce(t.role = 'USER', false) AS can_promote,
+       coalesce(a.role = 'SUPER_ADMIN', false) AND coalesce(t.role = 'ADMIN', false) AS can_demote
+FROM role_requests r LEFT JOIN users a ON a.id = r.actor_id LEFT JOIN users t ON t.id = r.target_id""",
+            "users",
+            "role_requests",
+        ),
+        "change_roles": with_views(_OUTCOMES, "users", "role_requests"),
+        "change_roles_snapshot": with_ctes(
+            """SELECT u.id, u.username, coalesce(c.new_role, u.role) AS role, u.created_at, u.last_login, u.avatar_url
+FROM users u LEFT JOIN (SELECT target_id, arg_max(new_role, request_id) AS new_role
+                        FROM outcomes WHERE status = 'applied' GROUP BY target_id) c ON c.target_id = u.id""",
+            ("users", "role_requests"),
+            (f"outcomes AS ({_OUTCOMES})",),
+        ),
+        "signup_check": _form_check_sql(_SIGNUP_RULES),
+        "login_check": _form_check_sql(_LOGIN_RULES),
+        "constraint_report": with_views(
+            f"""SELECT 'id_not_null' AS rule, username AS key FROM users WHERE id IS NULL
+UNION ALL SELECT 'username_not_null', id FROM users WHERE username IS NULL
+UNION ALL SELECT 'username_length', id FROM users WHERE length(username) > 20
+UNION ALL SELECT 'role_enum', id FROM users WHERE role IS NULL OR role NOT IN ('USER', 'ADMIN', 'SUPER_ADMIN')
+UNION ALL SELECT 'id_unique', id FROM users WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'username_unique', username FROM users WHERE username IS NOT NULL GROUP BY username HAVING count(*) > 1
+UNION ALL SELECT 'identity_exists', id FROM users u
+          WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM auth_kept a WHERE a.id = u.id)""",
+            "users",
+            "auth_users",
+            "auth_kept",
+        ),
+        "session_state": with_views(_SESSION, "users", "users_existing", "auth_events"),
+    }
+)

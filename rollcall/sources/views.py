@@ -32,13 +32,15 @@ def _last_click(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base_table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("k"), "c_name", "c_mktsegment"
-    )
+    return customer_keys(base_table(spark, sf_dir, "customer"))
 
 
-def auth_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identity rows: id, email, raw_user_meta_data (JSON), created_at, last_sign_in_at."""
+def auth_users_from(customers: DataFrame, first_order: DataFrame, last_click: DataFrame) -> DataFrame:
+    """Identity rows for the given customer rows (k, c_name, c_mktsegment).
+
+    ``first_order`` (k, created_at) and ``last_click`` (k, last_sign_in_at) are
+    per-customer aggregates; a stream passes them in materialised once.
+    """
     k = F.col("k")
     email = F.when(k % 2 == 0, F.concat(F.lit("User"), k, F.lit("@app.local"))).otherwise(
         F.concat(F.lit("c"), k, F.lit("@example.com"))
@@ -60,9 +62,8 @@ def auth_users(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(r == 3, F.lit('{"name":"--"}'))
     )
     return (
-        _customers(spark, sf_dir)
-        .join(_first_order(spark, sf_dir), "k", "left")
-        .join(_last_click(spark, sf_dir, "last_sign_in_at"), "k", "left")
+        customers.join(first_order, "k", "left")
+        .join(last_click, "k", "left")
         .select(
             k.cast("string").alias("id"),
             email.alias("email"),
@@ -73,6 +74,23 @@ def auth_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_keys(customers: DataFrame) -> DataFrame:
+    return customers.select(F.col("c_custkey").alias("k"), "c_name", "c_mktsegment")
+
+
+def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first_order(spark, sf_dir)
+
+
+def last_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _last_click(spark, sf_dir, "last_sign_in_at")
+
+
+def auth_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity rows: id, email, raw_user_meta_data (JSON), created_at, last_sign_in_at."""
+    return auth_users_from(_customers(spark, sf_dir), first_orders(spark, sf_dir), last_clicks(spark, sf_dir))
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile rows, usernames made unique by appending the id to later claimants."""
     k = F.col("k")
@@ -107,7 +125,11 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def auth_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session events: clicks are sign-ins, errors are sign-outs, the rest other."""
-    events = base_table(spark, sf_dir, "events")
+    return auth_events_from(base_table(spark, sf_dir, "events"))
+
+
+def auth_events_from(events: DataFrame) -> DataFrame:
+    """The session-event projection of raw events (batch or streaming)."""
     kind = F.when(F.col("event_type") == "click", "SIGNED_IN").when(F.col("event_type") == "error", "SIGNED_OUT")
     return events.select(
         "event_id",
