@@ -237,3 +237,49 @@ def q_constraint_report(spark, sf_dir):
 @register("session_state")
 def q_session_state(spark, sf_dir):
     return SS.session_state(SS.latest_events(V.auth_events(spark, sf_dir)), users_existing(spark, sf_dir))
+
+
+# ------------------------------------------------------------- streaming
+
+import os  # noqa: E402
+import uuid  # noqa: E402
+
+from rollcall.session import scratch_path  # noqa: E402
+from rollcall.streaming import jobs as J  # noqa: E402
+
+
+def _stream_dirs(spark, name):
+    run = scratch_path(spark, "streams", f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(run, "out"), os.path.join(run, "checkpoint")
+
+
+@register("session_state_stream")
+def q_session_state_stream(spark, sf_dir):
+    out, ckpt = _stream_dirs(spark, "session")
+    J.run_session_stream(spark, os.path.join(sf_dir, "events.parquet"), out, ckpt)
+    return SS.session_state(J.read_session_latest(spark, out), users_existing(spark, sf_dir))
+
+
+@register("login_touch_stream")
+def q_login_touch_stream(spark, sf_dir):
+    out, ckpt = _stream_dirs(spark, "login")
+    J.run_login_stream(spark, os.path.join(sf_dir, "events.parquet"), out, ckpt)
+    snap = I.backfill_missing_profiles(V.auth_users(spark, sf_dir), users_existing(spark, sf_dir), as_of_col())
+    return J.apply_login_updates(spark, snap, out)
+
+
+@register("profiles_stream")
+def q_profiles_stream(spark, sf_dir):
+    out, ckpt = _stream_dirs(spark, "profiles")
+    rejects = out + "-rejects"
+    J.run_profile_stream(
+        spark,
+        os.path.join(sf_dir, "customer.parquet"),
+        sf_dir,
+        users_existing(spark, sf_dir),
+        out,
+        rejects,
+        ckpt,
+        as_of_col(),
+    )
+    return J.read_batches(spark, out)

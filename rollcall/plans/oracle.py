@@ -409,3 +409,8 @@ UNION ALL SELECT 'identity_exists', id FROM users u
         "session_state": with_views(_SESSION, "users", "users_existing", "auth_events"),
     }
 )
+
+# streaming jobs must agree with their batch counterparts
+ORACLE["session_state_stream"] = ORACLE["session_state"]
+ORACLE["login_touch_stream"] = ORACLE["login_touch"]
+ORACLE["profiles_stream"] = ORACLE["profiles_v2"]

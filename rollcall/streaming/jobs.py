@@ -61,11 +61,19 @@ def read_batches(spark: SparkSession, out: str, below: int | None = None) -> Dat
     return df.drop(BATCH_COL)
 
 
-def event_stream(spark: SparkSession, events_path: str, files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(S.EVENTS)
+def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """A parquet file stream over a directory; a single file streams as its folder filtered to that name."""
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return V.auth_events_from(reader.parquet(events_path))
+    if path.endswith(".parquet"):
+        folder, name = os.path.split(path)
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
+
+
+def event_stream(spark: SparkSession, events_path: str, files_per_trigger: int | None = None) -> DataFrame:
+    return V.auth_events_from(file_stream(spark, events_path, S.EVENTS, files_per_trigger))
 
 
 # ----------------------------------------------------------------- O-37
@@ -124,10 +132,7 @@ def run_profile_stream(
     """
     first_order = durable(V.first_orders(spark, sf_dir))
     last_click = durable(V.last_clicks(spark, sf_dir))
-    reader = spark.readStream.schema(S.CUSTOMER)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    customers = V.customer_keys(reader.parquet(customers_path))
+    customers = V.customer_keys(file_stream(spark, customers_path, S.CUSTOMER, files_per_trigger))
 
     def transform(batch_df: DataFrame, batch_id: int) -> DataFrame:
         identities = V.auth_users_from(batch_df, first_order, last_click)
