@@ -1,0 +1,191 @@
+"""Username cascade, profile rules, collision resolution, back-fills and seeds."""
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from rollcall.functions.identity import base_username, v1_username
+from rollcall.operators import identity as I
+from rollcall.sources.schemas import AUTH_USERS, USERS
+
+D = dt.datetime
+AS_OF = D(2025, 1, 1)
+
+
+def auth_df(spark, rows):
+    return spark.createDataFrame([(r + (None,) * (5 - len(r))) for r in rows], AUTH_USERS)
+
+
+def users_df(spark, rows):
+    return spark.createDataFrame([(r + (None,) * (6 - len(r))) for r in rows], USERS)
+
+
+def meta(**kw):
+    return json.dumps(kw)
+
+
+CASCADE = [
+    # (id, email, meta, expected base)
+    ("0001aaaa-1", "x@y.z", meta(username="  MixedCase "), "mixedcase"),
+    ("0002aaaa-1", "x@y.z", meta(username="Has Space!"), "has space!"),  # step 1 is not sanitised
+    ("0003aaaa-1", "bob@app.local", meta(username="   "), "bob"),  # blank -> skipped
+    ("0004aaaa-1", "x@y.z", meta(username="", name="Jane Doe-Smith"), "jane_doe_smith"),
+    ("0005aaaa-1", "x@y.z", meta(name="", full_name="Good Name"), "user_0005aaaa"),  # '' hides full_name
+    ("0006aaaa-1", "x@y.z", meta(full_name="  --Ann  O'Neil--  "), "ann_oneil"),
+    ("0007aaaa-1", "x@y.z", meta(name="Zoë Ünal"), "zo_nal"),  # non-ASCII letters dropped
+    ("0008aaaa-1", "x@y.z", meta(name="a-b"), "user_0008aaaa"),  # sanitised length 3? 'a_b' is 3
+    ("0009aaaa-1", "x@y.z", meta(name="ab"), "user_0009aaaa"),  # length 2 -> next step
+    ("0010aaaa-1", "Al@app.local", meta(name="ab"), "user_0010aaaa"),  # local part length 2
+    ("0011aaaa-1", "ALI@app.local", None, "ali"),  # local part length 3, lower-cased
+    ("0012aaaa-1", "ali@APP.LOCAL", None, "user_0012aaaa"),  # suffix is case-sensitive
+    ("0013aaaa-1", None, None, "user_0013aaaa"),
+    ("0014aaaa-1", None, '{"username": null}', "user_0014aaaa"),  # JSON null
+    ("0015aaaa-1", None, meta(name="\tTabbed\t"), "tabbed"),
+]
+
+
+def test_cascade_branches(spark):
+    rows = [(i, e, m) for i, e, m, _ in CASCADE]
+    df = auth_df(spark, rows).select("id", base_username().alias("b"))
+    got = {r["id"]: r["b"] for r in df.collect()}
+    expected = {i: b for i, _, _, b in CASCADE}
+    expected["0008aaaa-1"] = "a_b"  # 'a-b' -> 'a_b' has length 3, accepted
+    assert got == expected
+
+
+def test_v1_rule(spark):
+    df = auth_df(spark, [("1", "noatsign", None), ("2", "x@y", meta(username=" Keep ")), ("3", None, None)])
+    got = {r["id"]: r["u"] for r in df.select("id", v1_username().alias("u")).collect()}
+    assert got == {"1": "noatsign", "2": " Keep ", "3": None}
+
+
+def claims_df(spark, rows):
+    return spark.createDataFrame(rows, "id string, base string, created_at timestamp_ntz")
+
+
+def test_collisions_first_claimant_keeps_base(spark):
+    taken = users_df(spark, [("u0", "taken", "USER")]).select("username")
+    claims = claims_df(
+        spark,
+        [
+            ("a", "free", D(2024, 1, 2)),
+            ("b", "free", D(2024, 1, 1)),  # earlier -> keeps 'free'
+            ("c", "free", None),  # null created_at sorts last
+            ("d", "taken", D(2024, 1, 1)),
+        ],
+    )
+    res = I.resolve_collisions(claims, taken)
+    got = {r["id"]: (r["username"], r["attempt"]) for r in res.accepted.collect()}
+    assert got["b"] == ("free", 0)
+    for k in ("a", "c", "d"):
+        name, attempt = got[k]
+        assert attempt >= 1 and name.startswith(("free_", "taken_")) and len(name.split("_")[-1]) == 4
+    names = [v[0] for v in got.values()] + ["taken"]
+    assert len(names) == len(set(names))
+    assert res.rejected.count() == 0
+
+
+def test_collision_candidate_equal_to_another_base(spark):
+    # 'x' is taken; the first retry of 'p' for x is x_<h1>; make that a base claimed by q
+    from rollcall.functions.text import hex_suffix
+
+    h1 = spark.range(1).select(hex_suffix(F.lit("p"), 1).alias("h")).first()["h"]
+    taken = users_df(spark, [("u0", "x", "USER")]).select("username")
+    claims = claims_df(spark, [("p", "x", D(2024, 1, 1)), ("q", f"x_{h1}", D(2024, 1, 2))])
+    got = {r["id"]: (r["username"], r["attempt"]) for r in I.resolve_collisions(claims, taken).accepted.collect()}
+    assert got["q"] == (f"x_{h1}", 0)  # q's own base wins round 0
+    assert got["p"][1] >= 2  # p's first candidate was held by q
+
+
+def test_all_candidates_taken_goes_to_reject(spark):
+    from rollcall.functions.text import hex_suffix
+
+    cands = spark.range(1).select(*[F.concat(F.lit("x_"), hex_suffix(F.lit("p"), k)).alias(f"c{k}") for k in range(1, 11)]).first()
+    taken = users_df(spark, [("u0", "x", "USER")] + [(f"u{k}", cands[f"c{k}"], "USER") for k in range(1, 11)]).select(
+        "username"
+    )
+    res = I.resolve_collisions(claims_df(spark, [("p", "x", D(2024, 1, 1))]), taken)
+    assert res.accepted.count() == 0
+    rej = res.rejected.first()
+    assert rej["id"] == "p" and rej["last_candidate"] == cands["c10"]
+
+
+def test_many_claimants_of_one_base_stay_unique(spark):
+    n = 3000
+    claims = spark.range(n).select(
+        F.format_string("id%05d", "id").alias("id"), F.lit("hot").alias("base"), F.lit(None).cast("timestamp_ntz").alias("created_at")
+    )
+    taken = spark.createDataFrame([("hot",)], "username string")
+    res = I.resolve_collisions(claims, taken)
+    acc = res.accepted
+    assert acc.count() + res.rejected.count() == n
+    assert acc.select("username").distinct().count() == acc.count()
+    assert res.rejected.count() == 0  # 65536 suffixes, 10 tries each: all fit
+
+
+def test_build_profiles_v2_and_v1(spark):
+    users = users_df(spark, [("old", "bob", "ADMIN", D(2020, 1, 1))])
+    auth = auth_df(
+        spark,
+        [
+            ("old", "bob@app.local", meta(username="bob")),  # already has a profile: ignored
+            ("n1", "bob@app.local", meta(username="Bob", avatar_url="http://a/1.png"), D(2024, 1, 1)),
+            ("n2", "z@y.z", meta(name="Zed Zed"), D(2024, 1, 2)),
+            ("n2", "z@y.z", meta(name="Zed Zed"), D(2024, 1, 3)),  # same id twice: first wins
+        ],
+    )
+    v2 = {r["id"]: r for r in I.build_profiles(auth, users, "v2", AS_OF).profiles.collect()}
+    assert set(v2) == {"n1", "n2"}
+    assert v2["n1"]["username"].startswith("bob_") and v2["n1"]["avatar_url"] == "http://a/1.png"
+    assert v2["n2"]["username"] == "zed_zed" and v2["n2"]["role"] == "USER" and v2["n2"]["created_at"] == AS_OF
+    v1 = {r["id"]: r for r in I.build_profiles(auth, users, "v1", AS_OF).profiles.collect()}
+    assert v1["n1"]["username"] == "Bob" and v1["n2"]["username"] == "z"
+
+
+def test_backfills_touch_and_cascade(spark):
+    users = users_df(spark, [("1", "one", "USER", D(2020, 1, 1), D(2024, 5, 1))])
+    auth = auth_df(
+        spark,
+        [
+            ("1", "one@app.local", meta(avatar_url="http://x/1.png"), D(2019, 1, 1)),
+            ("2", "two@example.com", None, None),
+        ],
+    )
+    snap = I.backfill_missing_profiles(auth, users, AS_OF)
+    rows = {r["id"]: r for r in snap.collect()}
+    assert rows["2"]["username"] == "two" and rows["2"]["created_at"] == AS_OF and rows["1"]["created_at"] == D(2020, 1, 1)
+    assert {r["id"]: r["avatar_url"] for r in I.backfill_avatar(snap, auth).collect()} == {"1": "http://x/1.png", "2": None}
+    events = spark.createDataFrame(
+        [(1, "1", D(2024, 4, 1), "SIGNED_IN"), (2, "2", D(2024, 6, 1), "SIGNED_IN"), (3, "2", D(2024, 7, 1), "SIGNED_OUT"),
+         (4, "9", D(2024, 6, 1), "SIGNED_IN")],
+        "event_id long, id string, ts timestamp_ntz, event string",
+    )
+    touched = {r["id"]: r["last_login"] for r in I.login_touch(snap, events).collect()}
+    assert touched == {"1": D(2024, 5, 1), "2": D(2024, 6, 1)}  # never moves back; unknown id ignored
+    assert [r["id"] for r in I.cascade_delete(snap, auth.where("id = '2'")).collect()] == ["2"]
+
+
+def test_seed_is_idempotent(spark):
+    users = users_df(spark, [("e1", "odin", "USER", D(2020, 1, 1))])
+    auth = auth_df(spark, [("e1", "Odin@App.Local", meta(username="Odin"))])
+    seeds = spark.createDataFrame(list(I.REFERENCE_SEEDS), "username string, role string")
+    first = I.seed_upsert(seeds, auth, users, AS_OF)
+    snap1 = sorted(tuple(r) for r in first.users.collect())
+    report = {r["email"]: r["status"] for r in first.report.collect()}
+    assert report["odin@app.local"] == "existing" and report["boss@app.local"] == "created"
+    roles = {r["username"]: r["role"] for r in first.users.collect()}
+    assert roles == {"odin": "ADMIN", "bryan": "USER", "damon": "USER", "boss": "SUPER_ADMIN"}
+    second = I.seed_upsert(seeds, first.auth, first.users, AS_OF)
+    assert sorted(tuple(r) for r in second.users.collect()) == snap1
+    assert second.report.where("status = 'created'").count() == 0
+
+
+@pytest.mark.parametrize("name", ["profiles_v2", "resolve_collisions"])
+def test_v2_usernames_unique_at_sf001(spark, name):
+    from __spark_entry__ import queries
+
+    df = queries()[name](spark, "/root/testdata/sf0.01")
+    ok = df.where(F.col("username").isNotNull())
+    assert ok.select("username").distinct().count() == ok.count()
