@@ -55,10 +55,12 @@ def derive_usernames(auth: DataFrame) -> DataFrame:
 
 def first_per_id(auth: DataFrame) -> DataFrame:
     """O-21 within a batch: one identity row per id, the earliest created (ties: e-mail, metadata)."""
-    cols = auth.columns
+    rest = [c for c in auth.columns if c != "id"]
     order = nulls_last_key(["created_at", "email", "raw_user_meta_data"])
-    picked = auth.groupBy("id").agg(F.min_by(F.struct(*cols), order).alias("_row"))
-    return picked.select("_row.*")
+    picked = auth.groupBy("id").agg(F.min_by(F.struct(*rest), order).alias("_row"))
+    # keep the grouping column itself so the hash partitioning on id carries
+    # into the following join on id (no second shuffle)
+    return picked.select("id", *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
 def insert_ignore(new_rows: DataFrame, target: DataFrame) -> DataFrame:
@@ -72,7 +74,9 @@ class Resolution:
     rejected: DataFrame  # id, base, last_candidate
 
 
-def resolve_collisions(claims: DataFrame, taken: DataFrame, rounds: int = MAX_ATTEMPTS) -> Resolution:
+def resolve_collisions(
+    claims: DataFrame, taken: DataFrame, rounds: int = MAX_ATTEMPTS, stage_input: bool = True
+) -> Resolution:
     """O-27 in set form.
 
     ``claims`` (id, base, created_at): new identities and their base names;
@@ -84,19 +88,27 @@ def resolve_collisions(claims: DataFrame, taken: DataFrame, rounds: int = MAX_AT
     asking for it in that round.  Whoever is left after ``rounds`` rounds is
     returned in ``rejected`` (never as a duplicate name).
 
-    Each round's state is checkpointed in the shared folder; the loop stops
-    as soon as no claimant is waiting.
+    The directory is read once, to drop candidates it already holds; the
+    candidate table is written once; each round reads its own slice and
+    writes only its winners (shared folder: lineage cut, executor loss
+    survivable).  The loop stops as soon as every claimant is served.
     """
     held = taken.select(F.col("username").alias("cand")).where(F.col("cand").isNotNull())
     claims = claims.select("id", "base", "created_at")
+    if stage_input:
+        claims = durable(claims, "claims")
 
+    # round 0: the first claimant of each free base keeps it
     free0 = claims.withColumn("cand", F.col("base")).join(held, "cand", "left_anti")
-    w0 = (
-        free0.join(first_keys(free0, ["cand"], ["created_at"], "id"), "id", "left_semi")
-        .select("id", "cand", "created_at", F.lit(0).cast("long").alias("attempt"), F.lit(True).alias("granted"))
+    w0 = durable(
+        free0.join(first_keys(free0, ["cand"], ["created_at"], "id"), "id", "left_semi").select(
+            "id", "cand", F.lit(0).cast("long").alias("attempt")
+        ),
+        "round0",
     )
-    w0 = durable(w0)
-
+    # all later candidates of everyone else, minus names the directory or
+    # round 0 already hold; written once, partitioned by attempt, so round k
+    # reads only its own slice
     rest = claims.join(w0.select("id"), "id", "left_anti")
     attempt = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(rounds).cast("long"))).alias("attempt")
     cands = rest.select("id", "base", "created_at", attempt).select(
@@ -104,27 +116,31 @@ def resolve_collisions(claims: DataFrame, taken: DataFrame, rounds: int = MAX_AT
         F.concat(F.col("base"), F.lit("_"), hex_suffix(F.col("id"), F.col("attempt"))).alias("cand"),
         "created_at",
         "attempt",
-        F.lit(False).alias("granted"),
     )
     blocked = held.unionByName(w0.select("cand"))
-    # one pass over the directory marks the candidates held by someone already
-    state = durable(cands.join(blocked, "cand", "left_anti"))
+    free = durable(cands.join(blocked, "cand", "left_anti"), "candidates", partition_by="attempt")
 
+    waiting = rest.count()
+    won_so_far = None  # names granted in rounds >= 1 (small: one row per resolved collision)
     for k in range(1, rounds + 1):
-        if state.where(~F.col("granted")).isEmpty():
+        if waiting == 0:
             break
-        granted = state.where(F.col("granted"))
-        waiting = state.where(~F.col("granted"))
-        asking = waiting.where(F.col("attempt") == k).join(granted.select("cand"), "cand", "left_anti")
-        won = asking.join(first_keys(asking, ["cand"], ["created_at"], "id"), "id", "left_semi").withColumn(
-            "granted", F.lit(True)
+        asking = free.where(F.col("attempt") == k)
+        if won_so_far is not None:
+            asking = asking.join(won_so_far.select("id"), "id", "left_anti").join(
+                won_so_far.select("cand"), "cand", "left_anti"
+            )
+        won = durable(
+            asking.join(first_keys(asking, ["cand"], ["created_at"], "id"), "id", "left_semi").select(
+                "id", "cand", "attempt"
+            ),
+            f"round{k}",
         )
-        still = waiting.where(F.col("attempt") > k).join(won.select("id"), "id", "left_anti")
-        state = durable(granted.unionByName(won).unionByName(still))
+        waiting -= won.count()
+        won_so_far = won if won_so_far is None else won_so_far.unionByName(won)
 
-    accepted = w0.unionByName(state.where(F.col("granted"))).select(
-        "id", F.col("cand").alias("username"), "attempt"
-    )
+    granted = w0 if won_so_far is None else w0.unionByName(won_so_far)
+    accepted = granted.select("id", F.col("cand").alias("username"), "attempt")
     rejected = rest.join(accepted.select("id"), "id", "left_anti").select(
         "id",
         "base",
@@ -156,9 +172,9 @@ def build_profiles(
         return BuildResult(rows, rows.limit(0).select("id"))
     if variant != "v2":
         raise ValueError(f"unknown variant {variant!r}")
-    claims = fresh.select("id", base_username().alias("base"), "created_at")
-    res = resolve_collisions(claims, users.select("username"))
-    rows = res.accepted.join(fresh.select("id", avatar_from_meta().alias("avatar")), "id").select(
+    fresh = durable(fresh.select("id", "created_at", base_username().alias("base"), avatar_from_meta().alias("avatar")), "fresh")
+    res = resolve_collisions(fresh, users.select("username"), stage_input=False)
+    rows = res.accepted.join(fresh.select("id", "avatar"), "id").select(
         *profile_frame(F.col("id"), F.col("username"), as_of, F.col("avatar"))
     )
     return BuildResult(rows, res.rejected)

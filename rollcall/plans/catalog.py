@@ -97,9 +97,21 @@ def users_existing(spark, sf_dir):
     return V.users(spark, sf_dir).where(F.col("id").cast("long") % 7 != 0)
 
 
-def new_identities(spark, sf_dir):
+def new_identities(spark, sf_dir, existing=None):
     """Identities without a profile in ``users_existing``: the sign-up batch."""
-    return V.auth_users(spark, sf_dir).join(users_existing(spark, sf_dir).select("id"), "id", "left_anti")
+    existing = users_existing(spark, sf_dir) if existing is None else existing
+    return V.auth_users(spark, sf_dir).join(existing.select("id"), "id", "left_anti")
+
+
+def stored(df, name):
+    """A derived directory table written once, as the stored table it stands for.
+
+    The profile jobs read the directory several times (ids, names); a real
+    deployment scans a stored snapshot, so the derivation is not repeated.
+    """
+    from rollcall.session import durable
+
+    return durable(df, name)
 
 
 @register("derive_username")
@@ -114,15 +126,17 @@ def q_profiles_v1(spark, sf_dir):
 
 @register("profiles_v2")
 def q_profiles_v2(spark, sf_dir):
-    return I.build_profiles(new_identities(spark, sf_dir), users_existing(spark, sf_dir), "v2", as_of_col()).profiles
+    existing = stored(users_existing(spark, sf_dir), "users")
+    return I.build_profiles(new_identities(spark, sf_dir, existing), existing, "v2", as_of_col()).profiles
 
 
 @register("resolve_collisions")
 def q_resolve_collisions(spark, sf_dir):
     from rollcall.functions.identity import base_username
 
-    claims = new_identities(spark, sf_dir).select("id", base_username().alias("base"), "created_at")
-    res = I.resolve_collisions(claims, users_existing(spark, sf_dir).select("username"))
+    existing = stored(users_existing(spark, sf_dir), "users")
+    claims = new_identities(spark, sf_dir, existing).select("id", base_username().alias("base"), "created_at")
+    res = I.resolve_collisions(claims, existing.select("username"))
     ok = res.accepted.join(claims.select("id", "base"), "id").select(
         "id", "base", "username", "attempt", F.lit("ok").alias("status")
     )
@@ -160,7 +174,8 @@ def q_cascade_delete(spark, sf_dir):
 
 @register("seed_upsert")
 def q_seed_upsert(spark, sf_dir):
-    res = I.seed_upsert(V.seed_batch(spark, sf_dir), V.auth_users(spark, sf_dir), V.users(spark, sf_dir), as_of_col())
+    users = stored(V.users(spark, sf_dir), "users")
+    res = I.seed_upsert(V.seed_batch(spark, sf_dir), V.auth_users(spark, sf_dir), users, as_of_col())
     return res.users
 
 
@@ -276,7 +291,7 @@ def q_profiles_stream(spark, sf_dir):
         spark,
         os.path.join(sf_dir, "customer.parquet"),
         sf_dir,
-        users_existing(spark, sf_dir),
+        stored(users_existing(spark, sf_dir), "users"),
         out,
         rejects,
         ckpt,
