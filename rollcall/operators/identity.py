@@ -226,9 +226,17 @@ def cascade_delete(users: DataFrame, auth: DataFrame) -> DataFrame:
 
 
 def existence(users: DataFrame, names: DataFrame, col: str = "username") -> DataFrame:
-    """O-20: for each name, whether a profile already holds it (left_semi / left_anti)."""
-    held = users.select(F.col("username").alias(col)).withColumn("exists", F.lit(True))
-    return names.join(held, col, "left").withColumn("exists", F.coalesce(F.col("exists"), F.lit(False)))
+    """O-20: for each row of ``names``, whether a profile already holds ``names[col]``.
+
+    Usernames are unique in the directory, so this is a lookup; many rows may
+    ask about the same (popular) name, which ``lookup_join`` serves without
+    sending them all to one task.
+    """
+    from rollcall.operators.joins import lookup_join
+
+    held = users.select(F.col("username").alias("_held")).where(F.col("_held").isNotNull())
+    out = lookup_join(names, col, held, "_held", "left")
+    return out.withColumn("taken", F.col("_held").isNotNull()).drop("_held")
 
 
 @dataclass

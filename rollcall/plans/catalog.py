@@ -298,3 +298,40 @@ def q_profiles_stream(spark, sf_dir):
         as_of_col(),
     )
     return J.read_batches(spark, out)
+
+
+# ------------------------------------------------- more reads and sinks
+
+
+@register("seed_report")
+def q_seed_report(spark, sf_dir):
+    users = stored(V.users(spark, sf_dir), "users")
+    return I.seed_upsert(V.seed_batch(spark, sf_dir), V.auth_users(spark, sf_dir), users, as_of_col()).report
+
+
+@register("username_taken")
+def q_username_taken(spark, sf_dir):
+    names = I.derive_usernames(V.auth_users(spark, sf_dir))
+    return I.existence(users_existing(spark, sf_dir), names, "base_username")
+
+
+@register("signup_accounts")
+def q_signup_accounts(spark, sf_dir):
+    from rollcall.functions.identity import signup_email
+
+    checked = Q.signup_check(V.signup_forms(spark, sf_dir)).where(F.col("valid"))
+    return checked.select("form_id", "username", signup_email("username").alias("email"))
+
+
+@register("profile_sink")
+def q_profile_sink(spark, sf_dir):
+    """O-04 / O-05: a snapshot written before the avatar column existed, read
+    back with the column added, back-filled, written as the next version."""
+    from rollcall.sources import snapshots as SN
+    from rollcall.sources.schemas import USERS
+
+    root = scratch_path(spark, "tables", f"users-{uuid.uuid4().hex}")
+    SN.write_snapshot(V.users(spark, sf_dir).drop("avatar_url"), root)
+    before = SN.read_snapshot(spark, root, USERS)
+    SN.write_snapshot(I.backfill_avatar(before, V.auth_users(spark, sf_dir)), root)
+    return SN.read_snapshot(spark, root, USERS)

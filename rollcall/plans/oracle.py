@@ -414,3 +414,26 @@ UNION ALL SELECT 'identity_exists', id FROM users u
 ORACLE["session_state_stream"] = ORACLE["session_state"]
 ORACLE["login_touch_stream"] = ORACLE["login_touch"]
 ORACLE["profiles_stream"] = ORACLE["profiles_v2"]
+
+ORACLE.update(
+    {
+        "seed_report": with_ctes(
+            """SELECT email, id, 'existing' AS status, role FROM matched
+UNION ALL
+SELECT email, id, 'created' AS status, role FROM created""",
+            ("users", "auth_users"),
+            (_SEEDS,),
+        ),
+        "username_taken": with_views(
+            f"""SELECT a.id, a.base_username,
+       EXISTS (SELECT 1 FROM users_existing u WHERE u.username = a.base_username) AS taken
+FROM (SELECT id, {BASE_USERNAME_SQL} AS base_username FROM auth_users) a""",
+            "users",
+            "auth_users",
+            "users_existing",
+        ),
+        "signup_accounts": f"""SELECT form_id, username, concat(username, '@app.local') AS email
+FROM ({_form_check_sql(_SIGNUP_RULES)}) s WHERE valid""",
+        "profile_sink": ORACLE["backfill_avatar"],
+    }
+)
