@@ -173,3 +173,26 @@ def test_positions_over_many_partitions(spark):
     rows = out.select("v", "pos").collect()
     assert sorted(r["pos"] for r in rows) == list(range(1, 5001))
     assert all(r["pos"] == r["v"] + 1 for r in rows)  # v is a permutation of 0..4999
+
+
+def test_positions_with_many_sorted_partitions_descending_nulls(spark):
+    import pyspark.sql.functions as F
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        df = spark.range(0, 3000, numPartitions=5).select(
+            F.format_string("id%05d", "id").alias("id"),
+            F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise((F.col("id") * 7) % 1000).alias("v"),
+        )
+        order = [F.col("v").desc_nulls_first(), F.col("id").asc()]
+        out = with_position(df, order)
+        # the sort really spreads over several partitions here
+        assert df.orderBy(*order).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        got = [r["id"] for r in out.orderBy("pos").collect()]
+        expected = [r["id"] for r in df.orderBy(*order).collect()]
+        assert got == expected
+        assert sorted(r["pos"] for r in out.select("pos").collect()) == list(range(1, 3001))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
