@@ -4,10 +4,11 @@ Rules (from the reference's documentation and UI): a USER sees only their
 own row, ADMIN and SUPER_ADMIN see every row; only a SUPER_ADMIN may change
 roles, and only USER -> ADMIN (promote) or ADMIN -> USER (demote).
 
-Batches of (actor, target) pairs look up the actor's role with
-``lookup_join``: a single actor can file a large share of all requests, so
-hot actors are served by a broadcast of their (few) profile rows instead of
-a shuffle that would put all their requests into one task.
+Batches of (actor, target) pairs look up both roles with ``lookup_join``: a
+single actor can file a large share of all requests (and a target can be
+named by many), so hot keys are served by a broadcast of their (few)
+profile rows instead of a shuffle that would put all their requests into
+one task.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.display import is_admin
-from rollcall.operators.joins import lookup_join
+from rollcall.operators.joins import hot_keys, lookup_join
 from rollcall.operators.search import NotFound, single
 from rollcall.sources.schemas import USER_COLUMNS
 
@@ -71,7 +72,8 @@ def _with_roles(requests: DataFrame, users: DataFrame) -> DataFrame:
     actors = users.select(F.col("id").alias("_actor"), F.col("role").alias("actor_role"))
     targets = users.select(F.col("id").alias("_target"), F.col("role").alias("target_role"))
     out = lookup_join(requests, "actor_id", actors, "_actor", "left").drop("_actor")
-    out = out.join(targets, out["target_id"] == targets["_target"], "left")
+    # hot targets are found on the requests themselves, not on the joined result
+    out = lookup_join(out, "target_id", targets, "_target", "left", hot=hot_keys(requests, "target_id"))
     return out.withColumn("target_found", F.col("_target").isNotNull()).drop("_target")
 
 

@@ -98,11 +98,14 @@ def resolve_collisions(
     if stage_input:
         claims = durable(claims, "claims")
 
-    # round 0: the first claimant of each free base keeps it
-    free0 = claims.withColumn("cand", F.col("base")).join(held, "cand", "left_anti")
+    # round 0: the first claimant of each free base keeps it.  Rank first
+    # (partial aggregate: one row per base), then check only those distinct
+    # bases against the directory, so a base claimed by millions never
+    # meets the directory as millions of rows in one task.
+    firsts = claims.groupBy("base").agg(F.min_by("id", nulls_last_key(["created_at", "id"])).alias("id"))
     w0 = durable(
-        free0.join(first_keys(free0, ["cand"], ["created_at"], "id"), "id", "left_semi").select(
-            "id", "cand", F.lit(0).cast("long").alias("attempt")
+        firsts.join(held.withColumnRenamed("cand", "base"), "base", "left_anti").select(
+            "id", F.col("base").alias("cand"), F.lit(0).cast("long").alias("attempt")
         ),
         "round0",
     )

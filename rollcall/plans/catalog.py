@@ -203,17 +203,17 @@ def q_visible_counts(spark, sf_dir):
 
 @register("permission_flags")
 def q_permission_flags(spark, sf_dir):
-    return A.permission_flags(V.role_requests(spark, sf_dir), V.users(spark, sf_dir))
+    return A.permission_flags(V.role_requests(spark, sf_dir), stored(V.users(spark, sf_dir), "users"))
 
 
 @register("change_roles")
 def q_change_roles(spark, sf_dir):
-    return A.role_change_outcomes(V.role_requests(spark, sf_dir), V.users(spark, sf_dir))
+    return A.role_change_outcomes(V.role_requests(spark, sf_dir), stored(V.users(spark, sf_dir), "users"))
 
 
 @register("change_roles_snapshot")
 def q_change_roles_snapshot(spark, sf_dir):
-    users = V.users(spark, sf_dir)
+    users = stored(V.users(spark, sf_dir), "users")
     return A.apply_role_changes(users, A.role_change_outcomes(V.role_requests(spark, sf_dir), users))
 
 
