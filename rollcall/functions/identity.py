@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rollcall.functions.text import _c, email_local_part, id_prefix_name, is_blank, json_text, sanitize_name
+from rollcall.functions.text import _c, email_local_part, id_prefix_name, is_blank, sanitize_name
 from rollcall.sources.schemas import APP_EMAIL_DOMAIN
 
+# The metadata keys the profile rules read, parsed in one pass per row.  A
+# non-string value comes back as its JSON text (as ``->>`` does), JSON null
+# and missing keys as NULL, and a repeated key keeps its last value, as
+# Postgres JSONB does.  Unused keys are pruned from the parse by Catalyst.
+META_SCHEMA = "username string, name string, full_name string, avatar_url string"
+
+
+def meta_fields(meta: str | Column = "raw_user_meta_data") -> Column:
+    return F.from_json(_c(meta), META_SCHEMA)
+
 
 def base_username(
     meta: str | Column = "raw_user_meta_data", email: str | Column = "email", id_col: str | Column = "id"
@@ -20,10 +30,10 @@ def base_username(
     3. An ``@app.local`` e-mail whose local part has length >= 3, lower-cased.
     4. ``'user_'`` + the first 8 characters of the id.
     """
-    meta, email, id_col = _c(meta), _c(email), _c(id_col)
-    given = json_text(meta, "username")
+    fields, email, id_col = meta_fields(meta), _c(email), _c(id_col)
+    given = fields.getField("username")
     step1 = F.when(~is_blank(given), F.lower(F.trim(given)))
-    display = F.coalesce(json_text(meta, "name"), json_text(meta, "full_name"))
+    display = F.coalesce(fields.getField("name"), fields.getField("full_name"))
     clean = sanitize_name(display)
     step2 = F.when(~is_blank(display) & (F.char_length(clean) >= 3), clean)
     local = email_local_part(email)
@@ -35,11 +45,11 @@ def base_username(
 
 def v1_username(meta: str | Column = "raw_user_meta_data", email: str | Column = "email") -> Column:
     """The earlier rule: metadata ``username`` as is, else the e-mail local part."""
-    return F.coalesce(json_text(_c(meta), "username"), email_local_part(_c(email)))
+    return F.coalesce(meta_fields(meta).getField("username"), email_local_part(_c(email)))
 
 
 def avatar_from_meta(meta: str | Column = "raw_user_meta_data") -> Column:
-    return json_text(_c(meta), "avatar_url")
+    return meta_fields(meta).getField("avatar_url")
 
 
 def seed_email(username: str | Column = "username") -> Column:

@@ -43,6 +43,8 @@ CASCADE = [
     ("0013aaaa-1", None, None, "user_0013aaaa"),
     ("0014aaaa-1", None, '{"username": null}', "user_0014aaaa"),  # JSON null
     ("0015aaaa-1", None, meta(name="\tTabbed\t"), "tabbed"),
+    ("0016aaaa-1", None, '{"username": "first", "username": "Last"}', "last"),  # JSONB keeps the last key
+    ("0017aaaa-1", None, '{"username": 42}', "42"),  # ->> gives a number's text
 ]
 
 
