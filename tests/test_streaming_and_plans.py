@@ -62,6 +62,19 @@ def test_profile_stream_over_several_batches_keeps_names_unique(spark, scratch):
     assert rows(made.select("id")) == rows(expected_ids)
     everyone = base.select("username").unionByName(made.select("username"))
     assert everyone.distinct().count() == everyone.count()
+    # running again on the same checkpoint is a no-op (exactly once)
+    before = rows(made)
+    J.run_profile_stream(spark, folder, SF, base, out, rej, ckpt, C.as_of_col(), files_per_trigger=1)
+    assert rows(J.read_batches(spark, out)) == before
+
+
+def test_visible_rows_are_a_subset(spark):
+    from rollcall.operators import access as A
+
+    users = V.users(spark, "/root/testdata/sf0.001")
+    for actor in ("2", "11", "50", "no-such-user"):
+        seen = A.visible_to(users, actor)
+        assert seen.join(users, list(users.columns), "left_anti").count() == 0
 
 
 def test_snapshot_versions(spark, scratch):
