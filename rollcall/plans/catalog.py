@@ -8,14 +8,25 @@ full order) so that an order-insensitive comparison still checks the sort.
 from __future__ import annotations
 
 import datetime as dt
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.functions.identity import base_username, signup_email
+from rollcall.operators import access as A
+from rollcall.operators import identity as I
+from rollcall.operators import quality as Q
 from rollcall.operators import search as S
 from rollcall.plans.positions import with_position
+from rollcall.session import durable, scratch_path
+from rollcall.sources import snapshots as SN
 from rollcall.sources import views as V
+from rollcall.sources.schemas import USERS
+from rollcall.streaming import jobs as J
+from rollcall.streaming import session_state as SS
 
 AS_OF = dt.datetime(2025, 1, 1, 0, 0, 0)
 
@@ -89,7 +100,6 @@ def q_profile_display(spark, sf_dir):
 
 # -------------------------------------------------------------- identity
 
-from rollcall.operators import identity as I  # noqa: E402
 
 
 def users_existing(spark, sf_dir):
@@ -109,8 +119,6 @@ def stored(df, name):
     The profile jobs read the directory several times (ids, names); a real
     deployment scans a stored snapshot, so the derivation is not repeated.
     """
-    from rollcall.session import durable
-
     return durable(df, name)
 
 
@@ -132,8 +140,6 @@ def q_profiles_v2(spark, sf_dir):
 
 @register("resolve_collisions")
 def q_resolve_collisions(spark, sf_dir):
-    from rollcall.functions.identity import base_username
-
     existing = stored(users_existing(spark, sf_dir), "users")
     claims = new_identities(spark, sf_dir, existing).select("id", base_username().alias("base"), "created_at")
     res = I.resolve_collisions(claims, existing.select("username"))
@@ -181,9 +187,6 @@ def q_seed_upsert(spark, sf_dir):
 
 # ---------------------------------------------------------------- access
 
-from rollcall.operators import access as A  # noqa: E402
-from rollcall.operators import quality as Q  # noqa: E402
-from rollcall.streaming import session_state as SS  # noqa: E402
 
 
 @register("visible_rows_user")
@@ -256,11 +259,7 @@ def q_session_state(spark, sf_dir):
 
 # ------------------------------------------------------------- streaming
 
-import os  # noqa: E402
-import uuid  # noqa: E402
 
-from rollcall.session import scratch_path  # noqa: E402
-from rollcall.streaming import jobs as J  # noqa: E402
 
 
 def _stream_dirs(spark, name):
@@ -317,8 +316,6 @@ def q_username_taken(spark, sf_dir):
 
 @register("signup_accounts")
 def q_signup_accounts(spark, sf_dir):
-    from rollcall.functions.identity import signup_email
-
     checked = Q.signup_check(V.signup_forms(spark, sf_dir)).where(F.col("valid"))
     return checked.select("form_id", "username", signup_email("username").alias("email"))
 
@@ -327,9 +324,6 @@ def q_signup_accounts(spark, sf_dir):
 def q_profile_sink(spark, sf_dir):
     """O-04 / O-05: a snapshot written before the avatar column existed, read
     back with the column added, back-filled, written as the next version."""
-    from rollcall.sources import snapshots as SN
-    from rollcall.sources.schemas import USERS
-
     root = scratch_path(spark, "tables", f"users-{uuid.uuid4().hex}")
     SN.write_snapshot(V.users(spark, sf_dir).drop("avatar_url"), root)
     before = SN.read_snapshot(spark, root, USERS)
