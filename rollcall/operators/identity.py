@@ -265,8 +265,15 @@ def seed_upsert(seeds: DataFrame, auth: DataFrame, users: DataFrame, as_of: dt.d
         .groupBy("email")
         .agg(F.min("username").alias("username"), F.max_by("role", role_rank("role")).alias("role"))
     )
-    known = auth.select(F.lower(F.col("email")).alias("email"), F.col("id")).where(F.col("email").isNotNull())
-    known = known.groupBy("email").agg(F.min("id").alias("id"))
+    # only identities whose e-mail is in the batch: a small batch then never
+    # shuffles the identity table (the semi join can broadcast the batch)
+    known = (
+        auth.select(F.lower(F.col("email")).alias("email"), F.col("id"))
+        .where(F.col("email").isNotNull())
+        .join(batch.select("email"), "email", "left_semi")
+        .groupBy("email")
+        .agg(F.min("id").alias("id"))
+    )
     matched = batch.join(known, "email", "inner")
     created = batch.join(known, "email", "left_anti").select(
         F.md5(F.col("email")).alias("id"),

@@ -30,8 +30,19 @@ def _batch_dir(out: str, batch_id: int) -> str:
     return os.path.join(out, f"{BATCH_COL}={batch_id}")
 
 
+# Per-user state can reach one row per account; RocksDB keeps it off the JVM
+# heap and checkpoints it incrementally.  Applied only to new checkpoints.
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _use_rocksdb(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def _run(stream_df: DataFrame, out: str, checkpoint: str, mode: str, transform=None, max_wait: float | None = None):
     """Start a stream that writes each batch under ``out``; run it to the end of the input."""
+    _use_rocksdb(stream_df.sparkSession)
 
     def sink(batch_df: DataFrame, batch_id: int) -> None:
         result = transform(batch_df, batch_id) if transform else batch_df
