@@ -58,6 +58,7 @@ SEARCHES = {
     "search_fallback_sort": S.SearchRequest(sort_by="lastLogin", sort_dir="asc"),
     "search_mapped_sort": S.SearchRequest(sort_by="lastLogin", sort_aliases="mapped"),
     "search_wildcard": S.SearchRequest(q="r_0"),
+    "search_literal": S.SearchRequest(q="r_0", literal=True),
     "sort_role_enum": S.SearchRequest(sort_by="role", sort_dir="asc"),
     "sort_last_login_nulls": S.SearchRequest(sort_by="last_login", sort_dir="asc"),
 }

@@ -183,6 +183,7 @@ ORACLE: dict[str, str] = {
     "search_fallback_sort": search_sql("", "created_at ASC NULLS LAST"),
     "search_mapped_sort": search_sql("", "last_login DESC NULLS FIRST"),
     "search_wildcard": search_sql("username ILIKE '%r_0%'"),
+    "search_literal": search_sql("username ILIKE '%r\\_0%' ESCAPE '\\'"),
     "sort_role_enum": search_sql("", f"{role_rank_sql()} ASC NULLS LAST"),
     "sort_last_login_nulls": search_sql("", "last_login ASC NULLS LAST"),
     "list_directory": with_views(

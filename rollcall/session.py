@@ -52,7 +52,13 @@ def shared_dir(spark: SparkSession) -> str:
     Read from the session; only a local session without one gets a fresh
     scratch folder, since a machine-local folder is useless on a cluster.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a client session (Spark Connect) has no SparkContext
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder") from None
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current

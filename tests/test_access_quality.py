@@ -89,6 +89,9 @@ def test_lookup_join_with_a_hot_key(spark, people):
     assert out.where("role = 'SUPER_ADMIN'").count() == 2000
     plain = reqs.join(dim, reqs["actor_id"] == dim["id"], "left")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, plain.collect()))
+    # the hot key's rows are joined against a broadcast of its own dimension row
+    plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+    assert "BroadcastExchange" in plan and "Union" in plan
 
 
 def forms(spark, rows):
