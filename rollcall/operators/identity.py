@@ -121,9 +121,10 @@ def resolve_collisions(
         "attempt",
     )
     blocked = held.unionByName(w0.select("cand"))
-    free = durable(cands.join(blocked, "cand", "left_anti"), "candidates", partition_by="attempt")
-
     waiting = rest.count()
+    if waiting:
+        free = durable(cands.join(blocked, "cand", "left_anti"), "candidates", partition_by="attempt")
+
     won_so_far = None  # names granted in rounds >= 1 (small: one row per resolved collision)
     for k in range(1, rounds + 1):
         if waiting == 0:
