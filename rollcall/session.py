@@ -76,6 +76,14 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(shared_dir(spark), "rollcall", *parts)
 
 
+def _app_id(spark: SparkSession) -> str:
+    """Staged tables of one application share a folder, to be dropped when it ends."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # client sessions expose no SparkContext
+        return spark.conf.get("spark.app.id", "session")
+
+
 def durable(df: DataFrame, name: str = "stage", partition_by: str | None = None) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared folder and cut its lineage.
 
@@ -86,7 +94,7 @@ def durable(df: DataFrame, name: str = "stage", partition_by: str | None = None)
     the data must outlive the loss of the executor that computed it.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, "stage", f"{name}-{uuid.uuid4().hex}")
+    path = scratch_path(spark, "stage", _app_id(spark), f"{name}-{uuid.uuid4().hex}")
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     # read back with the known schema: types stay exact (a partition column
