@@ -55,11 +55,32 @@ def canon_rows(columns, rows):
     return sorted(tuple(_canon(r[i]) for i in order) for r in rows), [columns[i] for i in order]
 
 
+SPARK_TO_DUCK = {
+    "StringType()": "VARCHAR",
+    "LongType()": "BIGINT",
+    "IntegerType()": "INTEGER",
+    "BooleanType()": "BOOLEAN",
+    "TimestampNTZType()": "TIMESTAMP",
+    "TimestampType()": "TIMESTAMP WITH TIME ZONE",
+    "DoubleType()": "DOUBLE",
+}
+
+
 def spark_rows(df):
     cols = df.columns
     return cols, [tuple(r) for r in df.collect()]
 
 
+def type_mismatches(df, con, sql):
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE ({sql})").fetchall()}
+    out = []
+    for f in df.schema.fields:
+        mine = SPARK_TO_DUCK.get(repr(f.dataType), repr(f.dataType))
+        if duck_types.get(f.name) != mine:
+            out.append((f.name, mine, duck_types.get(f.name)))
+    return out
+
+
 def duck_rows(con, sql):
     rel = con.execute(sql)
     cols = [d[0] for d in rel.description]
@@ -71,11 +92,15 @@ def compare(spark, sf_dir: str, name: str, con=None) -> tuple[bool, str]:
 
     con = con or duck(sf_dir)
     t0 = time.time()
-    s_cols, s_rows = spark_rows(queries()[name](spark, sf_dir))
+    df = queries()[name](spark, sf_dir)
+    s_cols, s_rows = spark_rows(df)
     t1 = time.time()
     sql = oracle_sql().get(name)
     if sql is None:
         return True, f"{name}: rows-only ({len(s_rows)} rows, {t1 - t0:.1f}s)"
+    wrong = type_mismatches(df, con, sql)
+    if wrong:
+        return False, f"{name}: column types differ {wrong}"
     d_cols, d_rows = duck_rows(con, sql)
     a, ac = canon_rows(s_cols, s_rows)
     b, bc = canon_rows(d_cols, d_rows)
