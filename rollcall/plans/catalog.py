@@ -328,5 +328,5 @@ def q_profile_sink(spark, sf_dir):
     root = scratch_path(spark, "tables", f"users-{uuid.uuid4().hex}")
     SN.write_snapshot(V.users(spark, sf_dir).drop("avatar_url"), root)
     before = SN.read_snapshot(spark, root, USERS)
-    SN.write_snapshot(I.backfill_avatar(before, V.auth_users(spark, sf_dir)), root)
+    SN.write_snapshot(I.backfill_avatar(before, V.auth_users(spark, sf_dir)), root, cluster_by="id")
     return SN.read_snapshot(spark, root, USERS)

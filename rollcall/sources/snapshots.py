@@ -39,12 +39,19 @@ def current_version(spark: SparkSession, root: str) -> int | None:
     return int(row[0]) if row else None
 
 
-def write_snapshot(df: DataFrame, root: str, version: int | None = None) -> int:
-    """Write ``df`` as a new version and move the pointer to it; returns the version."""
+def write_snapshot(df: DataFrame, root: str, version: int | None = None, cluster_by: str | None = None) -> int:
+    """Write ``df`` as a new version and move the pointer to it; returns the version.
+
+    ``cluster_by`` (e.g. ``"id"``) range-partitions and sorts the version by
+    that column, so each file and row group covers a narrow key range and a
+    key lookup (O-13) skips the rest by their min/max statistics.
+    """
     spark = df.sparkSession
     if version is None:
         latest = current_version(spark, root)
         version = 0 if latest is None else latest + 1
+    if cluster_by:
+        df = df.repartitionByRange(cluster_by).sortWithinPartitions(cluster_by)
     df.write.mode("overwrite").parquet(version_path(root, version))
     spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("overwrite").text(
         os.path.join(root, POINTER)

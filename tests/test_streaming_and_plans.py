@@ -86,6 +86,17 @@ def test_snapshot_versions(spark, scratch):
     assert cur.first()["role"] == "ADMIN" and "avatar_url" in cur.columns  # O-05 additive column
 
 
+def test_clustered_snapshot_lookup_is_pushed(spark, scratch):
+    root = os.path.join(scratch, "users")
+    users = V.users(spark, "/root/testdata/sf0.01")
+    SN.write_snapshot(users, root, cluster_by="id")
+    snap = SN.read_snapshot(spark, root, USERS)
+    assert rows(snap) == rows(users)
+    lookup = S.by_id(snap, "7")
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id,7)]" in plan_text(lookup)
+    assert lookup.count() == 1
+
+
 def plan_text(df):
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
