@@ -81,6 +81,16 @@ def type_mismatches(df, con, sql):
     return out
 
 
+# Plan nodes no registered query may contain: pairs of everything (cross
+# joins) and row-at-a-time or Arrow Python evaluation.
+FORBIDDEN_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
+
+
+def plan_problems(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [node for node in FORBIDDEN_NODES if node in plan]
+
+
 def duck_rows(con, sql):
     rel = con.execute(sql)
     cols = [d[0] for d in rel.description]
@@ -95,6 +105,9 @@ def compare(spark, sf_dir: str, name: str, con=None) -> tuple[bool, str]:
     df = queries()[name](spark, sf_dir)
     s_cols, s_rows = spark_rows(df)
     t1 = time.time()
+    bad_nodes = plan_problems(df)
+    if bad_nodes:
+        return False, f"{name}: plan contains {bad_nodes}"
     sql = oracle_sql().get(name)
     if sql is None:
         return True, f"{name}: rows-only ({len(s_rows)} rows, {t1 - t0:.1f}s)"
