@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.text import _c, email_local_part, id_prefix_name, is_blank, sanitize_name
@@ -43,6 +43,41 @@ def base_username(
     return F.coalesce(step1, step2, step3, id_prefix_name(id_col))
 
 
+def add_base_username(
+    df: DataFrame,
+    out: str = "base_username",
+    meta: str = "raw_user_meta_data",
+    email: str = "email",
+    id_col: str = "id",
+    avatar: str | None = None,
+) -> DataFrame:
+    """O-25 on a DataFrame, with each costly piece evaluated once per row.
+
+    Written as one expression, the cascade re-parses the JSON and re-runs the
+    sanitising regexes inside its branches (subexpression elimination does
+    not reach into CASE / COALESCE branches).  Here the parsed metadata and
+    the sanitised name are their own projection steps; Catalyst does not
+    merge a projection when that would repeat an expensive expression, so
+    each is computed once.  ``avatar`` optionally names a column for the
+    metadata's avatar_url, read from the same parse.
+    """
+    d = df.withColumn("_meta", meta_fields(meta))
+    d = d.withColumn("_display", F.coalesce(F.col("_meta.name"), F.col("_meta.full_name")))
+    d = d.withColumn("_clean", sanitize_name("_display"))
+    given = F.col("_meta.username")
+    display, clean, email_c = F.col("_display"), F.col("_clean"), F.col(email)
+    step1 = F.when(~is_blank(given), F.lower(F.trim(given)))
+    step2 = F.when(~is_blank(display) & (F.char_length(clean) >= 3), clean)
+    local = email_local_part(email_c)
+    step3 = F.when(
+        email_c.isNotNull() & email_c.endswith(APP_EMAIL_DOMAIN) & (F.char_length(local) >= 3), F.lower(local)
+    )
+    d = d.withColumn(out, F.coalesce(step1, step2, step3, id_prefix_name(id_col)))
+    if avatar:
+        d = d.withColumn(avatar, F.col("_meta.avatar_url"))
+    return d.drop("_meta", "_display", "_clean")
+
+
 def v1_username(meta: str | Column = "raw_user_meta_data", email: str | Column = "email") -> Column:
     """The earlier rule: metadata ``username`` as is, else the e-mail local part."""
     return F.coalesce(meta_fields(meta).getField("username"), email_local_part(_c(email)))

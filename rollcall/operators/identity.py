@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.display import role_rank
-from rollcall.functions.identity import avatar_from_meta, base_username, seed_email, v1_username
+from rollcall.functions.identity import add_base_username, avatar_from_meta, seed_email, v1_username
 from rollcall.functions.text import hex_suffix
 from rollcall.operators.joins import first_keys, nulls_last_key
 from rollcall.session import durable
@@ -50,7 +50,7 @@ def profile_frame(
 
 def derive_usernames(auth: DataFrame) -> DataFrame:
     """O-25 for every identity: (id, base_username)."""
-    return auth.select("id", base_username().alias("base_username"))
+    return add_base_username(auth.select("id", "email", "raw_user_meta_data")).select("id", "base_username")
 
 
 def first_per_id(auth: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def build_profiles(
         return BuildResult(rows, rows.limit(0).select("id"))
     if variant != "v2":
         raise ValueError(f"unknown variant {variant!r}")
-    fresh = durable(fresh.select("id", "created_at", base_username().alias("base"), avatar_from_meta().alias("avatar")), "fresh")
+    fresh = durable(add_base_username(fresh, "base", avatar="avatar").select("id", "created_at", "base", "avatar"), "fresh")
     res = resolve_collisions(fresh, users.select("username"), stage_input=False)
     rows = res.accepted.join(fresh.select("id", "avatar"), "id").select(
         *profile_frame(F.col("id"), F.col("username"), as_of, F.col("avatar"))

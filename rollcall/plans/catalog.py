@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.functions.identity import base_username, signup_email
+from rollcall.functions.identity import add_base_username, signup_email
 from rollcall.operators import access as A
 from rollcall.operators import identity as I
 from rollcall.operators import quality as Q
@@ -142,7 +142,7 @@ def q_profiles_v2(spark, sf_dir):
 @register("resolve_collisions")
 def q_resolve_collisions(spark, sf_dir):
     existing = stored(users_existing(spark, sf_dir), "users")
-    claims = new_identities(spark, sf_dir, existing).select("id", base_username().alias("base"), "created_at")
+    claims = add_base_username(new_identities(spark, sf_dir, existing), "base").select("id", "base", "created_at")
     res = I.resolve_collisions(claims, existing.select("username"))
     ok = res.accepted.join(claims.select("id", "base"), "id").select(
         "id", "base", "username", "attempt", F.lit("ok").alias("status")

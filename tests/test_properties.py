@@ -13,7 +13,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from rollcall.functions.identity import base_username
+from rollcall.functions.identity import add_base_username, base_username
 from rollcall.functions.text import like_pattern
 from rollcall.operators import identity as I
 from rollcall.sources.schemas import AUTH_USERS
@@ -67,8 +67,10 @@ def test_cascade_matches_model(spark):
         rows.append((f"{i:08d}-{rng.randint(0, 99)}", email, meta))
     df = spark.createDataFrame([r + (None, None) for r in rows], AUTH_USERS)
     got = {r["id"]: r["b"] for r in df.select("id", base_username().alias("b")).collect()}
+    staged = {r["id"]: r["b"] for r in add_base_username(df, "b").select("id", "b").collect()}
     for id_, email, meta in rows:
         assert got[id_] == model_base(meta, email, id_), (id_, email, meta)
+        assert staged[id_] == got[id_], (id_, email, meta)
 
 
 def suffix(id_, k):
