@@ -63,19 +63,18 @@ def add_base_username(
     """
     d = df.withColumn("_meta", meta_fields(meta))
     d = d.withColumn("_display", F.coalesce(F.col("_meta.name"), F.col("_meta.full_name")))
-    d = d.withColumn("_clean", sanitize_name("_display"))
+    d = d.withColumn("_clean", sanitize_name("_display")).withColumn("_local", email_local_part(email))
     given = F.col("_meta.username")
-    display, clean, email_c = F.col("_display"), F.col("_clean"), F.col(email)
+    display, clean, email_c, local = F.col("_display"), F.col("_clean"), F.col(email), F.col("_local")
     step1 = F.when(~is_blank(given), F.lower(F.trim(given)))
     step2 = F.when(~is_blank(display) & (F.char_length(clean) >= 3), clean)
-    local = email_local_part(email_c)
     step3 = F.when(
         email_c.isNotNull() & email_c.endswith(APP_EMAIL_DOMAIN) & (F.char_length(local) >= 3), F.lower(local)
     )
     d = d.withColumn(out, F.coalesce(step1, step2, step3, id_prefix_name(id_col)))
     if avatar:
         d = d.withColumn(avatar, F.col("_meta.avatar_url"))
-    return d.drop("_meta", "_display", "_clean")
+    return d.drop("_meta", "_display", "_clean", "_local")
 
 
 def v1_username(meta: str | Column = "raw_user_meta_data", email: str | Column = "email") -> Column:
