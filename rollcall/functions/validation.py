@@ -27,8 +27,14 @@ USERNAME_PATTERN = r"^[a-zA-Z0-9_]+\z"
 
 
 def _messages(rules: list[tuple[Column, str]]) -> Column:
-    arr = F.array(*[F.when(bad, F.lit(msg)) for bad, msg in rules])
-    return F.filter(arr, lambda m: m.isNotNull())
+    """Messages of the failed rules, in rule order.
+
+    Passing rules yield "" and ``array_remove`` drops them (messages are never
+    empty).  This stays in generated code; dropping NULLs with ``filter`` /
+    ``array_compact`` is a lambda function and about twice as slow.
+    """
+    arr = F.array(*[F.when(bad, F.lit(msg)).otherwise(F.lit("")) for bad, msg in rules])
+    return F.array_remove(arr, "")
 
 
 def signup_errors(
