@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.display import is_admin
-from rollcall.operators.joins import hot_keys, lookup_join
+from rollcall.operators.joins import hot_keys_by_column, lookup_join
 from rollcall.operators.search import NotFound, single
 from rollcall.sources.schemas import USER_COLUMNS
 
@@ -71,9 +71,10 @@ def visible_counts(users: DataFrame) -> DataFrame:
 def _with_roles(requests: DataFrame, users: DataFrame) -> DataFrame:
     actors = users.select(F.col("id").alias("_actor"), F.col("role").alias("actor_role"))
     targets = users.select(F.col("id").alias("_target"), F.col("role").alias("target_role"))
-    out = lookup_join(requests, "actor_id", actors, "_actor", "left").drop("_actor")
-    # hot targets are found on the requests themselves, not on the joined result
-    out = lookup_join(out, "target_id", targets, "_target", "left", hot=hot_keys(requests, "target_id"))
+    # hot actors and targets are found in one pass over the requests themselves
+    hot = hot_keys_by_column(requests, ["actor_id", "target_id"])
+    out = lookup_join(requests, "actor_id", actors, "_actor", "left", hot=hot["actor_id"]).drop("_actor")
+    out = lookup_join(out, "target_id", targets, "_target", "left", hot=hot["target_id"])
     return out.withColumn("target_found", F.col("_target").isNotNull()).drop("_target")
 
 

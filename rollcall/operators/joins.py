@@ -73,6 +73,36 @@ def hot_keys(df: DataFrame, key: str, fraction: float = HOT_FRACTION) -> list:
     return [r[0] for r in rows]
 
 
+def hot_keys_by_column(df: DataFrame, cols: Sequence[str], fraction: float = HOT_FRACTION) -> dict[str, list]:
+    """``hot_keys`` for several key columns of the same type in one aggregation pass.
+
+    Returns at most ``1 / fraction`` keys per column.
+    """
+    types = {df.schema[c].dataType for c in cols}
+    if len(types) != 1:
+        return {c: hot_keys(df, c, fraction) for c in cols}
+    total = df.count()
+    if total == 0:
+        return {c: [] for c in cols}
+    threshold = max(2, int(total * fraction))
+    pairs = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("key")) for c in cols])).alias("p")
+    ).select("p.col", "p.key")
+    rows = (
+        pairs.where(F.col("key").isNotNull())
+        .groupBy("col", "key")
+        .count()
+        .where(F.col("count") >= threshold)
+        .select("col", "key")
+        .limit(len(cols) * (int(1 / fraction) + 1))
+        .collect()
+    )
+    out: dict[str, list] = {c: [] for c in cols}
+    for r in rows:
+        out[r["col"]].append(r["key"])
+    return out
+
+
 def lookup_join(
     facts: DataFrame,
     fact_key: str,

@@ -7,7 +7,7 @@ import pytest
 from rollcall.functions import validation as M
 from rollcall.operators import access as A
 from rollcall.operators import quality as Q
-from rollcall.operators.joins import hot_keys, lookup_join
+from rollcall.operators.joins import hot_keys, hot_keys_by_column, lookup_join
 from rollcall.sources.schemas import USERS
 
 D = dt.datetime
@@ -83,6 +83,8 @@ def test_lookup_join_with_a_hot_key(spark, people):
     rows = [(i, "s" if i % 3 else "u", "v", "promote") for i in range(3000)]
     reqs = requests(spark, rows)
     assert hot_keys(reqs, "actor_id") == ["s"] or set(hot_keys(reqs, "actor_id")) == {"s", "u"}
+    both = hot_keys_by_column(reqs, ["actor_id", "target_id"])
+    assert set(both["actor_id"]) == set(hot_keys(reqs, "actor_id")) and both["target_id"] == ["v"]
     dim = people.select("id", "role")
     out = lookup_join(reqs, "actor_id", dim, "id", "left")
     assert out.count() == 3000
