@@ -1,6 +1,5 @@
 """Streaming = batch, replay safety, snapshots, plan shape and the driver contract."""
 
-import datetime as dt
 import os
 
 from pyspark.sql import functions as F
@@ -86,6 +85,20 @@ def test_snapshot_versions(spark, scratch):
     assert cur.first()["role"] == "ADMIN" and "avatar_url" in cur.columns  # O-05 additive column
 
 
+def test_table_readers_fill_the_additive_column(spark, scratch):
+    from rollcall.sources.tables import read_auth_users, read_users
+
+    old_users = os.path.join(scratch, "users_v0")
+    V.users(spark, "/root/testdata/sf0.001").drop("avatar_url").write.parquet(old_users)
+    users = read_users(spark, old_users)
+    assert users.columns[-1] == "avatar_url" and users.where("avatar_url IS NOT NULL").count() == 0
+    auth_path = os.path.join(scratch, "auth")
+    V.auth_users(spark, "/root/testdata/sf0.001").write.parquet(auth_path)
+    auth = read_auth_users(spark, auth_path)
+    assert auth.columns == ["id", "email", "raw_user_meta_data", "created_at", "last_sign_in_at"]
+    assert auth.count() == 150
+
+
 def test_clustered_snapshot_lookup_is_pushed(spark, scratch):
     root = os.path.join(scratch, "users")
     users = V.users(spark, "/root/testdata/sf0.01")
