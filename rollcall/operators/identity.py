@@ -79,8 +79,9 @@ def resolve_collisions(
 ) -> Resolution:
     """O-27 in set form.
 
-    ``claims`` (id, base, created_at): new identities and their base names;
-    ``taken`` (username): names already in the directory.  Claimants are
+    ``claims`` (id, base, created_at): new identities and their base names,
+    one row per id (``build_profiles`` ensures it); ``taken`` (username):
+    names already in the directory.  Claimants are
     served in (created_at, id) order within each name, like rows arriving one
     by one.  Round 0: the first claimant of a free base keeps it.  Round k
     (1..rounds): the rest try ``base_<4 hex of md5(id:k)>``; a candidate is
@@ -173,7 +174,7 @@ def build_profiles(
     fresh = insert_ignore(first_per_id(auth_new), users)
     if variant == "v1":
         rows = fresh.select(*profile_frame(F.col("id"), v1_username(), as_of))
-        return BuildResult(rows, rows.limit(0).select("id"))
+        return BuildResult(rows, rows.select("id").where(F.lit(False)))  # v1 never rejects
     if variant != "v2":
         raise ValueError(f"unknown variant {variant!r}")
     fresh = durable(add_base_username(fresh, "base", avatar="avatar").select("id", "created_at", "base", "avatar"), "fresh")
