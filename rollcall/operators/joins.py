@@ -67,6 +67,8 @@ def hot_keys(df: DataFrame, key: str, fraction: float = HOT_FRACTION) -> list:
         .count()
         .where(F.col("count") >= threshold)
         .select(key)
+        # a guard only: no more keys can reach the threshold, and a key left
+        # out would still be joined correctly by the shuffle path
         .limit(int(1 / fraction) + 1)
         .collect()
     )
