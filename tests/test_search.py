@@ -196,3 +196,19 @@ def test_positions_with_many_sorted_partitions_descending_nulls(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_day_bounds_on_a_zoned_timestamp_column(spark):
+    import pyspark.sql.functions as F
+
+    df = users_df(
+        spark,
+        [
+            ("1", "a", "USER", D(2024, 5, 1, 23, 59, 59, 999000)),
+            ("2", "b", "USER", D(2024, 5, 1, 23, 59, 59, 999500)),
+            ("3", "c", "USER", D(2024, 5, 2, 0, 0, 0)),
+        ],
+    ).withColumn("created_at", F.col("created_at").cast("timestamp"))  # session zone is UTC
+    assert dict(df.dtypes)["created_at"] == "timestamp"
+    out = sorted(ids(S.search(df, S.SearchRequest(joined_after="2024-05-01", joined_before="2024-05-01"))))
+    assert out == ["1"]
