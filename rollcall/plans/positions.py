@@ -30,6 +30,10 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str = "pos") ->
     counts = tagged.groupBy(_PART).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(_PART, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    # monotonically_increasing_id() puts the partition id in the upper 31 bits
+    # and the record number within the partition in the lower 33 bits (as the
+    # PySpark API reference documents), so this is the row's index in its
+    # sorted partition; partitions may hold up to 8 billion rows.
     local_index = F.col(_MONO) - F.shiftleft(F.col(_PART).cast("long"), 33)
     out = tagged.join(F.broadcast(offsets), _PART).withColumn(name, F.col("_offset") + local_index + F.lit(1))
     return out.drop(_PART, _MONO, "_offset")
