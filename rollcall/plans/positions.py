@@ -27,6 +27,8 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str = "pos") ->
     tagged = durable(
         df.orderBy(*order).select("*", F.spark_partition_id().alias(_PART), F.monotonically_increasing_id().alias(_MONO))
     )
+    # one row per partition of the sort: the running sum over them runs in a
+    # single task, on at most spark.sql.shuffle.partitions rows
     counts = tagged.groupBy(_PART).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(_PART, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
