@@ -1,0 +1 @@
+"""Column expressions: text helpers, username rules, display and validation."""

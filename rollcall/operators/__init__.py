@@ -1,0 +1 @@
+"""DataFrame operators: search, identity, access, quality and skew-safe joins."""

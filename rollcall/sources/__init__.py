@@ -1,0 +1 @@
+"""Table schemas, readers, derived directory tables and the snapshot sink."""
