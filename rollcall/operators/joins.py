@@ -117,6 +117,8 @@ def lookup_join(
 
     Hot fact keys are served by broadcasting just their dimension rows; the
     rest go through a normal shuffle join, so no task receives a hot key.
+    ``facts`` is read up to four times (count, hot-key aggregate, hot part,
+    cold part): pass a scan or a staged table, not an expensive derivation.
     """
     if hot is None:
         hot = hot_keys(facts, fact_key)

@@ -311,7 +311,7 @@ def q_seed_report(spark, sf_dir):
 
 @register("username_taken")
 def q_username_taken(spark, sf_dir):
-    names = I.derive_usernames(V.auth_users(spark, sf_dir))
+    names = stored(I.derive_usernames(V.auth_users(spark, sf_dir)), "names")  # read several times by the lookup
     return I.existence(users_existing(spark, sf_dir), names, "base_username")
 
 
