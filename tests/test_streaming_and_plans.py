@@ -143,3 +143,32 @@ def test_entry_contract(spark):
     assert df.columns == ["id", "username", "role", "created_at", "last_login", "pos"]
     df.collect()
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_session_state_rules(spark):
+    import datetime as dt
+
+    from rollcall.sources.schemas import USERS as U
+
+    D = dt.datetime
+    users = spark.createDataFrame(
+        [("a", "ann", "ADMIN", None, None, None), ("u", "uma", "USER", None, None, None), ("o", "oli", "USER", None, None, None)], U
+    )
+    events = spark.createDataFrame(
+        [
+            (1, "a", D(2024, 1, 1), "SIGNED_IN"),
+            (2, "u", D(2024, 1, 1), "SIGNED_IN"),
+            (3, "u", D(2024, 1, 2), "SIGNED_OUT"),
+            (4, "u", D(2024, 1, 3), "OTHER"),  # ignored
+            (5, "ghost", D(2024, 1, 1), "SIGNED_IN"),  # no profile
+            (6, "o", D(2024, 1, 5), "SIGNED_OUT"),
+            (7, "o", D(2024, 1, 5), "SIGNED_IN"),  # same time: the later event id wins
+        ],
+        "event_id long, id string, ts timestamp_ntz, event string",
+    )
+    got = {r["id"]: r for r in SS.session_state(SS.latest_events(events), users).collect()}
+    assert got["a"]["signed_in"] and got["a"]["landing"] == "/admin-dashboard" and got["a"]["username"] == "ann"
+    assert not got["u"]["signed_in"] and got["u"]["last_event"] == "SIGNED_OUT" and got["u"]["auth_error"] is None
+    assert got["u"]["username"] is None
+    assert not got["ghost"]["signed_in"] and got["ghost"]["auth_error"] == SS.PROFILE_ERROR
+    assert got["o"]["signed_in"] and got["o"]["landing"] == "/dashboard"
