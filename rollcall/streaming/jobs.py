@@ -40,9 +40,23 @@ def _use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-def _run(stream_df: DataFrame, out: str, checkpoint: str, mode: str, transform=None, max_wait: float | None = None):
-    """Start a stream that writes each batch under ``out``; run it to the end of the input."""
+def _run(
+    stream_df: DataFrame,
+    out: str,
+    checkpoint: str,
+    mode: str,
+    transform=None,
+    trigger: dict | None = None,
+    max_wait: float | None = None,
+):
+    """Start a stream that writes each batch under ``out``.
+
+    By default (``availableNow``) it processes everything present and
+    returns when done; pass e.g. ``trigger={"processingTime": "1 minute"}``
+    to keep it running, in which case the started query is returned.
+    """
     _use_rocksdb(stream_df.sparkSession)
+    trigger = trigger or {"availableNow": True}
 
     def sink(batch_df: DataFrame, batch_id: int) -> None:
         result = transform(batch_df, batch_id) if transform else batch_df
@@ -52,9 +66,11 @@ def _run(stream_df: DataFrame, out: str, checkpoint: str, mode: str, transform=N
         stream_df.writeStream.outputMode(mode)
         .foreachBatch(sink)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
+    if not trigger.get("availableNow") and not trigger.get("once"):
+        return query
     query.awaitTermination(max_wait)
     if query.exception() is not None:
         raise query.exception()
@@ -90,9 +106,10 @@ def event_stream(spark: SparkSession, events_path: str, files_per_trigger: int |
 # ----------------------------------------------------------------- O-37
 
 
-def run_session_stream(spark: SparkSession, events_path: str, out: str, checkpoint: str, **kw) -> None:
+def run_session_stream(spark: SparkSession, events_path: str, out: str, checkpoint: str, **kw):
     """Latest session event per user, updated per batch (state: one row per user)."""
-    _run(latest_events(event_stream(spark, events_path, kw.get("files_per_trigger"))), out, checkpoint, "update")
+    stream = latest_events(event_stream(spark, events_path, kw.get("files_per_trigger")))
+    return _run(stream, out, checkpoint, "update", trigger=kw.get("trigger"))
 
 
 def read_session_latest(spark: SparkSession, out: str) -> DataFrame:
@@ -102,7 +119,7 @@ def read_session_latest(spark: SparkSession, out: str) -> DataFrame:
 # ----------------------------------------------------------------- O-36
 
 
-def run_login_stream(spark: SparkSession, events_path: str, out: str, checkpoint: str, **kw) -> None:
+def run_login_stream(spark: SparkSession, events_path: str, out: str, checkpoint: str, **kw):
     """Latest sign-in time per user, updated per batch."""
     touches = (
         event_stream(spark, events_path, kw.get("files_per_trigger"))
@@ -110,7 +127,7 @@ def run_login_stream(spark: SparkSession, events_path: str, out: str, checkpoint
         .groupBy("id")
         .agg(F.max("ts").alias("_touch"))
     )
-    _run(touches, out, checkpoint, "update")
+    return _run(touches, out, checkpoint, "update", trigger=kw.get("trigger"))
 
 
 def apply_login_updates(spark: SparkSession, users: DataFrame, out: str) -> DataFrame:
@@ -134,7 +151,8 @@ def run_profile_stream(
     checkpoint: str,
     as_of: dt.datetime | F.Column | None = None,
     files_per_trigger: int | None = None,
-) -> None:
+    trigger: dict | None = None,
+):
     """Profiles for identities as they arrive (v2 rule, collisions across batches).
 
     Each batch is checked against ``base_users`` plus every earlier batch's
@@ -153,4 +171,4 @@ def run_profile_stream(
         built.rejected.write.mode("overwrite").parquet(_batch_dir(rejects, batch_id))
         return built.profiles
 
-    _run(customers, out, checkpoint, "append", transform)
+    return _run(customers, out, checkpoint, "append", transform, trigger=trigger)

@@ -172,3 +172,16 @@ def test_session_state_rules(spark):
     assert got["u"]["username"] is None
     assert not got["ghost"]["signed_in"] and got["ghost"]["auth_error"] == SS.PROFILE_ERROR
     assert got["o"]["signed_in"] and got["o"]["landing"] == "/dashboard"
+
+
+def test_session_stream_with_a_continuous_trigger(spark, scratch):
+    folder = split_events(spark, scratch, parts=2)
+    out, ckpt = os.path.join(scratch, "out"), os.path.join(scratch, "ckpt")
+    query = J.run_session_stream(spark, folder, out, ckpt, trigger={"processingTime": "1 second"})
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    users = V.users(spark, SF)
+    batch = SS.session_state(SS.latest_events(V.auth_events(spark, SF)), users)
+    assert rows(SS.session_state(J.read_session_latest(spark, out), users)) == rows(batch)
