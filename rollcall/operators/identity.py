@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from rollcall.functions.display import role_rank
 from rollcall.functions.identity import add_base_username, avatar_from_meta, seed_email, v1_username
 from rollcall.functions.text import hex_suffix
-from rollcall.operators.joins import first_keys, nulls_last_key
+from rollcall.operators.joins import anti_join_small, first_keys, nulls_last_key
 from rollcall.session import durable
 from rollcall.sources.schemas import DEFAULT_ROLE, USER_COLUMNS
 
@@ -63,9 +63,13 @@ def first_per_id(auth: DataFrame) -> DataFrame:
     return picked.select("id", *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def insert_ignore(new_rows: DataFrame, target: DataFrame) -> DataFrame:
-    """O-21 ``ON CONFLICT (id) DO NOTHING``: drop rows whose id the target already has."""
-    return new_rows.join(target.select("id"), "id", "left_anti")
+def insert_ignore(new_rows: DataFrame, target: DataFrame, rows: int | None = None) -> DataFrame:
+    """O-21 ``ON CONFLICT (id) DO NOTHING``: drop rows whose id the target already has.
+
+    A batch of new rows is usually small next to the directory, so the
+    directory is probed for the batch's ids instead of being shuffled.
+    """
+    return anti_join_small(new_rows, target, "id", rows=rows)
 
 
 @dataclass
@@ -89,8 +93,9 @@ def resolve_collisions(
     asking for it in that round.  Whoever is left after ``rounds`` rounds is
     returned in ``rejected`` (never as a duplicate name).
 
-    The directory is read once, to drop candidates it already holds; the
-    candidate table is written once; each round reads its own slice and
+    The directory is only probed for the names the claimants ask about (it
+    is scanned, not shuffled, when the batch is small); the candidate table
+    is written once; each round reads its own slice and
     writes only its winners (shared folder: lineage cut, executor loss
     survivable).  The loop stops as soon as every claimant is served.
     """
@@ -98,6 +103,7 @@ def resolve_collisions(
     claims = claims.select("id", "base", "created_at")
     if stage_input:
         claims = durable(claims, "claims")
+    n_claims = claims.count()  # bounds the key lists probed against the directory
 
     # round 0: the first claimant of each free base keeps it.  Rank first
     # (partial aggregate: one row per base), then check only those distinct
@@ -105,7 +111,7 @@ def resolve_collisions(
     # meets the directory as millions of rows in one task.
     firsts = claims.groupBy("base").agg(F.min_by("id", nulls_last_key(["created_at", "id"])).alias("id"))
     w0 = durable(
-        firsts.join(held.withColumnRenamed("cand", "base"), "base", "left_anti").select(
+        anti_join_small(firsts, held, "base", "cand", rows=n_claims).select(
             "id", F.col("base").alias("cand"), F.lit(0).cast("long").alias("attempt")
         ),
         "round0",
@@ -124,7 +130,9 @@ def resolve_collisions(
     blocked = held.unionByName(w0.select("cand"))
     waiting = rest.count()
     if waiting:
-        free = durable(cands.join(blocked, "cand", "left_anti"), "candidates", partition_by="attempt")
+        free = durable(
+            anti_join_small(cands, blocked, "cand", rows=waiting * rounds), "candidates", partition_by="attempt"
+        )
 
     won_so_far = None  # names granted in rounds >= 1 (small: one row per resolved collision)
     for k in range(1, rounds + 1):
@@ -171,7 +179,8 @@ def build_profiles(
     role, ``created_at`` = as_of.  Both ignore ids already present (O-21).
     """
     as_of = _ts(DEFAULT_AS_OF if as_of is None else as_of)
-    fresh = insert_ignore(first_per_id(auth_new), users)
+    # the batch's own row count bounds the deduplicated batch
+    fresh = insert_ignore(first_per_id(auth_new), users, rows=auth_new.count())
     if variant == "v1":
         rows = fresh.select(*profile_frame(F.col("id"), v1_username(), as_of))
         return BuildResult(rows, rows.select("id").where(F.lit(False)))  # v1 never rejects

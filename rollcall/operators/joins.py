@@ -49,6 +49,33 @@ def mark_first(
     return df.join(winners, key, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
+# A key list of at most this many rows is broadcast (strings of a few dozen
+# bytes: tens of MB at most).
+BROADCAST_KEYS = 1_000_000
+
+
+def anti_join_small(
+    small: DataFrame, big: DataFrame, key: str, big_key: str | None = None, rows: int | None = None
+) -> DataFrame:
+    """``small`` rows whose ``key`` does not occur in ``big`` (a left anti join).
+
+    Spark cannot broadcast the left side of an anti join, so ``small`` anti
+    ``big`` shuffles all of ``big``.  Instead: first the keys of ``big`` that
+    ``small`` asks about (a semi join; when ``small`` is known to hold at most
+    ``BROADCAST_KEYS`` rows its keys are broadcast, so ``big`` is scanned,
+    never shuffled), then the anti join against that short list.  ``rows``
+    is an upper bound on ``small``'s row count if the caller knows one;
+    otherwise it is counted.  Above the bound, ordinary shuffle joins.
+    """
+    big_key = big_key or key
+    n = small.count() if rows is None else rows
+    keys = small.select(key)
+    if n <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    present = big.select(F.col(big_key).alias(key)).join(keys, key, "left_semi")
+    return small.join(present, key, "left_anti")
+
+
 # Keys holding at least this share of the fact rows are treated as hot.  The
 # hot list is therefore at most 1 / HOT_FRACTION keys long.
 HOT_FRACTION = 0.001

@@ -185,3 +185,19 @@ def test_session_stream_with_a_continuous_trigger(spark, scratch):
     users = V.users(spark, SF)
     batch = SS.session_state(SS.latest_events(V.auth_events(spark, SF)), users)
     assert rows(SS.session_state(J.read_session_latest(spark, out), users)) == rows(batch)
+
+
+def test_small_batch_probes_the_directory_without_shuffling_it(spark):
+    import re
+
+    from rollcall.operators.identity import insert_ignore
+
+    directory = spark.read.parquet(f"{SF}/customer.parquet").selectExpr("cast(c_custkey as string) as id")
+    batch = spark.createDataFrame([(str(i * 100), f"n{i}") for i in range(5)] + [("new-1", "x")], "id string, name string")
+    out = insert_ignore(batch, directory)
+    assert [r["id"] for r in out.collect()] == ["new-1"]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    lines = [l.strip() for l in plan.split("\n")]
+    semi = next(i for i, l in enumerate(lines) if re.search(r"BroadcastHashJoin .*LeftSemi, BuildRight", l))
+    # the directory scan sits directly under the semi join: no exchange of the directory
+    assert "FileScan parquet" in lines[semi + 1] or "ColumnarToRow" in lines[semi + 1]
