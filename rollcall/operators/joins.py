@@ -64,13 +64,14 @@ def anti_join_small(
     ``small`` asks about (a semi join; when ``small`` is known to hold at most
     ``BROADCAST_KEYS`` rows its keys are broadcast, so ``big`` is scanned,
     never shuffled), then the anti join against that short list.  ``rows``
-    is an upper bound on ``small``'s row count if the caller knows one;
-    otherwise it is counted.  Above the bound, ordinary shuffle joins.
+    is an upper bound on ``small``'s row count when the caller has one
+    cheaply; without it no hint is given and the planner decides from its
+    size statistics (exact for scans, staged tables and file-stream
+    micro-batches).  Above the bound, ordinary shuffle joins.
     """
     big_key = big_key or key
-    n = small.count() if rows is None else rows
     keys = small.select(key)
-    if n <= BROADCAST_KEYS:
+    if rows is not None and rows <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
     present = big.select(F.col(big_key).alias(key)).join(keys, key, "left_semi")
     return small.join(present, key, "left_anti")

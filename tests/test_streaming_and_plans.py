@@ -194,7 +194,8 @@ def test_small_batch_probes_the_directory_without_shuffling_it(spark):
 
     directory = spark.read.parquet(f"{SF}/customer.parquet").selectExpr("cast(c_custkey as string) as id")
     batch = spark.createDataFrame([(str(i * 100), f"n{i}") for i in range(5)] + [("new-1", "x")], "id string, name string")
-    out = insert_ignore(batch, directory)
+    # a Python-list batch has no size statistics, so the caller passes its bound
+    out = insert_ignore(batch, directory, rows=6)
     assert [r["id"] for r in out.collect()] == ["new-1"]
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     lines = [l.strip() for l in plan.split("\n")]
