@@ -169,7 +169,11 @@ class BuildResult:
 
 
 def build_profiles(
-    auth_new: DataFrame, users: DataFrame, variant: str = "v2", as_of: dt.datetime | Column | None = None
+    auth_new: DataFrame,
+    users: DataFrame,
+    variant: str = "v2",
+    as_of: dt.datetime | Column | None = None,
+    rows: int | None = None,
 ) -> BuildResult:
     """O-26: profiles for newly inserted identities, under either sign-up rule.
 
@@ -177,9 +181,12 @@ def build_profiles(
     the metadata, default role, ``created_at`` = as_of.  v1 (the later fix
     file): ``coalesce(meta.username, e-mail local part)`` as is, default
     role, ``created_at`` = as_of.  Both ignore ids already present (O-21).
+    ``rows``, an upper bound on the batch size if known (a stream's
+    micro-batch count), lets that check probe the directory instead of
+    shuffling it.
     """
     as_of = _ts(DEFAULT_AS_OF if as_of is None else as_of)
-    fresh = insert_ignore(first_per_id(auth_new), users)
+    fresh = insert_ignore(first_per_id(auth_new), users, rows=rows)
     if variant == "v1":
         rows = fresh.select(*profile_frame(F.col("id"), v1_username(), as_of))
         return BuildResult(rows, rows.select("id").where(F.lit(False)))  # v1 never rejects

@@ -65,15 +65,15 @@ def anti_join_small(
     ``BROADCAST_KEYS`` rows its keys are broadcast, so ``big`` is scanned,
     never shuffled), then the anti join against that short list.  ``rows``
     is an upper bound on ``small``'s row count when the caller has one
-    cheaply; without it no hint is given and the planner decides from its
-    size statistics (exact for scans, staged tables and file-stream
-    micro-batches).  Above the bound, ordinary shuffle joins.
+    cheaply; without it, or above ``BROADCAST_KEYS``, this is one plain anti
+    join and the planner chooses the strategy from its statistics.
     """
     big_key = big_key or key
-    keys = small.select(key)
-    if rows is not None and rows <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    present = big.select(F.col(big_key).alias(key)).join(keys, key, "left_semi")
+    big_keys = big.select(F.col(big_key).alias(key))
+    if rows is None or rows > BROADCAST_KEYS:
+        # no usable bound: one plain anti join (two joins would only add work)
+        return small.join(big_keys, key, "left_anti")
+    present = big_keys.join(F.broadcast(small.select(key)), key, "left_semi")
     return small.join(present, key, "left_anti")
 
 

@@ -167,7 +167,8 @@ def run_profile_stream(
         identities = V.auth_users_from(batch_df, first_order, last_click)
         earlier = read_batches(spark, out, below=batch_id)
         existing = base_users if earlier is None else base_users.unionByName(earlier)
-        built = build_profiles(identities, existing, "v2", as_of)
+        # the micro-batch's size bounds the directory probe (a scan, not a shuffle)
+        built = build_profiles(identities, existing, "v2", as_of, rows=batch_df.count())
         built.rejected.write.mode("overwrite").parquet(_batch_dir(rejects, batch_id))
         return built.profiles
 
