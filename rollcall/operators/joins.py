@@ -1,6 +1,6 @@
 """Join and ranking building blocks that stay safe on skewed keys.
 
-Two patterns recur in the directory jobs:
+Three patterns recur in the directory jobs:
 
 * "first row of each group" (rank 1 of a window).  A window partitioned by
   the group key sends a whole group to one task, and one base name may hold
@@ -15,6 +15,10 @@ Two patterns recur in the directory jobs:
   hot keys, which is bounded by ``1 / hot_fraction``) and joins the cold
   remainder with an ordinary shuffle join.  AQE's skew-join split remains on
   as a second line of defence.
+
+* "new rows not yet in the big table" (insert-ignore, taken names).  With a
+  known small batch, ``anti_join_small`` broadcasts the batch's keys into a
+  semi join, so the big table is scanned rather than shuffled.
 """
 
 from __future__ import annotations
