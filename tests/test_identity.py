@@ -191,3 +191,18 @@ def test_v2_usernames_unique_at_sf001(spark, name):
     df = queries()[name](spark, "/root/testdata/sf0.01")
     ok = df.where(F.col("username").isNotNull())
     assert ok.select("username").distinct().count() == ok.count()
+
+
+def test_seed_twice_on_derived_data_changes_nothing(spark):
+    from rollcall.sources import views as V
+    from rollcall.session import durable
+
+    sf = "/root/testdata/sf0.001"
+    auth, users = V.auth_users(spark, sf), V.users(spark, sf)
+    seeds = V.seed_batch(spark, sf)
+    first = I.seed_upsert(seeds, auth, users, AS_OF)
+    auth1, users1 = durable(first.auth, "seed-auth"), durable(first.users, "seed-users")
+    second = I.seed_upsert(seeds, auth1, users1, AS_OF)
+    assert sorted(map(tuple, second.users.collect())) == sorted(map(tuple, users1.collect()))
+    assert second.report.where("status = 'created'").count() == 0
+    assert users1.select("username").distinct().count() == users1.count()
