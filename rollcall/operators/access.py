@@ -114,14 +114,15 @@ def role_change_outcomes(requests: DataFrame, users: DataFrame) -> DataFrame:
         .when(new_role.isNull() | (F.col("target_role") != needed), F.lit("invalid"))
         .otherwise(F.lit("applied"))
     )
-    return out.select(
+    # status is its own column, so the rule chain is evaluated once per row
+    return out.withColumn("status", status).select(
         "request_id",
         "actor_id",
         "target_id",
         "action",
-        status.alias("status"),
+        "status",
         F.col("target_role").alias("old_role"),
-        F.when(status == "applied", new_role).otherwise(F.col("target_role")).alias("new_role"),
+        F.when(F.col("status") == "applied", new_role).otherwise(F.col("target_role")).alias("new_role"),
     )
 
 
