@@ -26,6 +26,15 @@ MSG_PASSWORD_REQUIRED = "Password is required."
 USERNAME_PATTERN = r"^[a-zA-Z0-9_]+\z"
 
 
+def js_length(x: Column) -> Column:
+    """String length as JavaScript counts it: UTF-16 code units.
+
+    A character outside the Basic Multilingual Plane (an emoji, say) counts
+    as 2, where ``char_length`` counts 1; the form rules use this length.
+    """
+    return (F.octet_length(F.encode(x, "UTF-16BE")) / 2).cast("int")
+
+
 def _messages(rules: list[tuple[Column, str]]) -> Column:
     """Messages of the failed rules, in rule order.
 
@@ -51,10 +60,10 @@ def signup_errors(
     c = F.coalesce(_c(confirm), F.lit(""))
     return _messages(
         [
-            (F.char_length(u) < USERNAME_MIN, MSG_USERNAME_SHORT),
-            (F.char_length(u) > USERNAME_MAX, MSG_USERNAME_LONG),
+            (js_length(u) < USERNAME_MIN, MSG_USERNAME_SHORT),
+            (js_length(u) > USERNAME_MAX, MSG_USERNAME_LONG),
             (~u.rlike(USERNAME_PATTERN), MSG_USERNAME_CHARS),
-            (F.char_length(p) < PASSWORD_MIN, MSG_PASSWORD_SHORT),
+            (js_length(p) < PASSWORD_MIN, MSG_PASSWORD_SHORT),
             (~p.rlike("[A-Z]"), MSG_PASSWORD_UPPER),
             (~p.rlike("[a-z]"), MSG_PASSWORD_LOWER),
             (~p.rlike("[0-9]"), MSG_PASSWORD_DIGIT),
@@ -68,7 +77,7 @@ def login_errors(username: str | Column = "username", password: str | Column = "
     p = F.coalesce(_c(password), F.lit(""))
     return _messages(
         [
-            (F.char_length(u) < 1, MSG_USERNAME_REQUIRED),
-            (F.char_length(p) < 1, MSG_PASSWORD_REQUIRED),
+            (js_length(u) < 1, MSG_USERNAME_REQUIRED),
+            (js_length(p) < 1, MSG_PASSWORD_REQUIRED),
         ]
     )

@@ -116,6 +116,8 @@ def test_signup_rules(spark):
             (10, "good", "Password1", "Password2"),
             (11, "line\n", "Password1", "Password1"),
             (12, None, None, None),
+            (13, "good", "Pa1\U0001F600\U0001F600", "Pa1\U0001F600\U0001F600"),  # 7 UTF-16 units: long enough
+            (14, "good", "Pa1\U0001F600", "Pa1\U0001F600"),  # 5 units: too short
         ],
     )
     got = {r["form_id"]: (r["errors"], r["valid"]) for r in Q.signup_check(df).collect()}
@@ -129,6 +131,7 @@ def test_signup_rules(spark):
     assert got[9] == ([M.MSG_PASSWORD_DIGIT], False)
     assert got[10] == ([M.MSG_MISMATCH], False)
     assert got[11] == ([M.MSG_USERNAME_CHARS], False)  # JavaScript's '$' does not match before '\n'
+    assert got[13] == ([], True) and got[14] == ([M.MSG_PASSWORD_SHORT], False)
     assert got[12][0] == [
         M.MSG_USERNAME_SHORT,
         M.MSG_USERNAME_CHARS,
