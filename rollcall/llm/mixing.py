@@ -1,7 +1,7 @@
 """Mixing sources to target weights, exact to the word.
 
-Method.  Every document gets a hash-random key (md5 of seed, id and text
-hash).  Rows are range-sorted by that key within their source; distributed
+Method.  Every document gets a hash-random key (md5 of seed, id and the
+text's md5).  Rows are range-sorted by that key within their source; distributed
 prefix sums of the word counts give each document's place; the source is cut
 at its exact budget.  A target above the source's size repeats whole epochs
 first and cuts only the last one.  The document at the cut is taken in part,
@@ -88,7 +88,8 @@ def mix(
             F.xxhash64("text").alias("_text"),
             "source",
             F.size(split_words(F.col("text"))).cast("long").alias("size"),
-        ).withColumn("key", random_key(F.lit(seed), F.col("doc_id"), F.col("_text"))),
+            random_key(F.lit(seed), F.col("doc_id"), F.md5("text")).alias("key"),
+        ),
         "sizes",
     )
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
