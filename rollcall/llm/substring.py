@@ -76,6 +76,10 @@ def _first_of_each(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple
     return order, opens, np.bincount(group)[group] if len(order) else group
 
 
+def _any_key(key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix64(key + place.view(np.uint64) * np.uint64(2) + np.uint64(1))
+
+
 def _rows(key: np.ndarray, doc: np.ndarray, place: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [signed(key), pa.array(doc), pa.array(place), pa.array(known)], ["key", "doc", "place", "known"]
@@ -101,10 +105,10 @@ def _level_one(window: int):
                 doc = part.column(0).to_numpy()[row]
                 place = _places(words, at, row, part.column(1).to_numpy())
                 order, opens, many = _first_of_each(key, doc, place)
-                key, doc, place = key[order], doc[order], place[order]
+                first, known = np.empty(len(key), bool), np.empty(len(key), bool)
+                first[order], known[order] = opens, many > 1
                 # one row of a repeated window goes by its key, the others by any
-                spread = np.where(opens, key, mix64(key + place.view(np.uint64) * np.uint64(2) + np.uint64(1)))
-                yield _rows(spread, doc, place, many > 1)
+                yield _rows(np.where(first, key, _any_key(key, place)), doc, place, known)
 
     return run
 
@@ -135,7 +139,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _level_two(window: int):
-    """Full windows around the candidate picks of each document (columns doc, mark, text, places).
+    """Full windows around the candidate picks of each document (columns doc, mark, text, places, ...).
 
     ``known``: an earlier start lies in this slice.
     """
@@ -159,13 +163,11 @@ def _level_two(window: int):
                 row = words.row[start]
                 doc, place = part.column(0).to_numpy()[row], _places(words, start, row, marks)
                 order, opens, _ = _first_of_each(key, doc, place)
-                key, doc, place = key[order], doc[order], place[order]
+                lead = np.empty(len(key), np.int64)
+                lead[order] = order[np.flatnonzero(opens)[np.cumsum(opens) - 1]]
                 # an equal (doc, place) is the same document again, not an earlier start
-                group = np.cumsum(opens) - 1
-                lead = np.flatnonzero(opens)[group]
                 later = (doc != doc[lead]) | (place != place[lead])
-                spread = np.where(later, mix64(key + place.view(np.uint64) * np.uint64(2) + np.uint64(1)), key)
-                yield _rows(spread, doc, place, later)
+                yield _rows(np.where(later, _any_key(key, place), key), doc, place, later)
 
     return run
 
@@ -246,8 +248,8 @@ class SubstringDedup:
 
     def later_starts(self) -> DataFrame:
         """(doc, place) of every window that also starts earlier."""
-        texts = self._with_places(self.candidates(), "inner").where("text is not null")
-        rows = texts.select("doc", "mark", "text", "places").mapInArrow(_level_two(self.window), _ROWS)
+        # the same columns as in ``result``, so that one exchange of the texts serves both
+        rows = self._with_places(self.candidates(), "inner").mapInArrow(_level_two(self.window), _ROWS)
         rows = rows.repartition("key").sortWithinPartitions("key", "doc", "place")
         return rows.mapInArrow(_later_starts, f"doc bigint, {_PLACE}")
 
