@@ -1,10 +1,12 @@
 """Quality rules: repetition and symbol counts, and an n-gram likelihood ratio.
 
 Method.  The one-word and two-word n-grams of a text are hashed into
-``BUCKETS`` buckets.  Two smoothed multinomials over the buckets are counted,
-one over the trusted target documents and one over the whole raw corpus.  A
+``BUCKETS`` buckets.  Two multinomials over the buckets are counted, one over
+the trusted target documents and one over the whole raw corpus, and smoothed by
+``SMOOTHING`` pseudo-counts each on the scale of the trusted counts.  A
 document's score is the log-likelihood ratio of its n-grams between the two,
 divided by their number.  It is kept if the score is at least ``MIN_SCORE``
+(its n-grams are on average 0.86 times as likely among the trusted, or more)
 and no base rule fails: a fixed threshold, no random draw.
 
 Only DataFrame functions run here.  Counting and scoring explode n-grams but
@@ -17,8 +19,7 @@ compared with their neighbours, so a text of any length costs n log n.
 
 Defined results: null or empty text has 0 words, no n-grams, and fails the
 base rules; null, repeated or shared doc_ids give each row the result of its
-own text; without trusted documents the trusted model is the smoothed uniform
-one; further columns are ignored.
+own text; without trusted documents all ratios are 0; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 from rollcall.llm.rows import SPACE_RUN, WORD, split_words
 from rollcall.session import durable
 
-BUCKETS = 1 << 16
-SMOOTHING = 1.0
-MIN_SCORE = -0.5
+BUCKETS = 1 << 18
+SMOOTHING = 10.0
+MIN_SCORE = -0.15
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -68,10 +69,10 @@ def ratio_table(docs: DataFrame, trusted: Column, buckets: int = BUCKETS, smooth
         grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("_trusted").alias("good")), "ngrams"
     )
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).first()
-    norm = lambda n: float((n or 0) + smoothing * buckets)
-    good = (F.col("good") + smoothing) / norm(total["good"])
-    raw = (F.col("raw") + smoothing) / norm(total["raw"])
-    return counts.select("bucket", F.log(good / raw).alias("ratio"))
+    # raw counts on the scale of the trusted ones: what is rare in both says little either way
+    scale = float((total["good"] or 0) / (total["raw"] or 1))
+    ratio = F.log((F.col("good") + smoothing) / (F.col("raw") * scale + smoothing))
+    return counts.select("bucket", ratio.alias("ratio"))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
