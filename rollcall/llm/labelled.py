@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,3 +24,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most:
     ids = known.groupBy("doc_id").agg(F.max(label).alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return docs.join(F.broadcast(ids), "doc_id")
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of numbers, collected as lists of one length, as a matrix."""
+    return np.array(column.to_pylist(), float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.labelled import matrix
 from rollcall.llm.trees import Forest, fit
 
 KINDS = ("email", "ip", "card", "phone")
@@ -198,7 +199,7 @@ def fit_pii(docs: DataFrame, most: int = FIT_ROWS, precision: float = PRECISION)
     got = rows.select("text").mapInArrow(_examples, "label int, x array<double>")
     got = got.orderBy(F.xxhash64("x"), "label").limit(most).toArrow()
     y = got.column("label").to_numpy().astype(float)
-    x = np.array(got.column("x").to_pylist(), float).reshape(len(y), -1)
+    x = matrix(got.column("x"))
     held = np.arange(len(y)) % 5 == 0
     forest = fit(x[~held], y[~held], trees=40, depth=4)
     limits = []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.labelled import sample
+from rollcall.llm.labelled import matrix, sample
 from rollcall.llm.trees import Forest, fit
 from rollcall.llm.words import WordHasher, mix64, slices, text_bytes
 
@@ -116,7 +116,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable, most: int = FIT_ROWS
     rows = sample(docs.select("doc_id", "text"), labels, label, usable, most)
     got = rows.select("label", "text").mapInArrow(_examples, "label int, x array<double>").toArrow()
     y = got.column("label").to_numpy().astype(float)
-    x = np.array(got.column("x").to_pylist(), float).reshape(len(y), -1)
+    x = matrix(got.column("x"))
     order = np.lexsort((*x.T, y)) if len(y) else []  # task order must not change the sums
     return fit(x[order], y[order])
 

@@ -20,7 +20,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def accuracy(spark, name, label):
-    got = QUERIES[name](spark, SF).where("held_out")
+    got = QUERIES[name](spark, SF).where("held_out").select("doc_id", "score", "predicted")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = got.join(labels, "doc_id").select("score", "predicted", F.col(label).alias("y")).collect()
     y, p, s = (np.array([r[c] for r in rows], float) for c in ("y", "predicted", "score"))
