@@ -11,12 +11,13 @@ overlap), then by the exact overlap.
 
 A group of n near copies has n^2 / 2 pairs, which are never emitted.  The
 join runs in rounds on what is still apart.  First every prefix bucket
-compares its rows with one leader, the same for all buckets of a group; the
+compares its rows with one leader, the row with the fewest rarer shingles; the
 links found are contracted to components.  Buckets that lie within one
-component are then done, since nothing in them can join anything new.
-Another leader is taken for the others, and last all pairs that still lie in
-different components are compared.  So every link between different components
-is found, and the components are those of all links.
+component are then done, since nothing in them can join anything new.  While
+the others still hold far more pairs than rows and leaders still find many
+links, another leader is taken (at most ``LEADER_ROUNDS`` times); last, all pairs that still lie in different
+components are compared.  So no link between different components is missed,
+and the components are those of all links.
 
 The sketch counts all shingles of all documents in 2**18 buckets whatever the
 input; it only orders shingles, so collisions cost speed, not results.
@@ -47,7 +48,9 @@ SHINGLE = 5
 SIMILARITY = Fraction(3, 4)
 SKETCH_BITS = 18
 PARTS = 16
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 8
+PAIRS_PER_ROW = 4
+GAIN = 16  # a round that links fewer than one in so many documents is the last with a leader
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
 
 
@@ -246,41 +249,58 @@ class JaccardJoin:
         known = durable(texts.join(small, "id", "left_semi"), "shared-texts")
 
         links = self.spark.createDataFrame([], "a bigint, b bigint")
-        tested = links
-        found = self.spark.createDataFrame([], "node bigint, root bigint")
+        tested, found = links, self.spark.createDataFrame([], "node bigint, root bigint")
+        now = rows.withColumn("root", F.col("id"))
+        nodes, gained = ids.count(), 0
         for turn in range(self.rounds + 1):
-            # what lies in one component is done
-            placed = rows.join(found, rows["id"] == found["node"], "left")
-            placed = placed.select("token", "id", "n", "at", F.coalesce("root", "id").alias("root"))
-            apart = placed.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
-            apart = apart.where("r1 <> r2").select("token")
-            rows_now = durable(placed.join(apart, "token", "left_semi"), "apart")
-            if rows_now.isEmpty():
+            # another leader is worth its round while buckets hold far more pairs
+            # than rows and the last one linked many documents
+            exact = turn == self.rounds
+            if turn:
+                now, open_pairs = self._apart(rows, found)
+                exact = exact or open_pairs <= PAIRS_PER_ROW * now.count() or gained * GAIN < nodes
+            if now.isEmpty():
                 break
-            x = rows_now.select("token", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "at", "root")])
-            y = rows_now.select("token", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "at", "root")])
-            if turn < self.rounds:
-                order = F.xxhash64("id1", F.lit(turn)) if turn else F.xxhash64("id1")
+            x = now.select("token", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "at", "root")])
+            y = now.select("token", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "at", "root")])
+            if not exact:
+                # first the row with the fewest rarer shingles: of near copies, the least changed one
+                order = F.xxhash64("id1", F.lit(turn)) if turn else F.struct("at1", F.xxhash64("id1"))
                 best = F.min_by(F.struct("id1", "n1", "at1", "root1"), order).alias("lead")
                 x = x.groupBy("token").agg(best).select("token", "lead.*")
             pairs = x.join(y, "token").where(self._may_link())
-            if turn == self.rounds:
+            if exact:
                 pairs = pairs.where("id1 < id2")
             pairs = pairs.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
             pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
             new = durable(self._verified(pairs, known), "verified")
-            tested = tested.unionByName(pairs)
-            if new.isEmpty():
-                continue
-            links = links.unionByName(new)
-            found = durable(components(links), "components")
+            tested, links, gained = tested.unionByName(pairs), links.unionByName(new), new.count()
+            stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            found = durable(components(stars.unionByName(new)), "components")
+            if exact:
+                break
         return links, found
 
+    def _apart(self, rows: DataFrame, found: DataFrame) -> tuple[DataFrame, int]:
+        """The rows of buckets that touch several components, and how many pairs lie across."""
+        placed = rows.join(found, rows["id"] == found["node"], "left")
+        placed = placed.select("token", "id", "n", "at", F.coalesce("root", "id").alias("root"))
+        parts = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("m"))
+        across = (F.pow(F.sum("m"), F.lit(2.0)) - F.sum(F.col("m") * F.col("m"))) / 2
+        open_tokens = parts.groupBy("token").agg(across.alias("pairs")).where("pairs > 0")
+        open_tokens = durable(open_tokens, "open")
+        now = durable(placed.join(open_tokens.select("token"), "token", "left_semi"), "apart")
+        return now, int(open_tokens.agg(F.sum("pairs")).first()[0] or 0)
+
+    def _least(self):
+        p, q = self.t.numerator, self.t.denominator
+        return F.ceil((F.col("n1") + F.col("n2")) * p / F.lit(p + q))
+
     def _may_link(self):
         """Length and positional filter on rows x, y of one bucket, and not yet in one component."""
         p, q = self.t.numerator, self.t.denominator
         n1, n2 = F.col("n1"), F.col("n2")
-        least = F.ceil((n1 + n2) * p / F.lit(p + q))
+        least = self._least()
         left = F.least(n1 - F.col("at1"), n2 - F.col("at2"))
         return (
             (F.col("root1") != F.col("root2"))
