@@ -9,6 +9,9 @@ extended to twenty; those that repeat are the spans to remove, and they alone
 are extended to forty words, and so on until no candidate survives
 (``repeat_levels``).
 
+A text equal to that of a smaller doc_id is a repeat from its first word to its
+last, so such copies are settled by their digests before any window is made.
+
 Every level sorts (window hash, document, place) by hash over all tasks and
 streams through the runs of equal hash, so neither a very common passage nor a
 large group of copies is ever held in memory.  Before the shuffle each slice
@@ -34,11 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.rows import sure_small
 from rollcall.llm.words import WordHasher, Words, mix64, signed, slices
 from rollcall.session import durable
 
 WINDOW = 20
 PLACE_BITS = 40  # a place is 23 bits of the text's hash above the number of the word
+WHOLE = (1 << PLACE_BITS) - 1  # in the place of a number: the whole text is a copy
+BROADCAST_COPIES = 1_000_000  # 16 MB of (id, hash)
 
 _PLACE = "place bigint"
 
@@ -76,8 +82,9 @@ def _first_of_each(key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple
     return order, opens, np.bincount(group)[group] if len(order) else group
 
 
-def _any_key(key: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return mix64(key + place.view(np.uint64) * np.uint64(2) + np.uint64(1))
+def _own_key(doc: np.ndarray) -> np.ndarray:
+    """A key for rows that are settled already: one per document, so that they pack well."""
+    return mix64(doc.astype(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
 
 
 def _rows(key: np.ndarray, doc: np.ndarray, place: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
@@ -107,8 +114,8 @@ def _level_one(window: int):
                 order, opens, many = _first_of_each(key, doc, place)
                 first, known = np.empty(len(key), bool), np.empty(len(key), bool)
                 first[order], known[order] = opens, many > 1
-                # one row of a repeated window goes by its key, the others by any
-                yield _rows(np.where(first, key, _any_key(key, place)), doc, place, known)
+                # one row of a repeated window goes by its key, the others by their document's
+                yield _rows(np.where(first, key, _own_key(doc)), doc, place, known)
 
     return run
 
@@ -153,7 +160,7 @@ def _level_two(window: int):
                 marks = part.column(1).to_numpy()
                 lists = part.column(3)
                 row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-                at = lists.flatten().to_numpy() & ((1 << PLACE_BITS) - 1)
+                at = lists.flatten().to_numpy() & WHOLE
                 at = words.first[row] + at
                 candidate = np.zeros(len(words.hash) + 1, bool)
                 # ids shared by several texts mix their lists; what is out of range is not this text's
@@ -167,7 +174,7 @@ def _level_two(window: int):
                 lead[order] = order[np.flatnonzero(opens)[np.cumsum(opens) - 1]]
                 # an equal (doc, place) is the same document again, not an earlier start
                 later = (doc != doc[lead]) | (place != place[lead])
-                yield _rows(np.where(later, _any_key(key, place), key), doc, place, later)
+                yield _rows(np.where(later, _own_key(doc), key), doc, place, later)
 
     return run
 
@@ -206,7 +213,9 @@ def _removal(window: int):
                     n = len(raw)
                     if starts is not None and len(starts):
                         place = starts.to_numpy()
-                        at = place[(place >> PLACE_BITS) == marks[i]] & ((1 << PLACE_BITS) - 1)
+                        at = place[(place >> PLACE_BITS) == marks[i]] & WHOLE
+                        if len(at) and at.max() == WHOLE:
+                            at = np.arange(max(0, n - window + 1))
                         change = np.zeros(n + 1, np.int64)
                         np.add.at(change, at, 1)
                         np.add.at(change, at + window, -1)
@@ -240,18 +249,30 @@ class SubstringDedup:
         lists = places.groupBy("doc").agg(F.collect_list("place").alias("places"))
         return self.docs.join(lists, "doc", how).select("doc", "mark", "text", "places", "doc_id")
 
-    def candidates(self) -> DataFrame:
-        """(doc, place) of the half-length picks that repeat."""
+    def copies(self) -> DataFrame:
+        """(doc, mark) of the texts that a smaller id has too."""
+        digests = durable(self.docs.where("text is not null").select("doc", "mark", F.md5("text").alias("digest")), "digests")
+        ends = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+        later = digests.join(ends.where("first < last"), "digest").where("doc > first")
+        return later.select("doc", "mark").distinct()
+
+    def candidates(self, copies: DataFrame) -> DataFrame:
+        """(doc, place) of the half-length picks that repeat, outside copies."""
         texts = self.docs.where("text is not null").select("doc", "mark", "text")
+        small = F.broadcast(copies) if sure_small(copies, BROADCAST_COPIES) else copies
+        texts = texts.join(small, ["doc", "mark"], "left_anti")
         rows = texts.mapInArrow(_level_one(self.window), _ROWS).repartition("key").sortWithinPartitions("key")
         return rows.mapInArrow(_repeated, f"doc bigint, {_PLACE}")
 
     def later_starts(self) -> DataFrame:
-        """(doc, place) of every window that also starts earlier."""
+        """(doc, place) of every window that also starts earlier; a copy has one place, ``WHOLE``."""
+        copies = durable(self.copies(), "copies")
         # the same columns as in ``result``, so that one exchange of the texts serves both
-        rows = self._with_places(self.candidates(), "inner").mapInArrow(_level_two(self.window), _ROWS)
+        rows = self._with_places(self.candidates(copies), "inner").mapInArrow(_level_two(self.window), _ROWS)
         rows = rows.repartition("key").sortWithinPartitions("key", "doc", "place")
-        return rows.mapInArrow(_later_starts, f"doc bigint, {_PLACE}")
+        later = rows.mapInArrow(_later_starts, f"doc bigint, {_PLACE}")
+        whole = F.shiftleft(F.col("mark"), PLACE_BITS).bitwiseOR(F.lit(WHOLE)).alias("place")
+        return later.unionByName(copies.select("doc", whole))
 
     def result(self) -> DataFrame:
         """One row per document: doc_id, n_words, n_removed, kept_text (words joined by one space)."""
