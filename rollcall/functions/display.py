@@ -12,6 +12,7 @@ from rollcall.sources.schemas import ADMIN_ROLES, ROLES
 NO_DATE = "N/A"
 NEVER = "Never"
 DATE_FORMAT = "yyyy-MM-dd"
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
 def initial(username: str | Column = "username") -> Column:
@@ -25,8 +26,8 @@ def joined_label(ts: str | Column = "created_at") -> Column:
 
 
 def last_login_label(ts: str | Column = "last_login") -> Column:
-    """F-14: the last-login date, or ``Never``."""
-    return F.coalesce(F.date_format(_c(ts), DATE_FORMAT), F.lit(NEVER))
+    """F-14: the last login with its time of day, or ``Never``."""
+    return F.coalesce(F.date_format(_c(ts), TIME_FORMAT), F.lit(NEVER))
 
 
 def role_rank(role: str | Column = "role") -> Column:

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from rollcall.functions.text import _c, email_local_part, id_prefix_name, is_blank, sanitize_name
 from rollcall.sources.schemas import APP_EMAIL_DOMAIN
 
-# The metadata keys the profile rules read, parsed in one pass per row.  A
-# non-string value comes back as its JSON text (as ``->>`` does), JSON null
-# and missing keys as NULL, and a repeated key keeps its last value, as
-# Postgres JSONB does.  Unused keys are pruned from the parse by Catalyst.
+# The metadata keys the profile rules read (F-01), parsed in one pass per row:
+# strings, booleans and integers as ``->>`` gives them, JSON null and missing
+# keys as NULL, and a repeated key keeps its last value, as Postgres JSONB
+# does.  Limit: an object or array comes back without the space that JSONB's
+# text has after ``:`` and ``,``, and a decimal loses trailing zeros.  None of
+# the four keys holds such values in the sign-up flow.  Unused keys are pruned
+# from the parse by Catalyst.
 META_SCHEMA = "username string, name string, full_name string, avatar_url string"
 
 

@@ -10,11 +10,6 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def json_text(doc: str | Column, key: str) -> Column:
-    """F-01 ``doc ->> key``: JSON null gives NULL, ``""`` stays empty."""
-    return F.get_json_object(_c(doc), f"$.{key}")
-
-
 def is_blank(x: str | Column) -> Column:
     """F-04: null, or nothing but spaces (tabs are kept, as Postgres ``trim``)."""
     x = _c(x)
@@ -22,7 +17,10 @@ def is_blank(x: str | Column) -> Column:
 
 
 def sanitize_name(x: str | Column) -> Column:
-    """F-05 / F-06: lower, spaces and hyphens to ``_``, drop the rest, collapse, strip ``_``."""
+    """F-05 / F-06: lower, spaces and hyphens to ``_``, drop the rest, collapse, strip ``_``.
+
+    The patterns and their order are fixed values: together they decide the name.
+    """
     s = F.lower(F.trim(_c(x)))
     s = F.regexp_replace(s, r"[\s\-]+", "_")
     s = F.regexp_replace(s, r"[^a-z0-9_]", "")

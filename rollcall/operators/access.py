@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.display import is_admin
-from rollcall.operators.joins import hot_keys_by_column, lookup_join
+from rollcall.operators.joins import lookup_join
 from rollcall.operators.search import NotFound, single
 from rollcall.sources.schemas import USER_COLUMNS
 
@@ -58,24 +58,25 @@ def visible_to(users: DataFrame, actor_id: str | None, role: str | None = None)
 def visible_counts(users: DataFrame) -> DataFrame:
     """O-29 + O-24 for every profile as actor: how many rows that actor sees.
 
-    Admins see the whole directory (one global count), users their own row.
-    Nothing pairs actors with rows.
+    Admins see the whole directory (one global count, a scalar in the plan),
+    users their own row.  Nothing pairs actors with rows.
     """
-    total = users.count()
+    total = users.select(F.lit(1).alias("one")).agg(F.count("one")).scalar()
     return users.select(
         F.col("id").alias("actor_id"),
-        F.when(is_admin("role"), F.lit(total)).otherwise(F.lit(1)).cast("long").alias("visible_rows"),
+        F.when(is_admin("role"), total).otherwise(F.lit(1)).cast("long").alias("visible_rows"),
     )
 
 
 def _with_roles(requests: DataFrame, users: DataFrame) -> DataFrame:
-    actors = users.select(F.col("id").alias("_actor"), F.col("role").alias("actor_role"))
-    targets = users.select(F.col("id").alias("_target"), F.col("role").alias("target_role"))
-    # hot actors and targets are found in one pass over the requests themselves
-    hot = hot_keys_by_column(requests, ["actor_id", "target_id"])
-    out = lookup_join(requests, "actor_id", actors, "_actor", "left", hot=hot["actor_id"]).drop("_actor")
-    out = lookup_join(out, "target_id", targets, "_target", "left", hot=hot["target_id"])
-    return out.withColumn("target_found", F.col("_target").isNotNull()).drop("_target")
+    """Requests with actor_role, target_role and target_found; both roles in one pass over the requests."""
+    out = lookup_join(requests, ["actor_id", "target_id"], users.select("id", "role"), "id")
+    return out.select(
+        *requests.columns,
+        F.col("actor_id_row.role").alias("actor_role"),
+        F.col("target_id_row.role").alias("target_role"),
+        F.col("target_id_row").isNotNull().alias("target_found"),
+    )
 
 
 def permission_flags(requests: DataFrame, users: DataFrame) -> DataFrame:

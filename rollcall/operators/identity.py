@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 from rollcall.functions.display import role_rank
 from rollcall.functions.identity import add_base_username, avatar_from_meta, seed_email, v1_username
 from rollcall.functions.text import hex_suffix
-from rollcall.operators.joins import anti_join_small, first_keys, nulls_last_key
+from rollcall.operators.joins import anti_join_small, first_keys, lookup_join, nulls_last_key
 from rollcall.session import durable
-from rollcall.sources.schemas import DEFAULT_ROLE, USER_COLUMNS
+from rollcall.sources.schemas import DEFAULT_ROLE, USER_COLUMNS, USERNAME_MAX
 
-# Fixed values of the reference's seed script and collision loop.
-REFERENCE_SEEDS = (("Bryan", "USER"), ("Odin", "ADMIN"), ("Damon", "USER"), ("Boss", "SUPER_ADMIN"))
+# Fixed value of the reference's collision loop.
 MAX_ATTEMPTS = 10
 DEFAULT_AS_OF = dt.datetime(2025, 1, 1)
 
@@ -63,13 +62,13 @@ def first_per_id(auth: DataFrame) -> DataFrame:
     return picked.select("id", *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def insert_ignore(new_rows: DataFrame, target: DataFrame, rows: int | None = None) -> DataFrame:
+def insert_ignore(new_rows: DataFrame, target: DataFrame) -> DataFrame:
     """O-21 ``ON CONFLICT (id) DO NOTHING``: drop rows whose id the target already has.
 
-    A batch of new rows is usually small next to the directory, so the
-    directory is probed for the batch's ids instead of being shuffled.
+    A batch of new rows is usually small next to the directory, so it is
+    staged and the directory is probed for its ids.
     """
-    return anti_join_small(new_rows, target, "id", rows=rows)
+    return anti_join_small(durable(new_rows, "batch"), target, "id")
 
 
 @dataclass
@@ -93,66 +92,40 @@ def resolve_collisions(
     asking for it in that round.  Whoever is left after ``rounds`` rounds is
     returned in ``rejected`` (never as a duplicate name).
 
-    The directory is only probed for the names the claimants ask about (it
-    is scanned, not shuffled, when the batch is small); the candidate table
-    is written once; each round reads its own slice and
-    writes only its winners (shared folder: lineage cut, executor loss
-    survivable).  The loop stops as soon as every claimant is served.
+    The directory is only probed for the names asked for, each round's by
+    those still waiting, so a batch that is served at the first attempt never
+    builds the other nine.  Each round stages its askers and its winners
+    (shared folder: lineage cut, executor loss survivable).  The loop stops as
+    soon as every claimant is served.
     """
     held = taken.select(F.col("username").alias("cand")).where(F.col("cand").isNotNull())
     claims = claims.select("id", "base", "created_at")
     if stage_input:
         claims = durable(claims, "claims")
-    n_claims = claims.count()  # bounds the key lists probed against the directory
 
     # round 0: the first claimant of each free base keeps it.  Rank first
     # (partial aggregate: one row per base), then check only those distinct
     # bases against the directory, so a base claimed by millions never
     # meets the directory as millions of rows in one task.
     firsts = claims.groupBy("base").agg(F.min_by("id", nulls_last_key(["created_at", "id"])).alias("id"))
-    w0 = durable(
-        anti_join_small(firsts, held, "base", "cand", rows=n_claims).select(
+    granted = durable(
+        anti_join_small(durable(firsts, "firsts"), held, "base", "cand").select(
             "id", F.col("base").alias("cand"), F.lit(0).cast("long").alias("attempt")
         ),
         "round0",
     )
-    # all later candidates of everyone else, minus names the directory or
-    # round 0 already hold; written once, partitioned by attempt, so round k
-    # reads only its own slice
-    rest = claims.join(w0.select("id"), "id", "left_anti")
-    attempt = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(rounds).cast("long"))).alias("attempt")
-    cands = rest.select("id", "base", "created_at", attempt).select(
-        "id",
-        F.concat(F.col("base"), F.lit("_"), hex_suffix(F.col("id"), F.col("attempt"))).alias("cand"),
-        "created_at",
-        "attempt",
-    )
-    blocked = held.unionByName(w0.select("cand"))
-    waiting = rest.count()
-    if waiting:
-        free = durable(
-            anti_join_small(cands, blocked, "cand", rows=waiting * rounds), "candidates", partition_by="attempt"
-        )
-
-    won_so_far = None  # names granted in rounds >= 1 (small: one row per resolved collision)
+    rest = claims.join(granted.select("id"), "id", "left_anti")
     for k in range(1, rounds + 1):
-        if waiting == 0:
+        name = F.concat(F.col("base"), F.lit("_"), hex_suffix(F.col("id"), k))
+        asking = claims.join(granted.select("id"), "id", "left_anti").select("id", name.alias("cand"), "created_at")
+        asking = durable(asking, "asking")
+        if asking.isEmpty():
             break
-        asking = free.where(F.col("attempt") == k)
-        if won_so_far is not None:
-            asking = asking.join(won_so_far.select("id"), "id", "left_anti").join(
-                won_so_far.select("cand"), "cand", "left_anti"
-            )
-        won = durable(
-            asking.join(first_keys(asking, ["cand"], ["created_at"], "id"), "id", "left_semi").select(
-                "id", "cand", "attempt"
-            ),
-            f"round{k}",
-        )
-        waiting -= won.count()
-        won_so_far = won if won_so_far is None else won_so_far.unionByName(won)
-
-    granted = w0 if won_so_far is None else w0.unionByName(won_so_far)
+        free = anti_join_small(asking, held, "cand").join(granted.select("cand"), "cand", "left_anti")
+        first = free.groupBy("cand").agg(F.min_by("id", nulls_last_key(["created_at", "id"])).alias("id"))
+        won = durable(first.select("id", "cand", F.lit(k).cast("long").alias("attempt")), f"round{k}")
+        granted = granted.unionByName(won)
+
     accepted = granted.select("id", F.col("cand").alias("username"), "attempt")
     rejected = rest.join(accepted.select("id"), "id", "left_anti").select(
         "id",
@@ -162,18 +135,20 @@ def resolve_collisions(
     return Resolution(accepted, rejected)
 
 
+# Why a profile could not be stored
+NAME_TAKEN = "username_unique"
+NAME_MISSING = "username_not_null"
+NAME_LONG = "username_length"
+
+
 @dataclass
 class BuildResult:
     profiles: DataFrame  # new profile rows (USERS columns)
-    rejected: DataFrame  # identities whose name could not be made unique (v2 only)
+    rejected: DataFrame  # id, username (the last one tried), reason
 
 
 def build_profiles(
-    auth_new: DataFrame,
-    users: DataFrame,
-    variant: str = "v2",
-    as_of: dt.datetime | Column | None = None,
-    rows: int | None = None,
+    auth_new: DataFrame, users: DataFrame, variant: str = "v2", as_of: dt.datetime | Column | None = None
 ) -> BuildResult:
     """O-26: profiles for newly inserted identities, under either sign-up rule.
 
@@ -181,15 +156,15 @@ def build_profiles(
     the metadata, default role, ``created_at`` = as_of.  v1 (the later fix
     file): ``coalesce(meta.username, e-mail local part)`` as is, default
     role, ``created_at`` = as_of.  Both ignore ids already present (O-21).
-    ``rows``, an upper bound on the batch size if known (a stream's
-    micro-batch count), lets that check probe the directory instead of
-    shuffling it.
+    Rows that the table's constraints refuse are in ``rejected`` with the
+    constraint's name (v2 names longer than the column are kept and reported
+    by O-31, T-7).
     """
     as_of = _ts(DEFAULT_AS_OF if as_of is None else as_of)
-    fresh = insert_ignore(first_per_id(auth_new), users, rows=rows)
+    fresh = insert_ignore(first_per_id(auth_new), users)
     if variant == "v1":
-        rows = fresh.select(*profile_frame(F.col("id"), v1_username(), as_of))
-        return BuildResult(rows, rows.select("id").where(F.lit(False)))  # v1 never rejects
+        named = fresh.select("id", "created_at", v1_username().alias("username"))
+        return _as_is(named, users, lambda: profile_frame(F.col("id"), F.col("username"), as_of))
     if variant != "v2":
         raise ValueError(f"unknown variant {variant!r}")
     fresh = durable(add_base_username(fresh, "base", avatar="avatar").select("id", "created_at", "base", "avatar"), "fresh")
@@ -197,15 +172,37 @@ def build_profiles(
     rows = res.accepted.join(fresh.select("id", "avatar"), "id").select(
         *profile_frame(F.col("id"), F.col("username"), as_of, F.col("avatar"))
     )
-    return BuildResult(rows, res.rejected)
+    rejected = res.rejected.select("id", F.col("last_candidate").alias("username"), F.lit(NAME_TAKEN).alias("reason"))
+    return BuildResult(rows, rejected)
 
 
-def backfill_missing_profiles(auth: DataFrame, users: DataFrame, as_of: dt.datetime | Column | None = None) -> DataFrame:
-    """O-18: add a v1 profile for each identity without one; returns the new snapshot."""
+def _as_is(named: DataFrame, users: DataFrame, columns) -> BuildResult:
+    """Profiles for (id, created_at, username) rows under the table's constraints on names.
+
+    The first claimant (created_at, id) of a free name gets it, as if rows
+    were inserted one by one; the others are rejected with the reason.
+    """
+    bad = F.when(F.col("username").isNull(), NAME_MISSING).when(F.char_length("username") > USERNAME_MAX, NAME_LONG)
+    named = durable(named.withColumn("reason", bad), "named")
+    firsts = first_keys(named.where("reason is null"), ["username"], ["created_at"], "id")
+    firsts = durable(firsts.join(named.select("id", "username"), "id"), "firsts")
+    granted = anti_join_small(firsts, users.where("username is not null"), "username")
+    granted = durable(granted.select("id", F.lit(True).alias("_granted")), "granted")
+    out = named.join(granted, "id", "left")
+    profiles = out.where("_granted").select(*columns())
+    refused = out.where("_granted is null").select("id", "username", F.coalesce("reason", F.lit(NAME_TAKEN)).alias("reason"))
+    return BuildResult(profiles, refused)
+
+
+def backfill_missing_profiles(
+    auth: DataFrame, users: DataFrame, as_of: dt.datetime | Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """O-18: add a v1 profile for each identity without one; returns (the new snapshot, the rejected rows)."""
     as_of = _ts(DEFAULT_AS_OF if as_of is None else as_of)
-    missing = auth.join(users.select("id"), "id", "left_anti")
-    added = missing.select(*profile_frame(F.col("id"), v1_username(), F.coalesce(F.col("created_at"), as_of)))
-    return users.select(*USER_COLUMNS).unionByName(added)
+    missing = auth.join(users.select("id"), "id", "left_anti").select("id", "created_at", v1_username().alias("username"))
+    joined = F.coalesce(F.col("created_at"), as_of)
+    built = _as_is(missing, users, lambda: profile_frame(F.col("id"), F.col("username"), joined))
+    return users.select(*USER_COLUMNS).unionByName(built.profiles), built.rejected
 
 
 def backfill_avatar(users: DataFrame, auth: DataFrame) -> DataFrame:
@@ -252,18 +249,16 @@ def existence(users: DataFrame, names: DataFrame, col: str = "username") -> Data
     ask about the same (popular) name, which ``lookup_join`` serves without
     sending them all to one task.
     """
-    from rollcall.operators.joins import lookup_join
-
-    held = users.select(F.col("username").alias("_held")).where(F.col("_held").isNotNull())
-    out = lookup_join(names, col, held, "_held", "left")
-    return out.withColumn("taken", F.col("_held").isNotNull()).drop("_held")
+    held = users.select("username").where(F.col("username").isNotNull())
+    out = lookup_join(names, [col], held, "username")
+    return out.withColumn("taken", F.col(f"{col}_row").isNotNull()).drop(f"{col}_row")
 
 
 @dataclass
 class SeedResult:
     auth: DataFrame
     users: DataFrame
-    report: DataFrame  # email, id, status ('created' | 'existing'), role
+    report: DataFrame  # email, id, status ('created' | 'existing' | 'rejected'), role
 
 
 def seed_upsert(seeds: DataFrame, auth: DataFrame, users: DataFrame, as_of: dt.datetime | Column | None = None) -> SeedResult:
@@ -274,7 +269,9 @@ def seed_upsert(seeds: DataFrame, auth: DataFrame, users: DataFrame, as_of: dt.d
     otherwise one is created, with id = md5(e-mail) and ``{"username": ...}``
     metadata, and its profile is built by the v2 rule.  Roles other than
     USER are then patched onto the profile.  A repeated e-mail keeps the
-    highest role.
+    highest role.  A seed whose profile is refused (every name it tries is
+    taken) is reported as ``rejected`` and leaves no identity either, as the
+    trigger's failure undoes the whole insert.
     """
     as_of = _ts(DEFAULT_AS_OF if as_of is None else as_of)
     batch = (
@@ -300,8 +297,13 @@ def seed_upsert(seeds: DataFrame, auth: DataFrame, users: DataFrame, as_of: dt.d
         F.lit(None).cast("timestamp_ntz").alias("last_sign_in_at"),
         F.col("role"),
     )
-    new_auth = auth.unionByName(created.drop("role"))
+    created = durable(created, "seeds")
     built = build_profiles(created.drop("role"), users, "v2", as_of)
+    refused = durable(built.rejected.select("id"), "refused")
+    status = F.when(F.col("_refused"), F.lit("rejected")).otherwise(F.lit("created")).alias("status")
+    outcome = created.join(refused.withColumn("_refused", F.lit(True)), "id", "left")
+    created = created.join(refused, "id", "left_anti")
+    new_auth = auth.unionByName(created.drop("role"))
     patches = (
         matched.select("id", "role")
         .unionByName(created.select("id", "role"))
@@ -313,6 +315,6 @@ def seed_upsert(seeds: DataFrame, auth: DataFrame, users: DataFrame, as_of: dt.d
         *[F.coalesce(F.col("_patch"), F.col("role")).alias("role") if c == "role" else F.col(c) for c in USER_COLUMNS]
     )
     report = matched.select("email", "id", F.lit("existing").alias("status"), "role").unionByName(
-        created.select("email", "id", F.lit("created").alias("status"), "role")
+        outcome.select("email", "id", status, "role")
     )
     return SeedResult(new_auth, snapshot, report)

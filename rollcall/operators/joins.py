@@ -16,13 +16,15 @@ Three patterns recur in the directory jobs:
   remainder with an ordinary shuffle join.  AQE's skew-join split remains on
   as a second line of defence.
 
-* "new rows not yet in the big table" (insert-ignore, taken names).  With a
-  known small batch, ``anti_join_small`` broadcasts the batch's keys into a
-  semi join, so the big table is scanned rather than shuffled.
+* "new rows not yet in the big table" (insert-ignore, taken names).
+  ``anti_join_small`` first keeps the big table's keys that a staged batch asks
+  about; the planner broadcasts that batch if its stored size allows, and the
+  big table is then scanned rather than shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -53,114 +55,81 @@ def mark_first(
     return df.join(winners, key, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
-# A key list of at most this many rows is broadcast (strings of a few dozen
-# bytes: tens of MB at most).
-BROADCAST_KEYS = 1_000_000
-
-
-def anti_join_small(
-    small: DataFrame, big: DataFrame, key: str, big_key: str | None = None, rows: int | None = None
-) -> DataFrame:
-    """``small`` rows whose ``key`` does not occur in ``big`` (a left anti join).
+def anti_join_small(small: DataFrame, big: DataFrame, key: str, big_key: str | None = None) -> DataFrame:
+    """``small`` rows whose ``key`` does not occur in ``big`` (a left anti join), for a staged ``small``.
 
     Spark cannot broadcast the left side of an anti join, so ``small`` anti
     ``big`` shuffles all of ``big``.  Instead: first the keys of ``big`` that
-    ``small`` asks about (a semi join; when ``small`` is known to hold at most
-    ``BROADCAST_KEYS`` rows its keys are broadcast, so ``big`` is scanned,
-    never shuffled), then the anti join against that short list.  ``rows``
-    is an upper bound on ``small``'s row count when the caller has one
-    cheaply; without it, or above ``BROADCAST_KEYS``, this is one plain anti
-    join and the planner chooses the strategy from its statistics.
+    ``small`` asks about (a semi join), then the anti join against that
+    list.  ``small`` is a stored table, so the planner knows its bytes: below
+    its broadcast threshold ``big`` is only scanned, above it both sides are
+    shuffled as in any large join.  No size is assumed here.
     """
-    big_key = big_key or key
-    big_keys = big.select(F.col(big_key).alias(key))
-    if rows is None or rows > BROADCAST_KEYS:
-        # no usable bound: one plain anti join (two joins would only add work)
-        return small.join(big_keys, key, "left_anti")
-    present = big_keys.join(F.broadcast(small.select(key)), key, "left_semi")
+    big_keys = big.select(F.col(big_key or key).alias(key))
+    present = big_keys.join(small.select(key), key, "left_semi")
     return small.join(present, key, "left_anti")
 
 
-# Keys holding at least this share of the fact rows are treated as hot.  The
-# hot list is therefore at most 1 / HOT_FRACTION keys long.
+# Keys holding at least this share of the fact rows are treated as hot.  At
+# most 1 / HOT_FRACTION keys can hold it, which bounds the list.
 HOT_FRACTION = 0.001
-MAX_HOT_KEYS = int(1 / HOT_FRACTION)
-
-
-def hot_keys(df: DataFrame, key: str, fraction: float = HOT_FRACTION) -> list:
-    """Keys holding at least ``fraction`` of the rows (partial aggregate, bounded list)."""
-    total = df.count()
-    if total == 0:
-        return []
-    threshold = max(2, int(total * fraction))
-    rows = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .count()
-        .where(F.col("count") >= threshold)
-        .select(key)
-        # a guard only: no more keys can reach the threshold, and a key left
-        # out would still be joined correctly by the shuffle path
-        .limit(int(1 / fraction) + 1)
-        .collect()
-    )
-    return [r[0] for r in rows]
 
 
 def hot_keys_by_column(df: DataFrame, cols: Sequence[str], fraction: float = HOT_FRACTION) -> dict[str, list]:
-    """``hot_keys`` for several key columns of the same type in one aggregation pass.
+    """Per column, the keys holding at least ``fraction`` of the rows (and two rows), in one aggregation pass.
 
-    Returns at most ``1 / fraction`` keys per column.
+    At most ``1 / fraction`` keys per column can reach the threshold, so the
+    list is bounded without a limit.  The columns must have one type.
     """
-    types = {df.schema[c].dataType for c in cols}
-    if len(types) != 1:
-        return {c: hot_keys(df, c, fraction) for c in cols}
     total = df.count()
-    if total == 0:
-        return {c: [] for c in cols}
-    threshold = max(2, int(total * fraction))
+    threshold = max(2, math.ceil(total * fraction))
     pairs = df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("key")) for c in cols])).alias("p")
     ).select("p.col", "p.key")
-    rows = (
-        pairs.where(F.col("key").isNotNull())
-        .groupBy("col", "key")
-        .count()
-        .where(F.col("count") >= threshold)
-        .select("col", "key")
-        .limit(len(cols) * (int(1 / fraction) + 1))
-        .collect()
-    )
+    rows = pairs.where(F.col("key").isNotNull()).groupBy("col", "key").count().where(F.col("count") >= threshold)
     out: dict[str, list] = {c: [] for c in cols}
-    for r in rows:
+    for r in rows.select("col", "key").orderBy("col", "key").collect():
         out[r["col"]].append(r["key"])
     return out
 
 
+def hot_keys(df: DataFrame, key: str, fraction: float = HOT_FRACTION) -> list:
+    """Keys holding at least ``fraction`` of the rows (partial aggregate, bounded list)."""
+    return hot_keys_by_column(df, [key], fraction)[key]
+
+
 def lookup_join(
     facts: DataFrame,
-    fact_key: str,
+    keys: Sequence[str],
     dim: DataFrame,
     dim_key: str,
-    how: str = "left",
-    hot: list | None = None,
+    hot: dict[str, list] | None = None,
 ) -> DataFrame:
-    """Join each fact row to the dimension row with the same (unique) key.
-
-    Hot fact keys are served by broadcasting just their dimension rows; the
-    rest go through a normal shuffle join, so no task receives a hot key.
-    ``facts`` is read up to four times (count, hot-key aggregate, hot part,
-    cold part): pass a scan or a staged table, not an expensive derivation.
+    """Each fact row with the dimension row of each of its ``keys`` (left joins on a unique ``dim_key``).
+
+    The dimension's columns come back as structs named ``<key>_row``, null
+    where there is no such row.  Hot fact keys are served by broadcasting just
+    their dimension rows (at most 1 / HOT_FRACTION per key column).  In the
+    shuffle join their rows, and those without a key, match nothing and go by
+    a hash of the row, so no task receives a hot key.  Keys are compared as text.
+    ``facts`` is read three times (count, hot keys, joins) and the dimension
+    once per key: pass scans or staged tables.
     """
     if hot is None:
-        hot = hot_keys(facts, fact_key)
-    cond = facts[fact_key] == dim[dim_key]
-    if not hot:
-        return facts.join(dim, cond, how)
-    is_hot = F.col(fact_key).isin(hot)
-    dim_hot = dim.where(F.col(dim_key).isin(hot))  # at most len(hot) rows: dim_key is unique
-    hot_part = facts.where(is_hot).join(F.broadcast(dim_hot), facts[fact_key] == dim_hot[dim_key], how)
-    cold_facts = facts.where(~is_hot | F.col(fact_key).isNull())
-    cold_dim = dim.where(~F.col(dim_key).isin(hot))
-    cold_part = cold_facts.join(cold_dim, cold_facts[fact_key] == cold_dim[dim_key], how)
-    return hot_part.unionByName(cold_part)
+        hot = hot_keys_by_column(facts, keys)
+    out = facts
+    for key in keys:
+        row = F.struct(*[F.col(c) for c in dim.columns])
+        known = dim.select(F.col(dim_key).cast("string").alias("_key"), row.alias("_row"))
+        found = f"{key}_row"
+        cold = F.col(key).isNotNull() & (~F.col(key).isin(hot[key]) if hot[key] else F.lit(True))
+        spread = F.concat(F.lit("\x00"), F.xxhash64(*facts.columns).cast("string"))
+        out = out.withColumn("_cold", cold)
+        out = out.withColumn("_at", F.when(F.col("_cold"), F.col(key).cast("string")).otherwise(spread))
+        out = out.join(known, (out["_at"] == known["_key"]) & out["_cold"], "left")
+        out = out.drop("_key", "_cold", "_at").withColumnRenamed("_row", found)
+        if hot[key]:
+            few = known.where(F.col("_key").isin(hot[key]))  # at most len(hot) rows: the key is unique
+            out = out.join(F.broadcast(few), out[key].cast("string") == few["_key"], "left")
+            out = out.withColumn(found, F.coalesce(found, "_row")).drop("_key", "_row")
+    return out

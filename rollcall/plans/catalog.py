@@ -23,8 +23,9 @@ from rollcall.operators import search as S
 from rollcall.plans.positions import with_position
 from rollcall.session import durable, scratch_path
 from rollcall.sources import snapshots as SN
+from rollcall.sources import tables as T
 from rollcall.sources import views as V
-from rollcall.sources.schemas import USERS
+from rollcall.sources.schemas import AUTH_EVENTS, AUTH_USERS, USERS
 from rollcall.streaming import jobs as J
 from rollcall.streaming import session_state as SS
 
@@ -61,8 +62,30 @@ SEARCHES = {
     "search_literal": S.SearchRequest(q="r_0", literal=True),
     "sort_role_enum": S.SearchRequest(sort_by="role", sort_dir="asc"),
     "sort_last_login_nulls": S.SearchRequest(sort_by="last_login", sort_dir="asc"),
+    "search_from_ui": S.SearchRequest.from_ui(q="  team ", role="USER", joined_after="", sort_by="username", sort_dir="asc"),
 }
 
+# Neutral seeds of the O-03 scenario; a user passes their own
+SEEDS = (("Ada", "USER"), ("Noor", "ADMIN"), ("Kim", "USER"), ("Root", "SUPER_ADMIN"))
+
+
+def table_root(spark, name):
+    return scratch_path(spark, "tables", f"{name}-{uuid.uuid4().hex}")
+
+
+def stored_users(spark, df, cluster_by=None):
+    """A derived directory written once through the sink (O-04) and read back as stored table (O-01)."""
+    root = table_root(spark, "users")
+    SN.write_snapshot(df, root, cluster_by)
+    return T.read_users(spark, SN.current_path(spark, root))
+
+
+def stored_identities(spark, df):
+    """Derived identities written once and read back as stored table (O-02)."""
+    root = table_root(spark, "auth")
+    SN.write_snapshot(df, root)
+    return T.read_auth_users(spark, SN.current_path(spark, root))
+
 
 def run_search(spark: SparkSession, sf_dir: str, req: S.SearchRequest) -> DataFrame:
     users = V.users(spark, sf_dir)
@@ -78,20 +101,34 @@ for _name, _req in SEARCHES.items():
     QUERIES[_name] = _search_query(_req)
 
 
+@register("scan_users")
+def q_scan_users(spark, sf_dir):
+    """O-01 on a snapshot written before the avatar column existed (O-05)."""
+    root = table_root(spark, "users")
+    SN.write_snapshot(V.users(spark, sf_dir).drop("avatar_url"), root)
+    return T.read_users(spark, SN.current_path(spark, root))
+
+
+@register("scan_auth_users")
+def q_scan_auth_users(spark, sf_dir):
+    return stored_identities(spark, V.auth_users(spark, sf_dir))
+
+
 @register("list_directory")
 def q_list_directory(spark, sf_dir):
-    users = V.users(spark, sf_dir).select("id", "username", "role", "created_at")
-    return with_position(users, S.order_columns("created_at", True))
+    # the operator's order, and each row's place in it
+    listed = S.list_directory(V.users(spark, sf_dir))
+    return with_position(listed, S.order_columns("created_at", True))
 
 
 @register("directory_count")
 def q_directory_count(spark, sf_dir):
-    return S.directory_count(V.users(spark, sf_dir))
+    return S.directory_count(V.users(spark, sf_dir, ("id",)))
 
 
 @register("profile_by_id")
 def q_profile_by_id(spark, sf_dir):
-    return S.by_id(V.users(spark, sf_dir), "7")
+    return S.by_id(stored_users(spark, V.users(spark, sf_dir), cluster_by="id"), "7")
 
 
 @register("profile_display")
@@ -102,48 +139,48 @@ def q_profile_display(spark, sf_dir):
 # -------------------------------------------------------------- identity
 
 
-
 def users_existing(spark, sf_dir):
     """Directory snapshot missing every 7th profile (the back-fill scenario)."""
     return V.users(spark, sf_dir).where(F.col("id").cast("long") % 7 != 0)
 
 
-def new_identities(spark, sf_dir, existing=None):
-    """Identities without a profile in ``users_existing``: the sign-up batch."""
-    existing = users_existing(spark, sf_dir) if existing is None else existing
-    return V.auth_users(spark, sf_dir).join(existing.select("id"), "id", "left_anti")
-
+@register("derive_username")
+def q_derive_username(spark, sf_dir):
+    return I.derive_usernames(V.auth_users(spark, sf_dir))
 
-def stored(df, name):
-    """A derived directory table written once, as the stored table it stands for.
 
-    The profile jobs read the directory several times (ids, names); a real
-    deployment scans a stored snapshot, so the derivation is not repeated.
-    """
-    return durable(df, name)
+def _profiles_v1(spark, sf_dir):
+    crowd = stored_users(spark, V.crowded_directory(spark, sf_dir))
+    return I.build_profiles(V.shared_identities(spark, sf_dir), crowd, "v1", as_of_col())
 
 
-@register("derive_username")
-def q_derive_username(spark, sf_dir):
-    return I.derive_usernames(V.auth_users(spark, sf_dir))
+def _profiles_v2(spark, sf_dir):
+    crowd = stored_users(spark, V.crowded_directory(spark, sf_dir))
+    return I.build_profiles(V.auth_users(spark, sf_dir), crowd, "v2", as_of_col())
 
 
 @register("profiles_v1")
 def q_profiles_v1(spark, sf_dir):
-    return I.build_profiles(new_identities(spark, sf_dir), users_existing(spark, sf_dir), "v1", as_of_col()).profiles
+    return _profiles_v1(spark, sf_dir).profiles
 
 
 @register("profiles_v2")
 def q_profiles_v2(spark, sf_dir):
-    existing = stored(users_existing(spark, sf_dir), "users")
-    return I.build_profiles(new_identities(spark, sf_dir, existing), existing, "v2", as_of_col()).profiles
+    return _profiles_v2(spark, sf_dir).profiles
+
+
+@register("profiles_rejected")
+def q_profiles_rejected(spark, sf_dir):
+    """Every identity without a profile, under either rule, and why."""
+    v1 = _profiles_v1(spark, sf_dir).rejected.withColumn("variant", F.lit("v1"))
+    return v1.unionByName(_profiles_v2(spark, sf_dir).rejected.withColumn("variant", F.lit("v2")))
 
 
 @register("resolve_collisions")
 def q_resolve_collisions(spark, sf_dir):
-    existing = stored(users_existing(spark, sf_dir), "users")
-    claims = add_base_username(new_identities(spark, sf_dir, existing), "base").select("id", "base", "created_at")
-    res = I.resolve_collisions(claims, existing.select("username"))
+    crowd = stored_users(spark, V.crowded_directory(spark, sf_dir))
+    claims = durable(add_base_username(V.auth_users(spark, sf_dir), "base").select("id", "base", "created_at"), "claims")
+    res = I.resolve_collisions(claims, crowd.select("username"), stage_input=False)
     ok = res.accepted.join(claims.select("id", "base"), "id").select(
         "id", "base", "username", "attempt", F.lit("ok").alias("status")
     )
@@ -157,9 +194,20 @@ def q_resolve_collisions(spark, sf_dir):
     return ok.unionByName(bad)
 
 
+def _backfilled(spark, sf_dir):
+    existing = stored_users(spark, users_existing(spark, sf_dir))
+    return I.backfill_missing_profiles(V.auth_users(spark, sf_dir), existing, as_of_col())
+
+
 @register("backfill_missing_profiles")
 def q_backfill_missing_profiles(spark, sf_dir):
-    return I.backfill_missing_profiles(V.auth_users(spark, sf_dir), users_existing(spark, sf_dir), as_of_col())
+    return _backfilled(spark, sf_dir)[0]
+
+
+@register("backfill_rejected")
+def q_backfill_rejected(spark, sf_dir):
+    crowd = stored_users(spark, V.crowded_directory(spark, sf_dir))
+    return I.backfill_missing_profiles(V.shared_identities(spark, sf_dir), crowd, as_of_col())[1]
 
 
 @register("backfill_avatar")
@@ -169,8 +217,7 @@ def q_backfill_avatar(spark, sf_dir):
 
 @register("login_touch")
 def q_login_touch(spark, sf_dir):
-    snap = I.backfill_missing_profiles(V.auth_users(spark, sf_dir), users_existing(spark, sf_dir), as_of_col())
-    return I.login_touch(snap, V.auth_events(spark, sf_dir))
+    return I.login_touch(_backfilled(spark, sf_dir)[0], V.auth_events(spark, sf_dir))
 
 
 @register("cascade_delete")
@@ -179,46 +226,65 @@ def q_cascade_delete(spark, sf_dir):
     return I.cascade_delete(V.users(spark, sf_dir), kept)
 
 
+def _seeded(spark, sf_dir):
+    directory = V.users(spark, sf_dir).unionByName(V.seed_holders(spark, sf_dir))
+    users = stored_users(spark, directory)
+    auth = stored_identities(spark, V.auth_users(spark, sf_dir))
+    return I.seed_upsert(V.seed_batch(spark, sf_dir, SEEDS), auth, users, as_of_col())
+
+
 @register("seed_upsert")
 def q_seed_upsert(spark, sf_dir):
-    users = stored(V.users(spark, sf_dir), "users")
-    res = I.seed_upsert(V.seed_batch(spark, sf_dir), V.auth_users(spark, sf_dir), users, as_of_col())
-    return res.users
+    return _seeded(spark, sf_dir).users
 
 
-# ---------------------------------------------------------------- access
+@register("seed_report")
+def q_seed_report(spark, sf_dir):
+    return _seeded(spark, sf_dir).report
+
+
+@register("seed_identities")
+def q_seed_identities(spark, sf_dir):
+    return _seeded(spark, sf_dir).auth
 
 
+# ---------------------------------------------------------------- access
+
 
 @register("visible_rows_user")
 def q_visible_rows_user(spark, sf_dir):
-    return A.visible_to(V.users(spark, sf_dir), "2")
+    return A.visible_to(stored_users(spark, V.users(spark, sf_dir), cluster_by="id"), "2")
 
 
 @register("visible_rows_admin")
 def q_visible_rows_admin(spark, sf_dir):
-    return A.visible_to(V.users(spark, sf_dir), "11")
+    return A.visible_to(stored_users(spark, V.users(spark, sf_dir), cluster_by="id"), "11")
 
 
 @register("visible_counts")
 def q_visible_counts(spark, sf_dir):
-    return A.visible_counts(V.users(spark, sf_dir))
+    return A.visible_counts(V.users(spark, sf_dir, ("id", "role")))
+
+
+def _roles(spark, sf_dir):
+    """What role look-ups need of the directory, staged once."""
+    return durable(V.users(spark, sf_dir, ("id", "role")), "roles")
 
 
 @register("permission_flags")
 def q_permission_flags(spark, sf_dir):
-    return A.permission_flags(V.role_requests(spark, sf_dir), stored(V.users(spark, sf_dir), "users"))
+    return A.permission_flags(V.role_requests(spark, sf_dir), _roles(spark, sf_dir))
 
 
 @register("change_roles")
 def q_change_roles(spark, sf_dir):
-    return A.role_change_outcomes(V.role_requests(spark, sf_dir), stored(V.users(spark, sf_dir), "users"))
+    return A.role_change_outcomes(V.role_requests(spark, sf_dir), _roles(spark, sf_dir))
 
 
 @register("change_roles_snapshot")
 def q_change_roles_snapshot(spark, sf_dir):
-    users = stored(V.users(spark, sf_dir), "users")
-    return A.apply_role_changes(users, A.role_change_outcomes(V.role_requests(spark, sf_dir), users))
+    users = stored_users(spark, V.users(spark, sf_dir))
+    return A.apply_role_changes(users, A.role_change_outcomes(V.role_requests(spark, sf_dir), users.select("id", "role")))
 
 
 # --------------------------------------------------------------- quality
@@ -246,8 +312,9 @@ def q_login_check(spark, sf_dir):
 
 @register("constraint_report")
 def q_constraint_report(spark, sf_dir):
-    kept = V.auth_users(spark, sf_dir).where(F.col("id").cast("long") % 11 != 0)
-    return Q.constraint_report(V.users(spark, sf_dir), kept)
+    directory = durable(V.broken_directory(stored_users(spark, V.users(spark, sf_dir))), "broken")
+    kept = V.auth_users(spark, sf_dir).select("id").where(F.col("id").cast("long") % 11 != 0)
+    return Q.constraint_report(directory, kept)
 
 
 # --------------------------------------------------------------- session
@@ -261,6 +328,7 @@ def q_session_state(spark, sf_dir):
 # ------------------------------------------------------------- streaming
 
 
+BATCHES = 4
 
 
 def _stream_dirs(spark, name):
@@ -268,51 +336,56 @@ def _stream_dirs(spark, name):
     return os.path.join(run, "out"), os.path.join(run, "checkpoint")
 
 
+def _arriving(spark, df, part, name):
+    """``df`` arriving in a folder, part by part (0..BATCHES - 1); yields the folder after each arrival."""
+    folder = table_root(spark, name)
+    staged = durable(df.withColumn("_part", part), name, partition_by="_part")
+    for i in range(BATCHES):
+        staged.where(F.col("_part") == i).drop("_part").write.mode("append").parquet(folder)
+        yield folder
+
+
+def _event_streams(spark, sf_dir):
+    events = V.auth_events(spark, sf_dir)
+    for folder in _arriving(spark, events, F.pmod("event_id", F.lit(BATCHES)), "events"):
+        yield J.file_stream(spark, folder, AUTH_EVENTS)
+
+
 @register("session_state_stream")
 def q_session_state_stream(spark, sf_dir):
     out, ckpt = _stream_dirs(spark, "session")
-    J.run_session_stream(spark, os.path.join(sf_dir, "events.parquet"), out, ckpt)
+    for events in _event_streams(spark, sf_dir):  # a restart from the checkpoint for each arrival
+        J.run_session_stream(events, out, ckpt)
     return SS.session_state(J.read_session_latest(spark, out), users_existing(spark, sf_dir))
 
 
 @register("login_touch_stream")
 def q_login_touch_stream(spark, sf_dir):
     out, ckpt = _stream_dirs(spark, "login")
-    J.run_login_stream(spark, os.path.join(sf_dir, "events.parquet"), out, ckpt)
-    snap = I.backfill_missing_profiles(V.auth_users(spark, sf_dir), users_existing(spark, sf_dir), as_of_col())
-    return J.apply_login_updates(spark, snap, out)
+    for events in _event_streams(spark, sf_dir):
+        J.run_login_stream(events, out, ckpt)
+    return J.apply_login_updates(spark, _backfilled(spark, sf_dir)[0], out)
 
 
 @register("profiles_stream")
 def q_profiles_stream(spark, sf_dir):
+    """All identities in four micro-batches (by ``k % 4``) against the crowded directory."""
     out, ckpt = _stream_dirs(spark, "profiles")
-    rejects = out + "-rejects"
-    J.run_profile_stream(
-        spark,
-        os.path.join(sf_dir, "customer.parquet"),
-        sf_dir,
-        stored(users_existing(spark, sf_dir), "users"),
-        out,
-        rejects,
-        ckpt,
-        as_of_col(),
-    )
-    return J.read_batches(spark, out)
+    crowd = stored_users(spark, V.crowded_directory(spark, sf_dir))
+    part = F.pmod(F.col("id").cast("long"), F.lit(BATCHES))
+    for folder in _arriving(spark, V.auth_users(spark, sf_dir), part, "identities"):
+        J.run_profile_stream(J.file_stream(spark, folder, AUTH_USERS), crowd, out, out + "-rejects", ckpt, as_of=as_of_col())
+    return J.read_batches(spark, out, USERS)
 
 
 # ------------------------------------------------- more reads and sinks
 
 
-@register("seed_report")
-def q_seed_report(spark, sf_dir):
-    users = stored(V.users(spark, sf_dir), "users")
-    return I.seed_upsert(V.seed_batch(spark, sf_dir), V.auth_users(spark, sf_dir), users, as_of_col()).report
-
-
 @register("username_taken")
 def q_username_taken(spark, sf_dir):
-    names = stored(I.derive_usernames(V.auth_users(spark, sf_dir)), "names")  # read several times by the lookup
-    return I.existence(users_existing(spark, sf_dir), names, "base_username")
+    names = durable(I.derive_usernames(V.auth_users(spark, sf_dir)), "names")  # read several times by the lookup
+    taken = durable(users_existing(spark, sf_dir).select("username"), "held")
+    return I.existence(taken, names, "base_username")
 
 
 @register("signup_accounts")
@@ -325,7 +398,7 @@ def q_signup_accounts(spark, sf_dir):
 def q_profile_sink(spark, sf_dir):
     """O-04 / O-05: a snapshot written before the avatar column existed, read
     back with the column added, back-filled, written as the next version."""
-    root = scratch_path(spark, "tables", f"users-{uuid.uuid4().hex}")
+    root = table_root(spark, "users")
     SN.write_snapshot(V.users(spark, sf_dir).drop("avatar_url"), root)
     before = SN.read_snapshot(spark, root, USERS)
     SN.write_snapshot(I.backfill_avatar(before, V.auth_users(spark, sf_dir)), root, cluster_by="id")

@@ -76,7 +76,14 @@ FROM customer""",
     # snapshots used by the back-fill, cascade and collision scenarios
     "users_existing": "SELECT * FROM users WHERE CAST(id AS BIGINT) % 7 <> 0",
     "auth_kept": "SELECT * FROM auth_users WHERE CAST(id AS BIGINT) % 11 <> 0",
-    "new_identities": "SELECT a.* FROM auth_users a WHERE NOT EXISTS (SELECT 1 FROM users_existing u WHERE u.id = a.id)",
+    # identities the v1 rule cannot all serve: shared, missing and over-long names
+    "shared": """
+SELECT id, CASE WHEN k % 31 = 0 THEN NULL
+                WHEN k % 29 = 0 THEN concat('someone_with_a_long_name_', id, '@example.com')
+                WHEN k % 3 = 0 THEN concat('team', k % 40, '@example.com') ELSE email END AS email,
+       CASE WHEN k % 31 <> 0 AND k % 29 <> 0 AND k % 3 <> 0 THEN raw_user_meta_data END AS raw_user_meta_data,
+       created_at, last_sign_in_at
+FROM (SELECT *, CAST(id AS BIGINT) AS k FROM auth_users) x""",
 }
 
 
@@ -116,50 +123,58 @@ CASE
   ELSE concat('user_', substr(id, 1, 8))
 END"""
 
+# the crowded directory: of every third identity, names 0..k % 23 (ten at most) are held
+VIEWS["crowd"] = f"""
+SELECT concat('held-', id, '-', j) AS id,
+       CASE WHEN j = 0 THEN base ELSE concat(base, '_', substr(md5(concat(id, ':', j)), 1, 4)) END AS username
+FROM (SELECT id, CAST(id AS BIGINT) AS k, {BASE_USERNAME_SQL} AS base FROM auth_users) a, range(0, 11) t(j)
+WHERE k % 3 = 0 AND j <= k % 23"""
+
 V1_USERNAME_SQL = "coalesce(json_extract_string(raw_user_meta_data, '$.username'), split_part(email, '@', 1))"
 
 
-def collision_sql(new_rel: str, existing_rel: str, rounds: int = 10) -> str:
+def collision_sql(new_rel: str, existing_rel: str, rounds: int = 10, p: str = "") -> str:
     """O-27 as unrolled SQL: returns CTE text defining ``resolved(id, base, username, attempt)``.
 
-    ``new_rel`` has (id, base, created_at); ``existing_rel`` has (username).
+    ``new_rel`` has (id, base, created_at); ``existing_rel`` has (username);
+    ``p`` prefixes the CTE names, so that batches can follow each other.
     """
     parts = [
-        f"""w0 AS (
+        f"""{p}w0 AS (
   SELECT id, base AS username, 0 AS attempt FROM (
     SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY created_at NULLS LAST, id) AS rn
     FROM {new_rel} n
     WHERE NOT EXISTS (SELECT 1 FROM {existing_rel} e WHERE e.username = n.base)) t
   WHERE rn = 1)""",
-        f"""rest AS (SELECT * FROM {new_rel} n WHERE NOT EXISTS (SELECT 1 FROM w0 WHERE w0.id = n.id))""",
-        f"""cands AS (
+        f"""{p}rest AS (SELECT * FROM {new_rel} n WHERE NOT EXISTS (SELECT 1 FROM {p}w0 w WHERE w.id = n.id))""",
+        f"""{p}cands AS (
   SELECT r.id, r.created_at, t.k,
          concat(r.base, '_', substr(md5(concat(r.id, ':', CAST(t.k AS VARCHAR))), 1, 4)) AS cand
-  FROM rest r, range(1, {rounds + 1}) t(k))""",
-        f"""freec AS (
-  SELECT * FROM cands c
+  FROM {p}rest r, range(1, {rounds + 1}) t(k))""",
+        f"""{p}freec AS (
+  SELECT * FROM {p}cands c
   WHERE NOT EXISTS (SELECT 1 FROM {existing_rel} e WHERE e.username = c.cand)
-    AND NOT EXISTS (SELECT 1 FROM w0 WHERE w0.username = c.cand))""",
+    AND NOT EXISTS (SELECT 1 FROM {p}w0 w WHERE w.username = c.cand))""",
     ]
     for k in range(1, rounds + 1):
-        prior = " UNION ALL ".join(f"SELECT id, username FROM a{j}" for j in range(1, k))
+        prior = " UNION ALL ".join(f"SELECT id, username FROM {p}a{j}" for j in range(1, k))
         extra = ""
         if prior:
             extra = (
-                f"\n      AND NOT EXISTS (SELECT 1 FROM ({prior}) p WHERE p.id = f.id)"
-                f"\n      AND NOT EXISTS (SELECT 1 FROM ({prior}) p WHERE p.username = f.cand)"
+                f"\n      AND NOT EXISTS (SELECT 1 FROM ({prior}) o WHERE o.id = f.id)"
+                f"\n      AND NOT EXISTS (SELECT 1 FROM ({prior}) o WHERE o.username = f.cand)"
             )
         parts.append(
-            f"""a{k} AS (
+            f"""{p}a{k} AS (
   SELECT id, cand AS username, {k} AS attempt FROM (
     SELECT f.id, f.cand, row_number() OVER (PARTITION BY f.cand ORDER BY f.created_at NULLS LAST, f.id) AS rn
-    FROM freec f
+    FROM {p}freec f
     WHERE f.k = {k}{extra}) t
   WHERE rn = 1)"""
         )
-    accepted = " UNION ALL ".join(["SELECT * FROM w0"] + [f"SELECT * FROM a{k}" for k in range(1, rounds + 1)])
+    accepted = " UNION ALL ".join([f"SELECT * FROM {p}w0"] + [f"SELECT * FROM {p}a{k}" for k in range(1, rounds + 1)])
     parts.append(
-        f"""resolved AS (
+        f"""{p}resolved AS (
   SELECT n.id, n.base, acc.username, acc.attempt,
          concat(n.base, '_', substr(md5(concat(n.id, ':', '{rounds}')), 1, 4)) AS last_candidate
   FROM {new_rel} n LEFT JOIN ({accepted}) acc ON acc.id = n.id)"""
@@ -186,6 +201,7 @@ ORACLE: dict[str, str] = {
     "search_literal": search_sql("username ILIKE '%r\\_0%' ESCAPE '\\'"),
     "sort_role_enum": search_sql("", f"{role_rank_sql()} ASC NULLS LAST"),
     "sort_last_login_nulls": search_sql("", "last_login ASC NULLS LAST"),
+    "search_from_ui": search_sql("username ILIKE '%team%' AND role = 'USER'", "username ASC NULLS LAST"),
     "list_directory": with_views(
         """SELECT id, username, role, created_at,
        row_number() OVER (ORDER BY created_at ASC NULLS LAST, id ASC) AS pos
@@ -199,7 +215,7 @@ FROM users""",
     "profile_display": with_views(
         """SELECT id, username, upper(substr(username, 1, 1)) AS initial,
        coalesce(strftime(created_at, '%Y-%m-%d'), 'N/A') AS joined,
-       coalesce(strftime(last_login, '%Y-%m-%d'), 'Never') AS last_seen
+       coalesce(strftime(last_login, '%Y-%m-%d %H:%M:%S'), 'Never') AS last_seen
 FROM users""",
         "users",
     ),
@@ -213,57 +229,92 @@ def with_ctes(body: str, views: tuple[str, ...] = (), extra: tuple[str, ...] = (
 
 
 _PROFILE_NULLS = "CAST(NULL AS TIMESTAMP) AS last_login"
-_SCENARIO = ("users", "auth_users", "users_existing", "new_identities")
-_CLAIMS_V2 = f"claims AS (SELECT id, {BASE_USERNAME_SQL} AS base, created_at FROM new_identities)"
+_CLAIMS_V2 = f"claims AS (SELECT id, {BASE_USERNAME_SQL} AS base, created_at FROM auth_users)"
+
+
+def v1_sql(new_rel: str, existing_rel: str) -> str:
+    """v1 rule as CTE text ``v1(id, created_at, username, reason)``: reason is NULL for what is stored."""
+    return f"""v1 AS (
+  SELECT id, created_at, username, CASE
+           WHEN username IS NULL THEN 'username_not_null' WHEN length(username) > 20 THEN 'username_length'
+           WHEN rn > 1 OR EXISTS (SELECT 1 FROM {existing_rel} e WHERE e.username = x.username) THEN 'username_unique'
+         END AS reason
+  FROM (SELECT *, row_number() OVER (PARTITION BY username ORDER BY created_at NULLS LAST, id) AS rn
+        FROM (SELECT id, created_at, {V1_USERNAME_SQL} AS username FROM {new_rel} a
+              WHERE NOT EXISTS (SELECT 1 FROM {existing_rel} u WHERE u.id = a.id)) n) x)"""
+
+
+_BACKFILL_CTE = v1_sql("auth_users", "users_existing")
 _BACKFILL = f"""SELECT id, username, role, created_at, last_login, avatar_url FROM users_existing
 UNION ALL
-SELECT id, {V1_USERNAME_SQL} AS username, 'USER' AS role, coalesce(created_at, {AS_OF_SQL}) AS created_at,
+SELECT id, username, 'USER' AS role, coalesce(created_at, {AS_OF_SQL}) AS created_at,
        {_PROFILE_NULLS}, CAST(NULL AS VARCHAR) AS avatar_url
-FROM auth_users a WHERE NOT EXISTS (SELECT 1 FROM users_existing u WHERE u.id = a.id)"""
+FROM v1 WHERE reason IS NULL"""
 _SEEDS = f"""seeds AS (
-  SELECT * FROM (VALUES ('Bryan', 'USER'), ('Odin', 'ADMIN'), ('Damon', 'USER'), ('Boss', 'SUPER_ADMIN')) v(username, role)
+  SELECT * FROM (VALUES ('Ada', 'USER'), ('Noor', 'ADMIN'), ('Kim', 'USER'), ('Root', 'SUPER_ADMIN')) v(username, role)
   UNION ALL
   SELECT concat('User', c_custkey) AS username,
          CASE WHEN c_custkey % 4 = 1 THEN 'ADMIN' WHEN c_custkey % 4 = 3 THEN 'SUPER_ADMIN' ELSE 'USER' END AS role
   FROM customer),
+directory AS (
+  SELECT id, username, role, created_at, last_login, avatar_url FROM users
+  UNION ALL
+  SELECT concat('held-', id, '-', j), CASE WHEN j = 0 THEN base ELSE concat(base, '_', substr(md5(concat(id, ':', j)), 1, 4)) END,
+         'USER', NULL, NULL, NULL
+  FROM (SELECT concat('user', c_custkey) AS base, md5(concat('user', c_custkey, '@app.local')) AS id
+        FROM customer WHERE c_custkey % 10 = 5) h, range(0, 11) t(j)),
 batch AS (SELECT concat(lower(username), '@app.local') AS email, min(username) AS username,
                  arg_max(role, {role_rank_sql()}) AS role
           FROM seeds GROUP BY concat(lower(username), '@app.local')),
 known AS (SELECT lower(email) AS email, min(id) AS id FROM auth_users WHERE email IS NOT NULL GROUP BY lower(email)),
 matched AS (SELECT b.email, k.id, b.role FROM batch b JOIN known k ON k.email = b.email),
-created AS (SELECT md5(b.email) AS id, b.email, concat('{{"username":"', b.username, '"}}') AS raw_user_meta_data,
-                   {AS_OF_SQL} AS created_at, b.role
-            FROM batch b WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.email = b.email)),
-claims AS (SELECT id, {BASE_USERNAME_SQL} AS base, created_at FROM created c
-           WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.id = c.id))"""
+fresh AS (SELECT md5(b.email) AS id, b.email, concat('{{"username":"', b.username, '"}}') AS raw_user_meta_data,
+                 {AS_OF_SQL} AS created_at, b.role
+          FROM batch b WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.email = b.email)),
+claims AS (SELECT id, {BASE_USERNAME_SQL} AS base, created_at FROM fresh c
+           WHERE NOT EXISTS (SELECT 1 FROM directory u WHERE u.id = c.id)),
+{collision_sql("claims", "directory")},
+created AS (SELECT c.* FROM fresh c WHERE NOT EXISTS (SELECT 1 FROM resolved r WHERE r.id = c.id AND r.username IS NULL))"""
 
 ORACLE.update(
     {
         "derive_username": with_views(
             f"SELECT id, {BASE_USERNAME_SQL} AS base_username FROM auth_users", "auth_users"
         ),
-        "profiles_v1": with_views(
-            f"""SELECT id, {V1_USERNAME_SQL} AS username, 'USER' AS role, {AS_OF_SQL} AS created_at,
-       {_PROFILE_NULLS}, CAST(NULL AS VARCHAR) AS avatar_url
-FROM new_identities""",
-            *_SCENARIO,
+        "profiles_v1": with_ctes(
+            f"""SELECT id, username, 'USER' AS role, {AS_OF_SQL} AS created_at, {_PROFILE_NULLS}, CAST(NULL AS VARCHAR) AS avatar_url
+FROM v1 WHERE reason IS NULL""",
+            ("auth_users", "crowd", "shared"),
+            (v1_sql("shared", "crowd"),),
         ),
         "profiles_v2": with_ctes(
             f"""SELECT r.id, r.username, 'USER' AS role, {AS_OF_SQL} AS created_at, {_PROFILE_NULLS},
        json_extract_string(n.raw_user_meta_data, '$.avatar_url') AS avatar_url
-FROM resolved r JOIN new_identities n ON n.id = r.id
+FROM resolved r JOIN auth_users n ON n.id = r.id
 WHERE r.username IS NOT NULL""",
-            _SCENARIO,
-            (_CLAIMS_V2, collision_sql("claims", "users_existing")),
+            ("auth_users", "crowd"),
+            (_CLAIMS_V2, collision_sql("claims", "crowd")),
+        ),
+        "profiles_rejected": with_ctes(
+            """SELECT id, username, reason, 'v1' AS variant FROM v1 WHERE reason IS NOT NULL
+UNION ALL
+SELECT id, last_candidate, 'username_unique', 'v2' FROM resolved WHERE username IS NULL""",
+            ("auth_users", "crowd", "shared"),
+            (v1_sql("shared", "crowd"), _CLAIMS_V2, collision_sql("claims", "crowd")),
         ),
         "resolve_collisions": with_ctes(
             """SELECT id, base, username, CAST(attempt AS BIGINT) AS attempt,
        CASE WHEN username IS NULL THEN 'rejected' ELSE 'ok' END AS status
 FROM resolved""",
-            _SCENARIO,
-            (_CLAIMS_V2, collision_sql("claims", "users_existing")),
+            ("auth_users", "crowd"),
+            (_CLAIMS_V2, collision_sql("claims", "crowd")),
+        ),
+        "backfill_missing_profiles": with_ctes(_BACKFILL, ("users", "auth_users", "users_existing"), (_BACKFILL_CTE,)),
+        "backfill_rejected": with_ctes(
+            "SELECT id, username, reason FROM v1 WHERE reason IS NOT NULL",
+            ("auth_users", "crowd", "shared"),
+            (v1_sql("shared", "crowd"),),
         ),
-        "backfill_missing_profiles": with_views(_BACKFILL, "users", "auth_users", "users_existing"),
         "backfill_avatar": with_views(
             """SELECT u.id, u.username, u.role, u.created_at, u.last_login,
        coalesce(u.avatar_url, json_extract_string(a.raw_user_meta_data, '$.avatar_url')) AS avatar_url
@@ -276,6 +327,7 @@ FROM users u LEFT JOIN auth_users a ON a.id = u.id""",
 FROM snap s LEFT JOIN t ON t.id = s.id""",
             ("users", "auth_users", "users_existing", "auth_events"),
             (
+                _BACKFILL_CTE,
                 f"snap AS ({_BACKFILL})",
                 "t AS (SELECT id, max(ts) AS touch FROM auth_events WHERE event = 'SIGNED_IN' GROUP BY id)",
             ),
@@ -293,9 +345,8 @@ FROM snap s LEFT JOIN patches p ON p.id = s.id""",
             ("users", "auth_users"),
             (
                 _SEEDS,
-                collision_sql("claims", "users"),
                 f"""snap AS (
-  SELECT id, username, role, created_at, last_login, avatar_url FROM users
+  SELECT id, username, role, created_at, last_login, avatar_url FROM directory
   UNION ALL
   SELECT r.id, r.username, 'USER' AS role, {AS_OF_SQL} AS created_at, {_PROFILE_NULLS},
          json_extract_string(c.raw_user_meta_data, '$.avatar_url') AS avatar_url
@@ -311,6 +362,14 @@ FROM snap s LEFT JOIN patches p ON p.id = s.id""",
 
 
 _ADMINS = "('ADMIN', 'SUPER_ADMIN')"
+_BROKEN = """broken AS (
+  SELECT id, username, role FROM users
+  UNION ALL SELECT NULL, concat('noid_', id), 'USER' FROM users WHERE CAST(id AS BIGINT) % 101 = 1
+  UNION ALL SELECT concat('x', id), NULL, 'USER' FROM users WHERE CAST(id AS BIGINT) % 103 = 1
+  UNION ALL SELECT concat('y', id), concat('a_very_long_username_', id), 'USER' FROM users WHERE CAST(id AS BIGINT) % 107 = 1
+  UNION ALL SELECT concat('z', id), concat('z', id), 'OWNER' FROM users WHERE CAST(id AS BIGINT) % 109 = 1
+  UNION ALL SELECT id, concat('dup_', id), 'USER' FROM users WHERE CAST(id AS BIGINT) % 113 = 1
+  UNION ALL SELECT concat('w', id), username, 'USER' FROM users WHERE CAST(id AS BIGINT) % 127 = 1)"""
 _OUTCOMES = """SELECT request_id, actor_id, target_id, action, status, old_role,
        CASE WHEN status = 'applied' THEN CASE action WHEN 'promote' THEN 'ADMIN' ELSE 'USER' END
             ELSE old_role END AS new_role
@@ -394,18 +453,17 @@ FROM users u LEFT JOIN (SELECT target_id, arg_max(new_role, request_id) AS new_r
         ),
         "signup_check": _form_check_sql(_SIGNUP_RULES),
         "login_check": _form_check_sql(_LOGIN_RULES),
-        "constraint_report": with_views(
-            f"""SELECT 'id_not_null' AS rule, username AS key FROM users WHERE id IS NULL
-UNION ALL SELECT 'username_not_null', id FROM users WHERE username IS NULL
-UNION ALL SELECT 'username_length', id FROM users WHERE length(username) > 20
-UNION ALL SELECT 'role_enum', id FROM users WHERE role IS NULL OR role NOT IN ('USER', 'ADMIN', 'SUPER_ADMIN')
-UNION ALL SELECT 'id_unique', id FROM users WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1
-UNION ALL SELECT 'username_unique', username FROM users WHERE username IS NOT NULL GROUP BY username HAVING count(*) > 1
-UNION ALL SELECT 'identity_exists', id FROM users u
+        "constraint_report": with_ctes(
+            """SELECT 'id_not_null' AS rule, username AS key FROM broken WHERE id IS NULL
+UNION ALL SELECT 'username_not_null', id FROM broken WHERE username IS NULL
+UNION ALL SELECT 'username_length', id FROM broken WHERE length(username) > 20
+UNION ALL SELECT 'role_enum', id FROM broken WHERE role IS NULL OR role NOT IN ('USER', 'ADMIN', 'SUPER_ADMIN')
+UNION ALL SELECT 'id_unique', id FROM broken WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'username_unique', username FROM broken WHERE username IS NOT NULL GROUP BY username HAVING count(*) > 1
+UNION ALL SELECT 'identity_exists', id FROM broken u
           WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM auth_kept a WHERE a.id = u.id)""",
-            "users",
-            "auth_users",
-            "auth_kept",
+            ("users", "auth_users", "auth_kept"),
+            (_BROKEN,),
         ),
         "session_state": with_views(_SESSION, "users", "users_existing", "auth_events"),
     }
@@ -414,17 +472,44 @@ UNION ALL SELECT 'identity_exists', id FROM users u
 # streaming jobs must agree with their batch counterparts
 ORACLE["session_state_stream"] = ORACLE["session_state"]
 ORACLE["login_touch_stream"] = ORACLE["login_touch"]
-ORACLE["profiles_stream"] = ORACLE["profiles_v2"]
+
+
+def _stream_sql(batches: int = 4) -> str:
+    """v2 profiles of the identities with k % batches = 0, then 1, ...: each batch sees the names before it."""
+    ctes = [_CLAIMS_V2]
+    for i in range(batches):
+        earlier = "".join(f" UNION ALL SELECT username FROM b{j}_resolved WHERE username IS NOT NULL" for j in range(i))
+        ctes.append(f"b{i}_new AS (SELECT * FROM claims WHERE CAST(id AS BIGINT) % {batches} = {i})")
+        ctes.append(f"b{i}_held AS (SELECT username FROM crowd{earlier})")
+        ctes.append(collision_sql(f"b{i}_new", f"b{i}_held", p=f"b{i}_"))
+    made = " UNION ALL ".join(f"SELECT id, username FROM b{i}_resolved WHERE username IS NOT NULL" for i in range(batches))
+    body = f"""SELECT r.id, r.username, 'USER' AS role, {AS_OF_SQL} AS created_at, {_PROFILE_NULLS},
+       json_extract_string(n.raw_user_meta_data, '$.avatar_url') AS avatar_url
+FROM ({made}) r JOIN auth_users n ON n.id = r.id"""
+    return with_ctes(body, ("auth_users", "crowd"), tuple(ctes))
+
+
+ORACLE["profiles_stream"] = _stream_sql()
 
 ORACLE.update(
     {
         "seed_report": with_ctes(
             """SELECT email, id, 'existing' AS status, role FROM matched
 UNION ALL
-SELECT email, id, 'created' AS status, role FROM created""",
+SELECT email, id, CASE WHEN EXISTS (SELECT 1 FROM created c WHERE c.id = f.id) THEN 'created' ELSE 'rejected' END, role
+FROM fresh f""",
+            ("users", "auth_users"),
+            (_SEEDS,),
+        ),
+        "seed_identities": with_ctes(
+            """SELECT id, email, raw_user_meta_data, created_at, last_sign_in_at FROM auth_users
+UNION ALL
+SELECT id, email, raw_user_meta_data, created_at, NULL FROM created""",
             ("users", "auth_users"),
             (_SEEDS,),
         ),
+        "scan_users": with_views("SELECT * FROM users", "users"),
+        "scan_auth_users": with_views("SELECT * FROM auth_users", "auth_users"),
         "username_taken": with_views(
             f"""SELECT a.id, a.base_username,
        EXISTS (SELECT 1 FROM users_existing u WHERE u.username = a.base_username) AS taken

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,6 +86,28 @@ def _app_id(spark: SparkSession) -> str:
         return spark.conf.get("spark.app.id", "session")
 
 
+# the folder that staged tables go to, if not the application's own
+_AREA: ContextVar[str | None] = ContextVar("staged_area", default=None)
+
+
+@contextmanager
+def staged_area(spark: SparkSession):
+    """Tables staged inside are dropped at the end: only for results already written elsewhere.
+
+    A long-running stream uses one area per micro-batch, or its staged
+    tables would fill the shared folder.
+    """
+    path = scratch_path(spark, "stage", _app_id(spark), f"area-{uuid.uuid4().hex}")
+    token = _AREA.set(path)
+    try:
+        yield path
+    finally:
+        _AREA.reset(token)
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def durable(df: DataFrame, name: str = "stage", partition_by: str | None = None) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared folder and cut its lineage.
 
@@ -94,7 +118,8 @@ def durable(df: DataFrame, name: str = "stage", partition_by: str | None = None)
     the data must outlive the loss of the executor that computed it.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, "stage", _app_id(spark), f"{name}-{uuid.uuid4().hex}")
+    area = _AREA.get() or scratch_path(spark, "stage", _app_id(spark))
+    path = os.path.join(area, f"{name}-{uuid.uuid4().hex}")
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     # read back with the known schema: types stay exact (a partition column

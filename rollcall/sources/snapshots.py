@@ -1,22 +1,32 @@
 """Profile sink (O-04) and the additive column (O-05).
 
 Plain parquet has no MERGE, so an update produces a new snapshot version in
-its own directory; the pointer to the current version is written last, so a
-reader never sees a half-written version and never reads the directory
-being written.  All paths are on the shared folder (``spark.checkpoint.dir``
-or a table root the caller names), and all I/O goes through Spark, so the
-same code works on HDFS / object stores.
+its own directory.  A version counts once its commit marker is there: a small
+text table of its own under ``commits``, holding the version number and
+written after the data.  Markers and versions are only ever added, never
+replaced: a reader takes the highest committed version, so it never sees a
+half-written one, and a writer that died leaves earlier versions as they were
+(its unfinished directory is skipped, never written over).  Only a missing
+path counts as "no version yet"; any other read error is raised.
+
+All paths are on the shared folder (``spark.checkpoint.dir`` or a table root
+the caller names), and all I/O goes through Spark, so the same code works on
+HDFS / object stores.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-POINTER = "_current"
+from rollcall.sources.tables import missing_path
+
+COMMITS = "commits"
 
 
 def with_additive_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -32,37 +42,49 @@ def version_path(root: str, version: int) -> str:
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
+    """The highest committed version; None if nothing was committed yet."""
+    markers = spark.read.schema("value string").option("recursiveFileLookup", "true")
     try:
-        row = spark.read.text(os.path.join(root, POINTER)).first()
-    except Exception:  # no pointer yet
-        return None
-    return int(row[0]) if row else None
+        return markers.text(os.path.join(root, COMMITS)).agg(F.max(F.col("value").cast("int"))).first()[0]
+    except AnalysisException as exc:
+        if missing_path(exc):
+            return None
+        raise
 
 
-def write_snapshot(df: DataFrame, root: str, version: int | None = None, cluster_by: str | None = None) -> int:
-    """Write ``df`` as a new version and move the pointer to it; returns the version.
+def write_snapshot(df: DataFrame, root: str, cluster_by: str | None = None) -> int:
+    """Write ``df`` as the next version and commit it; returns the version.
 
     ``cluster_by`` (e.g. ``"id"``) range-partitions and sorts the version by
     that column, so each file and row group covers a narrow key range and a
     key lookup (O-13) skips the rest by their min/max statistics.
     """
     spark = df.sparkSession
-    if version is None:
-        latest = current_version(spark, root)
-        version = 0 if latest is None else latest + 1
+    latest = current_version(spark, root)
+    version = 0 if latest is None else latest + 1
     if cluster_by:
         df = df.repartitionByRange(cluster_by).sortWithinPartitions(cluster_by)
-    df.write.mode("overwrite").parquet(version_path(root, version))
-    spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("overwrite").text(
-        os.path.join(root, POINTER)
-    )
+    while True:
+        try:
+            df.write.mode("errorifexists").parquet(version_path(root, version))
+            break
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            version += 1  # left by a writer that did not commit
+    marker = os.path.join(root, COMMITS, f"{version:08d}-{uuid.uuid4().hex}")
+    spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("errorifexists").text(marker)
     return version
 
 
-def read_snapshot(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
-    """The current version (additive columns filled in when a schema is given)."""
+def current_path(spark: SparkSession, root: str) -> str:
     version = current_version(spark, root)
     if version is None:
         raise FileNotFoundError(f"no snapshot under {root}")
-    df = spark.read.parquet(version_path(root, version))
-    return with_additive_columns(df, schema) if schema is not None else df
+    return version_path(root, version)
+
+
+def read_snapshot(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
+    """The current version; with a declared schema, columns the files lack are NULL (O-05)."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(current_path(spark, root))

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.sources import schemas as S
 
 
+def missing_path(exc: AnalysisException) -> bool:
+    """Whether a read failed only because nothing was written there yet."""
+    return exc.getCondition() == "PATH_NOT_FOUND"
+
+
 def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, with its declared schema (never inferred)."""
     path = os.path.join(sf_dir, f"{name}.parquet")
@@ -18,10 +24,8 @@ def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_users(spark: SparkSession, path: str) -> DataFrame:
-    """O-01: scan a stored profile snapshot; adds ``avatar_url`` if absent (O-05)."""
-    from rollcall.sources.snapshots import with_additive_columns
-
-    return with_additive_columns(spark.read.parquet(path), S.USERS)
+    """O-01: scan a stored profile snapshot with its declared schema; a missing ``avatar_url`` is NULL (O-05)."""
+    return spark.read.schema(S.USERS).parquet(path)
 
 
 def read_auth_users(spark: SparkSession, path: str) -> DataFrame:

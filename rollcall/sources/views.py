@@ -13,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.functions.identity import add_base_username
+from rollcall.functions.text import hex_suffix
 from rollcall.operators.joins import mark_first
+from rollcall.sources.schemas import USER_COLUMNS
 from rollcall.sources.tables import base_table
 
 
@@ -94,36 +97,34 @@ def auth_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auth_users_from(_customers(spark, sf_dir), first_orders(spark, sf_dir), last_clicks(spark, sf_dir))
 
 
-def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profile rows, usernames made unique by appending the id to later claimants."""
+def users(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = USER_COLUMNS) -> DataFrame:
+    """Profile rows, usernames made unique by appending the id to later claimants.
+
+    Only what ``columns`` need is derived: the name rank and the order and
+    click aggregates are joins, which the optimizer cannot drop by itself.
+    """
     k = F.col("k")
-    r = k % 5
-    name = F.lower(F.col("c_name"))
-    base = (
-        F.when(r == 0, name)
-        .when(r == 1, F.concat(F.lower(F.col("c_mktsegment")), F.lit("_team")))
-        .when(r == 2, F.replace(name, F.lit("#"), F.lit("_")))
-        .when(k % 2 == 0, F.concat(F.lit("user"), k))
-        .otherwise(F.concat(F.lit("user_"), F.substring(k.cast("string"), 1, 8)))
-    )
-    rows = (
-        _customers(spark, sf_dir)
-        .join(_first_order(spark, sf_dir), "k", "left")
-        .join(_last_click(spark, sf_dir), "k", "left")
-        .select(k, base.alias("base"), "created_at", F.col("last_click").alias("last_login"))
-    )
-    ranked = mark_first(rows, ["base"], ["created_at"], "k", "is_first")
+    rows = _customers(spark, sf_dir)
+    if {"username", "created_at"} & set(columns):
+        rows = rows.join(_first_order(spark, sf_dir), "k", "left")
+    if "last_login" in columns:
+        rows = rows.join(_last_click(spark, sf_dir), "k", "left").withColumnRenamed("last_click", "last_login")
+    if "username" in columns:
+        r = k % 5
+        name = F.lower(F.col("c_name"))
+        base = (
+            F.when(r == 0, name)
+            .when(r == 1, F.concat(F.lower(F.col("c_mktsegment")), F.lit("_team")))
+            .when(r == 2, F.replace(name, F.lit("#"), F.lit("_")))
+            .when(k % 2 == 0, F.concat(F.lit("user"), k))
+            .otherwise(F.concat(F.lit("user_"), F.substring(k.cast("string"), 1, 8)))
+        )
+        rows = mark_first(rows.withColumn("base", base), ["base"], ["created_at"], "k", "is_first")
+        later = F.concat(F.col("base"), F.lit("_"), k.cast("string"))
+        rows = rows.withColumn("username", F.when(F.col("is_first"), F.col("base")).otherwise(later))
     role = F.when(k % 50 == 0, "SUPER_ADMIN").when(k % 10 == 1, "ADMIN").otherwise("USER")
-    return ranked.select(
-        k.cast("string").alias("id"),
-        F.when(F.col("is_first"), F.col("base"))
-        .otherwise(F.concat(F.col("base"), F.lit("_"), k.cast("string")))
-        .alias("username"),
-        role.alias("role"),
-        "created_at",
-        "last_login",
-        F.lit(None).cast("string").alias("avatar_url"),
-    )
+    rows = rows.withColumns({"id": k.cast("string"), "role": role, "avatar_url": F.lit(None).cast("string")})
+    return rows.select(*columns)
 
 
 def auth_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,17 +183,89 @@ def role_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def seed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seed list for O-03: the four reference seeds plus one per customer.
+def seed_batch(spark: SparkSession, sf_dir: str, fixed: tuple[tuple[str, str], ...]) -> DataFrame:
+    """Seed list for O-03: the given (username, role) seeds plus one per customer.
 
     Per customer: username ``User<k>``; the lower-cased e-mail matches an
     existing identity for even ``k`` and is new for odd ``k``.
     """
-    from rollcall.operators.identity import REFERENCE_SEEDS
-
     c = base_table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     role = F.when(k % 4 == 1, "ADMIN").when(k % 4 == 3, "SUPER_ADMIN").otherwise("USER")
     derived = c.select(F.concat(F.lit("User"), k).alias("username"), role.alias("role"))
-    fixed = spark.createDataFrame(list(REFERENCE_SEEDS), "username string, role string")
-    return fixed.unionByName(derived)
+    return spark.createDataFrame(list(fixed), "username string, role string").unionByName(derived)
+
+
+def _profiles(rows: DataFrame, id_col, username, role="USER") -> DataFrame:
+    """Further directory rows for the scenarios: declared columns, no login and no avatar."""
+    as_col = lambda c: F.lit(c) if isinstance(c, str) else c
+    return rows.select(
+        id_col.alias("id"),
+        username.alias("username"),
+        as_col(role).alias("role"),
+        F.lit(None).cast("timestamp_ntz").alias("created_at"),
+        F.lit(None).cast("timestamp_ntz").alias("last_login"),
+        F.lit(None).cast("string").alias("avatar_url"),
+    )
+
+
+def _holders(bases: DataFrame, last) -> DataFrame:
+    """Profiles that hold names 0..``last`` (0: the base) of each (id, base): what a claimant would try."""
+    tries = bases.select("id", "base", F.explode(F.sequence(F.lit(0), last)).alias("j"))
+    name = F.when(F.col("j") == 0, F.col("base")).otherwise(
+        F.concat(F.col("base"), F.lit("_"), hex_suffix("id", F.col("j")))
+    )
+    return _profiles(tries, F.concat_ws("-", F.lit("held"), "id", F.col("j").cast("string")), name)
+
+
+def crowded_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A directory without the identities, in which many of the names they would try are held.
+
+    Of every third identity the base and the next ``k % 23`` tries (ten at
+    most) are held, so attempts above 2 occur and some run out of tries.
+    """
+    bases = add_base_username(auth_users(spark, sf_dir), "base").select("id", "base")
+    k = F.col("id").cast("long")
+    return _holders(bases.where(k % 3 == 0), F.least(k % 23, F.lit(10)))
+
+
+def seed_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles that hold every name the new seed of each customer with ``k % 10 = 5`` would try."""
+    k = F.col("c_custkey")
+    base = F.concat(F.lit("user"), k)
+    bases = base_table(spark, sf_dir, "customer").where(k % 10 == 5).select(
+        F.md5(F.concat(base, F.lit("@app.local"))).alias("id"), base.alias("base")
+    )
+    return _holders(bases, F.lit(10))
+
+
+def shared_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities that the v1 rule cannot all serve: shared, missing and over-long names."""
+    k = F.col("id").cast("long")
+    email = (
+        F.when(k % 31 == 0, F.lit(None))
+        .when(k % 29 == 0, F.concat(F.lit("someone_with_a_long_name_"), "id", F.lit("@example.com")))
+        .when(k % 3 == 0, F.concat(F.lit("team"), k % 40, F.lit("@example.com")))
+        .otherwise(F.col("email"))
+    )
+    meta = F.when((k % 31 != 0) & (k % 29 != 0) & (k % 3 != 0), F.col("raw_user_meta_data"))
+    return auth_users(spark, sf_dir).withColumns({"email": email, "raw_user_meta_data": meta})
+
+
+def broken_directory(directory: DataFrame) -> DataFrame:
+    """A directory with further rows that break each constraint of O-31."""
+    k, own = F.col("id").cast("long"), F.col("id")
+    with_id = lambda c: F.concat(F.lit(c), own)
+    none = F.lit(None).cast("string")
+    cases = [
+        (101, none, with_id("noid_"), "USER"),
+        (103, with_id("x"), none, "USER"),
+        (107, with_id("y"), with_id("a_very_long_username_"), "USER"),
+        (109, with_id("z"), with_id("z"), "OWNER"),
+        (113, own, with_id("dup_"), "USER"),
+        (127, with_id("w"), F.col("username"), "USER"),
+    ]
+    out = directory
+    for modulus, id_col, username, role in cases:
+        out = out.unionByName(_profiles(directory.where(k % modulus == 1), id_col, username, role))
+    return out

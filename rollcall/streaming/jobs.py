@@ -1,30 +1,37 @@
 """Structured Streaming jobs (O-35, O-36, O-37).
 
-Each job reads a file stream with a declared schema, keeps at most one row
-of state per user, and writes every micro-batch through ``foreachBatch``
-into ``<out>/batch_id=<n>``, overwriting that directory only.  A replayed
-batch (after a failure between write and commit) therefore rewrites the
-same rows, and readers merge the batch outputs with an associative
-reduction (``max``, ``max_by``), so replay and late events are harmless and
-no watermark is needed.  Checkpoints and outputs live in the shared folder.
+Each job takes a stream (of identity rows, ``schemas.AUTH_USERS``, or of
+session events, ``schemas.AUTH_EVENTS``), keeps at most one row of state per
+user, and writes every micro-batch through ``foreachBatch`` into
+``<out>/batch_id=<n>``, overwriting that directory only.  A replayed batch
+(after a failure between write and commit) therefore rewrites the same rows,
+and readers merge the batch outputs with an associative reduction (``max``,
+``max_by``), so replay and late events are harmless and no watermark is
+needed.  Checkpoints and outputs live in the shared folder.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import os
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollcall.operators.identity import apply_touches, build_profiles
-from rollcall.session import durable
+from rollcall.session import staged_area
 from rollcall.sources import schemas as S
-from rollcall.sources import views as V
+from rollcall.sources.tables import missing_path
 from rollcall.streaming.session_state import SIGNED_IN, latest_events, merge_latest
 
 BATCH_COL = "batch_id"
 
+LATEST = T.StructType([S.AUTH_EVENTS[c] for c in ("id", "event", "ts", "event_id")])
+TOUCHES = T.StructType([S.AUTH_EVENTS["id"], T.StructField("_touch", T.TimestampNTZType(), True)])
+
 
 def _batch_dir(out: str, batch_id: int) -> str:
     return os.path.join(out, f"{BATCH_COL}={batch_id}")
@@ -32,60 +39,74 @@ def _batch_dir(out: str, batch_id: int) -> str:
 
 # Per-user state can reach one row per account; RocksDB keeps it off the JVM
 # heap and checkpoints it incrementally.  Applied only to new checkpoints.
-ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def _use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def _state_store(spark: SparkSession):
+    """The state store's settings while a query starts (it keeps a copy); the session's own afterwards."""
+    before = {key: spark.conf.get(key, None) for key in STATE_CONF}
+    for key, value in STATE_CONF.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
-def _run(
-    stream_df: DataFrame,
-    out: str,
-    checkpoint: str,
-    mode: str,
-    transform=None,
-    trigger: dict | None = None,
-    max_wait: float | None = None,
-):
+def _run(stream_df: DataFrame, out: str, checkpoint: str, mode: str, write=None, trigger: dict | None = None):
     """Start a stream that writes each batch under ``out``.
 
     By default (``availableNow``) it processes everything present and
     returns when done; pass e.g. ``trigger={"processingTime": "1 minute"}``
     to keep it running, in which case the started query is returned.
     """
-    _use_rocksdb(stream_df.sparkSession)
     trigger = trigger or {"availableNow": True}
 
     def sink(batch_df: DataFrame, batch_id: int) -> None:
-        result = transform(batch_df, batch_id) if transform else batch_df
-        result.write.mode("overwrite").parquet(_batch_dir(out, batch_id))
-
-    query = (
-        stream_df.writeStream.outputMode(mode)
-        .foreachBatch(sink)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**trigger)
-        .start()
-    )
-    if not trigger.get("availableNow") and not trigger.get("once"):
-        return query
-    query.awaitTermination(max_wait)
-    if query.exception() is not None:
-        raise query.exception()
+        if write:
+            write(batch_df, batch_id)
+        else:
+            batch_df.write.mode("overwrite").parquet(_batch_dir(out, batch_id))
+
+    with _state_store(stream_df.sparkSession):
+        query = (
+            stream_df.writeStream.outputMode(mode)
+            .foreachBatch(sink)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**trigger)
+            .start()
+        )
+    if trigger.get("availableNow") or trigger.get("once"):
+        query.awaitTermination()
     return query
 
 
-def read_batches(spark: SparkSession, out: str, below: int | None = None) -> DataFrame | None:
-    """All batch outputs under ``out`` (only batches < ``below`` if given), or None."""
+def read_batches(spark: SparkSession, out: str, schema: T.StructType, below: int | None = None) -> DataFrame:
+    """All batch outputs under ``out`` (only batches < ``below`` if given); none if no batch was written.
+
+    Any read error other than a missing folder is raised: treating it as
+    "nothing written" would grant names twice and lose touches.
+    """
+    typed = T.StructType([*schema.fields, T.StructField(BATCH_COL, T.LongType())])
     try:
-        df = spark.read.parquet(out)
-    except Exception:  # nothing written yet
-        return None
+        df = spark.read.schema(typed).parquet(out)
+    except AnalysisException as exc:
+        if not missing_path(exc):
+            raise
+        df = spark.createDataFrame([], typed)
     if below is not None:
         df = df.where(F.col(BATCH_COL) < below)
-    return df.drop(BATCH_COL)
+    return df.select(*schema.names)
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -99,42 +120,30 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return reader.parquet(path)
 
 
-def event_stream(spark: SparkSession, events_path: str, files_per_trigger: int | None = None) -> DataFrame:
-    return V.auth_events_from(file_stream(spark, events_path, S.EVENTS, files_per_trigger))
-
-
 # ----------------------------------------------------------------- O-37
 
 
-def run_session_stream(spark: SparkSession, events_path: str, out: str, checkpoint: str, **kw):
+def run_session_stream(events: DataFrame, out: str, checkpoint: str, trigger: dict | None = None):
     """Latest session event per user, updated per batch (state: one row per user)."""
-    stream = latest_events(event_stream(spark, events_path, kw.get("files_per_trigger")))
-    return _run(stream, out, checkpoint, "update", trigger=kw.get("trigger"))
+    return _run(latest_events(events), out, checkpoint, "update", trigger=trigger)
 
 
 def read_session_latest(spark: SparkSession, out: str) -> DataFrame:
-    return merge_latest(read_batches(spark, out))
+    return merge_latest(read_batches(spark, out, LATEST))
 
 
 # ----------------------------------------------------------------- O-36
 
 
-def run_login_stream(spark: SparkSession, events_path: str, out: str, checkpoint: str, **kw):
+def run_login_stream(events: DataFrame, out: str, checkpoint: str, trigger: dict | None = None):
     """Latest sign-in time per user, updated per batch."""
-    touches = (
-        event_stream(spark, events_path, kw.get("files_per_trigger"))
-        .where(F.col("event") == SIGNED_IN)
-        .groupBy("id")
-        .agg(F.max("ts").alias("_touch"))
-    )
-    return _run(touches, out, checkpoint, "update", trigger=kw.get("trigger"))
+    touches = events.where(F.col("event") == SIGNED_IN).groupBy("id").agg(F.max("ts").alias("_touch"))
+    return _run(touches, out, checkpoint, "update", trigger=trigger)
 
 
 def apply_login_updates(spark: SparkSession, users: DataFrame, out: str) -> DataFrame:
     """O-28 with the stream's output: users' last_login moved forward."""
-    batches = read_batches(spark, out)
-    if batches is None:
-        return users
+    batches = read_batches(spark, out, TOUCHES)
     return apply_touches(users, batches.groupBy("id").agg(F.max("_touch").alias("_touch")))
 
 
@@ -142,34 +151,38 @@ def apply_login_updates(spark: SparkSession, users: DataFrame, out: str) -> Data
 
 
 def run_profile_stream(
-    spark: SparkSession,
-    customers_path: str,
-    sf_dir: str,
+    identities: DataFrame,
     base_users: DataFrame,
     out: str,
     rejects: str,
     checkpoint: str,
+    variant: str = "v2",
     as_of: dt.datetime | F.Column | None = None,
-    files_per_trigger: int | None = None,
     trigger: dict | None = None,
 ):
-    """Profiles for identities as they arrive (v2 rule, collisions across batches).
+    """Profiles for identities as they arrive, with collisions resolved across batches.
 
     Each batch is checked against ``base_users`` plus every earlier batch's
-    output (not its own, so a replay rebuilds the same rows).  The
-    per-customer aggregates the identity rows need are materialised once.
+    output (not its own, so a replay rebuilds the same rows).  What a batch
+    stages on the way is dropped once its profiles and rejects are written.
+    """
+    spark = identities.sparkSession
+
+    def write(batch_df: DataFrame, batch_id: int) -> None:
+        existing = base_users.unionByName(read_batches(spark, out, S.USERS, below=batch_id))
+        with staged_area(spark):
+            built = build_profiles(batch_df, existing, variant, as_of)
+            built.rejected.write.mode("overwrite").parquet(_batch_dir(rejects, batch_id))
+            built.profiles.write.mode("overwrite").parquet(_batch_dir(out, batch_id))
+
+    return _run(identities, out, checkpoint, "append", write, trigger=trigger)
+
+
+def compact(spark: SparkSession, out: str, schema: T.StructType, target: str) -> None:
+    """Rewrite a stopped stream's batch outputs as one table, e.g. the next directory snapshot.
+
+    A later stream takes that table as its base (with an output and a
+    checkpoint of its own), so its cost does not grow with the age of the
+    stream.
     """
-    first_order = durable(V.first_orders(spark, sf_dir))
-    last_click = durable(V.last_clicks(spark, sf_dir))
-    customers = V.customer_keys(file_stream(spark, customers_path, S.CUSTOMER, files_per_trigger))
-
-    def transform(batch_df: DataFrame, batch_id: int) -> DataFrame:
-        identities = V.auth_users_from(batch_df, first_order, last_click)
-        earlier = read_batches(spark, out, below=batch_id)
-        existing = base_users if earlier is None else base_users.unionByName(earlier)
-        # the micro-batch's size bounds the directory probe (a scan, not a shuffle)
-        built = build_profiles(identities, existing, "v2", as_of, rows=batch_df.count())
-        built.rejected.write.mode("overwrite").parquet(_batch_dir(rejects, batch_id))
-        return built.profiles
-
-    return _run(customers, out, checkpoint, "append", transform, trigger=trigger)
+    read_batches(spark, out, schema).write.mode("errorifexists").parquet(target)

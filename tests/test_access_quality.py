@@ -78,22 +78,31 @@ def test_permission_flags(spark, people):
     }
 
 
-def test_lookup_join_with_a_hot_key(spark, people):
+def test_lookup_join_with_hot_keys(spark, people):
     # one actor files most requests: it is served by broadcasting its single profile row
-    rows = [(i, "s" if i % 3 else "u", "v", "promote") for i in range(3000)]
+    rows = [(i, "s" if i % 3 else "u", "v", "promote") for i in range(3000)] + [(3000, None, "a", None), (3001, "x", None, None)]
     reqs = requests(spark, rows)
-    assert hot_keys(reqs, "actor_id") == ["s"] or set(hot_keys(reqs, "actor_id")) == {"s", "u"}
-    both = hot_keys_by_column(reqs, ["actor_id", "target_id"])
-    assert set(both["actor_id"]) == set(hot_keys(reqs, "actor_id")) and both["target_id"] == ["v"]
+    hot = hot_keys_by_column(reqs, ["actor_id", "target_id"])
+    assert hot == {"actor_id": ["s", "u"], "target_id": ["v"]} and hot_keys(reqs, "actor_id") == ["s", "u"]
     dim = people.select("id", "role")
-    out = lookup_join(reqs, "actor_id", dim, "id", "left")
-    assert out.count() == 3000
-    assert out.where("role = 'SUPER_ADMIN'").count() == 2000
-    plain = reqs.join(dim, reqs["actor_id"] == dim["id"], "left")
-    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, plain.collect()))
-    # the hot key's rows are joined against a broadcast of its own dimension row
-    plan = out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
-    assert "BroadcastExchange" in plan and "Union" in plan
+    role = {r["id"]: r["role"] for r in dim.collect()}
+    want = sorted((i, role.get(a), role.get(t)) for i, a, t, _ in rows)
+    for some in (hot, {"actor_id": ["s"], "target_id": []}, {"actor_id": [], "target_id": []}):
+        out = lookup_join(reqs, ["actor_id", "target_id"], dim, "id", hot=some)
+        got = out.selectExpr("request_id", "actor_id_row.role as a", "target_id_row.role as t").collect()
+        assert sorted(map(tuple, got)) == want
+    plan = out._sc._jvm.PythonSQLUtils.explainString(
+        lookup_join(reqs, ["actor_id"], dim, "id", hot=hot)._jdf.queryExecution(), "formatted"
+    )
+    assert "BroadcastExchange" in plan
+
+
+def test_all_hot_keys_are_kept(spark):
+    """1,499 keys of two rows among 2,998: all reach a floored threshold; the ceiling keeps the list bounded and whole."""
+    df = spark.range(2998).selectExpr("cast(id % 1499 as string) as k")
+    assert hot_keys(df, "k", fraction=0.001) == []  # ceil(2.998) = 3 rows are needed
+    many = df.unionByName(spark.range(1499).selectExpr("cast(id as string) as k"))
+    assert len(hot_keys(many, "k", fraction=3 / 4497)) == 1499
 
 
 def forms(spark, rows):

@@ -155,7 +155,8 @@ def test_backfills_touch_and_cascade(spark):
             ("2", "two@example.com", None, None),
         ],
     )
-    snap = I.backfill_missing_profiles(auth, users, AS_OF)
+    snap, refused = I.backfill_missing_profiles(auth, users, AS_OF)
+    assert refused.count() == 0
     rows = {r["id"]: r for r in snap.collect()}
     assert rows["2"]["username"] == "two" and rows["2"]["created_at"] == AS_OF and rows["1"]["created_at"] == D(2020, 1, 1)
     assert {r["id"]: r["avatar_url"] for r in I.backfill_avatar(snap, auth).collect()} == {"1": "http://x/1.png", "2": None}
@@ -172,13 +173,13 @@ def test_backfills_touch_and_cascade(spark):
 def test_seed_is_idempotent(spark):
     users = users_df(spark, [("e1", "odin", "USER", D(2020, 1, 1))])
     auth = auth_df(spark, [("e1", "Odin@App.Local", meta(username="Odin"))])
-    seeds = spark.createDataFrame(list(I.REFERENCE_SEEDS), "username string, role string")
+    seeds = spark.createDataFrame([("Ada", "USER"), ("Odin", "ADMIN"), ("Kim", "USER"), ("Root", "SUPER_ADMIN")], "username string, role string")
     first = I.seed_upsert(seeds, auth, users, AS_OF)
     snap1 = sorted(tuple(r) for r in first.users.collect())
     report = {r["email"]: r["status"] for r in first.report.collect()}
-    assert report["odin@app.local"] == "existing" and report["boss@app.local"] == "created"
+    assert report["odin@app.local"] == "existing" and report["root@app.local"] == "created"
     roles = {r["username"]: r["role"] for r in first.users.collect()}
-    assert roles == {"odin": "ADMIN", "bryan": "USER", "damon": "USER", "boss": "SUPER_ADMIN"}
+    assert roles == {"odin": "ADMIN", "ada": "USER", "kim": "USER", "root": "SUPER_ADMIN"}
     second = I.seed_upsert(seeds, first.auth, first.users, AS_OF)
     assert sorted(tuple(r) for r in second.users.collect()) == snap1
     assert second.report.where("status = 'created'").count() == 0
@@ -199,10 +200,49 @@ def test_seed_twice_on_derived_data_changes_nothing(spark):
 
     sf = "/root/testdata/sf0.001"
     auth, users = V.auth_users(spark, sf), V.users(spark, sf)
-    seeds = V.seed_batch(spark, sf)
+    seeds = V.seed_batch(spark, sf, (("Ada", "USER"),))
     first = I.seed_upsert(seeds, auth, users, AS_OF)
     auth1, users1 = durable(first.auth, "seed-auth"), durable(first.users, "seed-users")
     second = I.seed_upsert(seeds, auth1, users1, AS_OF)
     assert sorted(map(tuple, second.users.collect())) == sorted(map(tuple, users1.collect()))
     assert second.report.where("status = 'created'").count() == 0
     assert users1.select("username").distinct().count() == users1.count()
+
+
+def test_seed_with_every_name_taken_is_rejected_and_leaves_nothing(spark):
+    import hashlib
+
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    new = md5("zoe@app.local")
+    names = ["zoe", *[f"zoe_{md5(f'{new}:{k}')[:4]}" for k in range(1, 11)]]
+    users = users_df(spark, [(f"h{i}", name, "USER", None) for i, name in enumerate(names)])
+    auth = auth_df(spark, [("h0", "holder@example.com", None)])
+    seeds = spark.createDataFrame([("Zoe", "ADMIN"), ("Ada", "ADMIN")], "username string, role string")
+    out = I.seed_upsert(seeds, auth, users, AS_OF)
+    assert {r["email"]: r["status"] for r in out.report.collect()} == {"zoe@app.local": "rejected", "ada@app.local": "created"}
+    assert {r["email"] for r in out.auth.collect()} == {"holder@example.com", "ada@app.local"}
+    assert {r["username"] for r in out.users.where("role = 'ADMIN'").collect()} == {"ada"}
+
+
+def test_v1_refuses_what_the_table_would(spark):
+    auth = auth_df(
+        spark,
+        [("1", "sam@a.com", None), ("2", "sam@b.com", None), ("3", None, None), ("4", "x" * 21 + "@a.com", None), ("5", "kit@a.com", None)],
+    )
+    users = users_df(spark, [("9", "kit", "USER", D(2020, 1, 1))])
+    built = I.build_profiles(auth, users, "v1", AS_OF)
+    assert [(r["id"], r["username"]) for r in built.profiles.collect()] == [("1", "sam")]
+    want = {"2": I.NAME_TAKEN, "3": I.NAME_MISSING, "4": I.NAME_LONG, "5": I.NAME_TAKEN}
+    assert {r["id"]: r["reason"] for r in built.rejected.collect()} == want
+    snap, refused = I.backfill_missing_profiles(auth, users, AS_OF)
+    assert sorted(r["username"] for r in snap.collect()) == ["kit", "sam"]
+    assert {r["id"]: r["reason"] for r in refused.collect()} == want
+
+
+def test_no_claimant_is_lost_when_one_base_runs_out(spark):
+    """More claimants of one base than suffixes: every one is either served or reported."""
+    claims = spark.range(70_000).selectExpr("cast(id as string) as id", "'team' as base", "timestamp_ntz'2024-01-01' as created_at")
+    res = I.resolve_collisions(claims, spark.createDataFrame([], "username string"))
+    served, left = res.accepted.count(), res.rejected.count()
+    assert served + left == 70_000 and left > 0
+    assert res.accepted.select("username").distinct().count() == served

@@ -154,7 +154,7 @@ def test_count_and_display(spark, people):
     assert S.directory_count(people).first()["total_users"] == 7
     assert S.directory_count(people.limit(0)).first()["total_users"] == 0
     disp = {r["id"]: r for r in S.profile_display(people).collect()}
-    assert disp["2"]["last_seen"] == "Never" and disp["1"]["last_seen"] == "2024-03-01"
+    assert disp["2"]["last_seen"] == "Never" and disp["1"]["last_seen"] == "2024-03-01 00:00:00"
     assert disp["3"]["joined"] == "N/A" and disp["1"]["initial"] == "A"
 
 

@@ -2,13 +2,15 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from rollcall.operators import search as S
 from rollcall.plans import catalog as C
+from rollcall.session import scratch_path
 from rollcall.sources import snapshots as SN
 from rollcall.sources import views as V
-from rollcall.sources.schemas import USERS
+from rollcall.sources.schemas import AUTH_USERS, EVENTS, USERS
 from rollcall.streaming import jobs as J
 from rollcall.streaming import session_state as SS
 
@@ -26,17 +28,21 @@ def split_events(spark, scratch, parts=3):
     return folder
 
 
+def event_stream(spark, folder, files=1):
+    return V.auth_events_from(J.file_stream(spark, folder, EVENTS, files))
+
+
 def test_session_stream_equals_batch_over_several_batches(spark, scratch):
     folder = split_events(spark, scratch)
     out, ckpt = os.path.join(scratch, "out"), os.path.join(scratch, "ckpt")
-    J.run_session_stream(spark, folder, out, ckpt, files_per_trigger=1)
-    assert J.read_batches(spark, out) is not None
+    J.run_session_stream(event_stream(spark, folder), out, ckpt)
+    assert J.read_batches(spark, out, J.LATEST).count() > 0
     users = V.users(spark, SF)
     streamed = SS.session_state(J.read_session_latest(spark, out), users)
     batch = SS.session_state(SS.latest_events(V.auth_events(spark, SF)), users)
     assert rows(streamed) == rows(batch)
     # a second run on the same checkpoint finds nothing new and changes nothing
-    J.run_session_stream(spark, folder, out, ckpt, files_per_trigger=1)
+    J.run_session_stream(event_stream(spark, folder), out, ckpt)
     assert rows(SS.session_state(J.read_session_latest(spark, out), users)) == rows(batch)
 
 
@@ -45,26 +51,85 @@ def test_login_stream_equals_batch(spark, scratch):
 
     folder = split_events(spark, scratch, parts=2)
     out, ckpt = os.path.join(scratch, "out"), os.path.join(scratch, "ckpt")
-    J.run_login_stream(spark, folder, out, ckpt, files_per_trigger=1)
+    J.run_login_stream(event_stream(spark, folder), out, ckpt)
     users = V.users(spark, SF).withColumn("last_login", F.lit(None).cast("timestamp_ntz"))
     assert rows(J.apply_login_updates(spark, users, out)) == rows(login_touch(users, V.auth_events(spark, SF)))
 
 
 def test_profile_stream_over_several_batches_keeps_names_unique(spark, scratch):
-    folder = os.path.join(scratch, "customers")
-    spark.read.parquet(f"{SF}/customer.parquet").repartition(3).write.parquet(folder)
+    folder = os.path.join(scratch, "identities")
+    V.auth_users(spark, SF).repartition(3).write.parquet(folder)
     out, rej, ckpt = (os.path.join(scratch, x) for x in ("out", "rej", "ckpt"))
-    base = C.users_existing(spark, SF)
-    J.run_profile_stream(spark, folder, SF, base, out, rej, ckpt, C.as_of_col(), files_per_trigger=1)
-    made = J.read_batches(spark, out)
-    expected_ids = C.new_identities(spark, SF).select("id")
-    assert rows(made.select("id")) == rows(expected_ids)
+    base = C.stored_users(spark, C.users_existing(spark, SF))
+    stage = os.path.join(scratch_path(spark, "stage"), spark.sparkContext.applicationId)
+    before = len(os.listdir(stage.removeprefix("file:")))
+
+    def run():
+        identities = J.file_stream(spark, folder, AUTH_USERS, files_per_trigger=1)
+        J.run_profile_stream(identities, base, out, rej, ckpt, as_of=C.as_of_col())
+        return J.read_batches(spark, out, USERS)
+
+    made = run()
+    assert len(os.listdir(out)) >= 3
+    assert len(os.listdir(stage.removeprefix("file:"))) == before  # what batches staged is gone
+    expected = V.auth_users(spark, SF).join(base, "id", "left_anti").select("id")
+    assert rows(made.select("id")) == rows(expected)
     everyone = base.select("username").unionByName(made.select("username"))
     assert everyone.distinct().count() == everyone.count()
     # running again on the same checkpoint is a no-op (exactly once)
-    before = rows(made)
-    J.run_profile_stream(spark, folder, SF, base, out, rej, ckpt, C.as_of_col(), files_per_trigger=1)
-    assert rows(J.read_batches(spark, out)) == before
+    names = rows(made)
+    assert rows(run()) == names
+    compacted = os.path.join(scratch, "compacted")
+    J.compact(spark, out, USERS, compacted)
+    assert rows(spark.read.parquet(compacted)) == names
+
+
+def test_streams_without_batches_give_empty_results(spark, scratch):
+    out = os.path.join(scratch, "never")
+    assert J.read_session_latest(spark, out).count() == 0
+    users = V.users(spark, "/root/testdata/sf0.001")
+    assert rows(J.apply_login_updates(spark, users, out)) == rows(users)
+
+
+def test_unreadable_batch_output_is_an_error(spark, scratch):
+    out = os.path.join(scratch, "out")
+    spark.createDataFrame([("1", None)], J.TOUCHES).write.parquet(J._batch_dir(out, 0))
+    part = next(f for f in os.listdir(J._batch_dir(out, 0)) if f.startswith("part-"))
+    path = os.path.join(J._batch_dir(out, 0), part)
+    crc = os.path.join(J._batch_dir(out, 0), f".{part}.crc")
+    open(path, "wb").write(b"torn")
+    os.path.exists(crc) and os.remove(crc)
+    with pytest.raises(Exception):
+        J.read_batches(spark, out, J.TOUCHES).collect()
+
+
+def test_streams_leave_the_session_settings_alone(spark, scratch):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    folder = split_events(spark, scratch, parts=1)
+    J.run_session_stream(event_stream(spark, folder), os.path.join(scratch, "o"), os.path.join(scratch, "c"))
+    assert spark.conf.get(key, None) == before
+
+
+def test_torn_commit_keeps_every_version(spark, scratch):
+    root = os.path.join(scratch, "users")
+    df = V.users(spark, "/root/testdata/sf0.001")
+    SN.write_snapshot(df, root)
+    SN.write_snapshot(df.where("role = 'ADMIN'"), root)
+    # a writer died between the data and its marker, another while writing the marker
+    df.limit(3).write.parquet(SN.version_path(root, 2))
+    os.makedirs(os.path.join(root, SN.COMMITS, "00000003-torn"))
+    assert SN.current_version(spark, root) == 1
+    assert SN.write_snapshot(df.where("role = 'USER'"), root) == 3
+    for version, want in ((0, df), (1, df.where("role = 'ADMIN'")), (2, None), (3, df.where("role = 'USER'"))):
+        stored = spark.read.parquet(SN.version_path(root, version))
+        assert stored.count() == 3 if want is None else rows(stored) == rows(want)
+    assert rows(SN.read_snapshot(spark, root, USERS)) == rows(df.where("role = 'USER'"))
+
+
+def test_registered_lookups_push_the_id(spark):
+    for name in ("profile_by_id", "visible_rows_user"):
+        assert "EqualTo(id," in plan_text(C.QUERIES[name](spark, "/root/testdata/sf0.001")), name
 
 
 def test_visible_rows_are_a_subset(spark):
@@ -177,7 +242,7 @@ def test_session_state_rules(spark):
 def test_session_stream_with_a_continuous_trigger(spark, scratch):
     folder = split_events(spark, scratch, parts=2)
     out, ckpt = os.path.join(scratch, "out"), os.path.join(scratch, "ckpt")
-    query = J.run_session_stream(spark, folder, out, ckpt, trigger={"processingTime": "1 second"})
+    query = J.run_session_stream(event_stream(spark, folder), out, ckpt, trigger={"processingTime": "1 second"})
     try:
         query.processAllAvailable()
     finally:
@@ -194,8 +259,7 @@ def test_small_batch_probes_the_directory_without_shuffling_it(spark):
 
     directory = spark.read.parquet(f"{SF}/customer.parquet").selectExpr("cast(c_custkey as string) as id")
     batch = spark.createDataFrame([(str(i * 100), f"n{i}") for i in range(5)] + [("new-1", "x")], "id string, name string")
-    # a Python-list batch has no size statistics, so the caller passes its bound
-    out = insert_ignore(batch, directory, rows=6)
+    out = insert_ignore(batch, directory)
     assert [r["id"] for r in out.collect()] == ["new-1"]
     plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     lines = [l.strip() for l in plan.split("\n")]
