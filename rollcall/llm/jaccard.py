@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.components import components
-from rollcall.llm.rows import sure_small
+from rollcall.llm.rows import small_batches, sure_small
 from rollcall.llm.words import WordHasher, mix64, signed, slices
 from rollcall.session import durable
 
@@ -209,6 +209,7 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, size: int = SHINGLE, t: Fraction = SIMILARITY, rounds: int = LEADER_ROUNDS):
         self.docs, self.size, self.t, self.rounds = docs.select("doc_id", "text"), size, t, rounds
         self.spark = docs.sparkSession
+        small_batches(self.spark)
         self.narrow = durable(
             self.docs.mapInArrow(_scan(size), "kind int, id bigint, k1 bigint, k2 bigint, n bigint"), "sets"
         )

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm.rows import small_batches
+
 ROW_TOKENS = 2048
 GROUP_BYTES = 8_000_000
 CACHE_CHUNKS = 200_000
@@ -223,6 +225,7 @@ def pack(
     ``pieces`` and ``begins`` place each segment in its document.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ranks = read_ranks(vocabulary)  # a vocabulary file, a few MB
     end = max(ranks.values()) + 1
     dtype = "<u2" if end < 1 << 16 else "<u4"

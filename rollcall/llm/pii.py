@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.labelled import matrix
+from rollcall.llm.rows import small_batches
 from rollcall.llm.trees import Forest, fit
 
 KINDS = ("email", "ip", "card", "phone")
@@ -192,6 +193,7 @@ class Model(NamedTuple):
 
 def fit_pii(docs: DataFrame, most: int = FIT_ROWS, precision: float = PRECISION) -> Model:
     """Trees and thresholds from at most ``most`` candidates, taken from documents in hash order."""
+    small_batches(docs.sparkSession)
     # a document gives one candidate or more, so this many documents are enough and bound the work
     hinted = docs.where(F.col("text").rlike("[0-9]{3}|@")).select("doc_id", "text")
     ids = hinted.select("doc_id", F.xxhash64("text").alias("mark")).orderBy(F.xxhash64("doc_id", "mark"), "doc_id").limit(most)
@@ -272,4 +274,5 @@ def find_pii(docs: DataFrame, model: Model) -> DataFrame:
                 ["doc_id", "base", "spans", "redacted"],
             )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, FOUND)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.rows import sure_small
+from rollcall.llm.rows import small_batches, sure_small
 from rollcall.llm.words import WordHasher, Words, mix64, signed, slices
 from rollcall.session import durable
 
@@ -239,6 +239,7 @@ class SubstringDedup:
         if window < 2 or window % 2:
             raise ValueError("window must be an even number of words")
         self.window = window
+        small_batches(docs.sparkSession)
         largest = (1 << 63) - 1
         mark = F.shiftrightunsigned(F.xxhash64("text"), 64 - (63 - PLACE_BITS))
         self.docs = docs.select(

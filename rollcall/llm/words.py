@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 # The separators of the word pattern [^\x20\x09-\x0D]+
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
-SLICE_BYTES = 2_000_000
-PIECE_BYTES = 1 << 20
+SLICE_BYTES = 1_000_000
+PIECE_BYTES = 1 << 19
 
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xD6E8FEB86659FD93 | 1
