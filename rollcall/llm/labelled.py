@@ -13,16 +13,25 @@ def remainder(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string")) % folds
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int) -> DataFrame:
-    """(doc_id, label, every other column of ``docs``) of at most ``most`` labelled ids.
+def known_labels(labels: DataFrame, label: str, usable: Column) -> DataFrame:
+    """(doc_id, label) of the labelled ids for which ``usable`` holds; of several labels the larger."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & usable)
+    return known.groupBy("doc_id").agg(F.max(label).alias("label"))
+
 
-    Ids are taken in hash order, so the sample is the same on every run; of
-    an id labelled twice the larger label counts.  ``most`` bounds both the
-    broadcast of the ids and what a fit brings to the driver.
+def sample(docs: DataFrame, known: DataFrame, most: int, balanced: bool = False) -> DataFrame:
+    """(doc_id, label, every other column of ``docs``) of at most ``most`` ids of ``known``.
+
+    Ids are taken in hash order, so the sample is the same on every run;
+    ``balanced`` takes at most half of them from either label.  ``most``
+    bounds both the broadcast of the ids and what a fit brings to the driver.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & usable)
-    ids = known.groupBy("doc_id").agg(F.max(label).alias("label"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    if balanced:
+        ones = known.where("label = 1").orderBy(*order).limit(most // 2)
+        ids = ones.unionByName(known.where("label = 0").orderBy(*order).limit(most // 2))
+    else:
+        ids = known.orderBy(*order).limit(most)
     return docs.join(F.broadcast(ids), "doc_id")
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.labelled import matrix, sample
+from rollcall.llm.labelled import known_labels, matrix, sample
 from rollcall.llm.rows import small_batches
 from rollcall.llm.trees import Forest, fit
 from rollcall.llm.words import WordHasher, mix64, slices, text_bytes
@@ -115,7 +115,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_quality(docs: DataFrame, labels: DataFrame, usable, most: int = FIT_ROWS, label: str = "quality") -> Forest:
     """Trees fitted on at most ``most`` labelled documents for which ``usable`` (over labels) holds."""
     small_batches(docs.sparkSession)
-    rows = sample(docs.select("doc_id", "text"), labels, label, usable, most)
+    rows = sample(docs.select("doc_id", "text"), known_labels(labels, label, usable), most)
     got = rows.select("label", "text").mapInArrow(_examples, "label int, x array<double>").toArrow()
     y = got.column("label").to_numpy().astype(float)
     x = matrix(got.column("x"))

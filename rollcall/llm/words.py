@@ -113,15 +113,15 @@ class WordHasher:
         return mix64(spans)
 
     def words(self, column: pa.Array) -> Words:
-        return self._split(column, 0)[0]
+        return self._split(column, ())[0]
 
-    def words_and_heads(self, column: pa.Array, head: int) -> tuple[Words, np.ndarray]:
-        """The words, and a hash of the first ``head`` bytes of each."""
-        return self._split(column, head)
+    def words_and_heads(self, column: pa.Array, heads: tuple[int, ...]) -> tuple[Words, list[np.ndarray]]:
+        """The words, and for each of ``heads`` a hash of that many first bytes of each."""
+        return self._split(column, heads)
 
-    def _split(self, column: pa.Array, head: int) -> tuple[Words, np.ndarray]:
+    def _split(self, column: pa.Array, sizes: tuple[int, ...]) -> tuple[Words, list[np.ndarray]]:
         data, offsets = text_bytes(column)
-        starts, ends, hashes, heads = [], [], [], []
+        starts, ends, hashes, heads = [], [], [], [[] for _ in sizes]
         at = 0
         while at < len(data):
             to = self._piece_end(data, offsets, at)
@@ -136,16 +136,16 @@ class WordHasher:
             # byte 0 counts as 1, or a trailing zero byte would not change the hash
             values = self.fold[part].astype(np.uint64) + np.uint64(1)
             hashes.append(self.span_hash(values, start, end, _BYTE_BASE))
-            if head:
-                heads.append(self.span_hash(values, start, np.minimum(end, start + head), _BYTE_BASE))
+            for size, found in zip(sizes, heads):
+                found.append(self.span_hash(values, start, np.minimum(end, start + size), _BYTE_BASE))
             starts.append(start + at)
             ends.append(end + at)
             at = to
         start = np.concatenate(starts) if starts else np.empty(0, np.int64)
         end = np.concatenate(ends) if ends else np.empty(0, np.int64)
         value = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        top = np.concatenate(heads) if heads else np.empty(0, np.uint64)
-        return Words(start, end, value, np.searchsorted(start, offsets)), top
+        tops = [np.concatenate(found) if found else np.empty(0, np.uint64) for found in heads]
+        return Words(start, end, value, np.searchsorted(start, offsets)), tops
 
     def _piece_end(self, data: np.ndarray, offsets: np.ndarray, at: int) -> int:
         """Where the piece that begins at ``at`` ends: at a row's end or behind a separator."""

@@ -43,7 +43,7 @@ def test_quality_on_held_out_rows(spark):
 def test_scorer_equals_plain_convolution():
     rng = np.random.default_rng(0)
     net = toxicity.Net(
-        rng.normal(size=(2 * toxicity.BUCKETS, toxicity.DIM)).astype(np.float32),
+        rng.normal(size=(toxicity.SIDES * toxicity.BUCKETS, toxicity.DIM)).astype(np.float32),
         tuple(rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS),
         rng.normal(size=18).astype(np.float32),
         rng.normal(size=18).astype(np.float32),
@@ -51,7 +51,7 @@ def test_scorer_equals_plain_convolution():
     )
     lengths = [5, 0, 1, 2, 0, 7, 3]
     first = np.concatenate(([0], np.cumsum(lengths)))
-    ids = rng.integers(0, 2 * toxicity.BUCKETS, (sum(lengths), 2)).astype(np.int32)
+    ids = rng.integers(0, toxicity.SIDES * toxicity.BUCKETS, (sum(lengths), toxicity.SIDES)).astype(np.int32)
     got = toxicity.Scorer(net)(ids, first)
     for r in range(len(lengths)):
         emb = net.table[ids[first[r] : first[r + 1]]].sum(1)
