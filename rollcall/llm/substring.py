@@ -5,9 +5,10 @@ that a longer repeat would have to contain are looked at: of the ten-word
 windows inside each twenty-word window, the one with the smallest hash.  Equal
 twenty-word windows pick equal ten-word windows, so a twenty-word window can
 only repeat if its pick does.  Windows repeated at ten words alone are
-extended to twenty; those that repeat are the spans to remove, and they alone
-are extended to forty words, and so on until no candidate survives
-(``repeat_levels``).
+extended to twenty; those that repeat are the spans to remove.  Longer repeats
+are unions of them, so the removal ends there.  ``repeat_levels`` goes on: those
+repeated at twenty alone are extended to forty words, and so on until no
+candidate survives, which tells how long each document's longest repeats are.
 
 A text equal to that of a smaller doc_id is a repeat from its first word to its
 last, so such copies are settled by their digests before any window is made.
@@ -283,6 +284,49 @@ class SubstringDedup:
         )
 
 
+def _named_windows(window: int):
+    """(name, doc, place) of every window (columns doc, mark, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = hasher.words(part.column(2))
+                start, name = hasher.windows(words, window)
+                row = words.row[start]
+                doc, place = part.column(0).to_numpy()[row], _places(words, start, row, part.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([signed(name), pa.array(doc), pa.array(place)], ["name", "doc", "place"])
+
+    return run
+
+
+def repeat_levels(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, longest) for documents with a repeat: the longest length window * 2**k at which one of its windows repeats.
+
+    A window of twice the length is named by the names of its halves, so the
+    levels above the first are joins of places; texts are read once.  Every
+    level is written to the shared folder and holds repeated windows only.
+    """
+    job = SubstringDedup(docs, window)
+    texts = job.docs.where("text is not null").select("doc", "mark", "text")
+    rows = texts.mapInArrow(_named_windows(window), f"name bigint, doc bigint, {_PLACE}").distinct()
+    found, length = None, window
+    while True:
+        twice = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+        level = durable(rows.join(twice, "name", "left_semi"), f"level-{length}")
+        if level.isEmpty():
+            break
+        here = level.groupBy("doc").agg(F.lit(length).alias("length"))
+        found = here if found is None else found.unionByName(here)
+        behind = level.select("doc", (F.col("place") - length).alias("place"), F.col("name").alias("next"))
+        rows = level.join(behind, ["doc", "place"]).select(F.xxhash64("name", "next").alias("name"), "doc", "place")
+        length *= 2
+    ids = job.docs.select("doc", "doc_id").distinct()
+    if found is None:
+        return ids.select("doc_id", F.lit(0).alias("longest")).where("false")
+    return found.groupBy("doc").agg(F.max("length").alias("longest")).join(ids, "doc").select("doc_id", "longest")
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text."""
     return SubstringDedup(docs, window).result()

@@ -156,6 +156,24 @@ def test_repeats_of_repeated_rows(repeated_docs, odd_docs):
     assert sorted(g["n_words"] for g in again[3]) == [50, 200, 200]
 
 
+def test_levels_double_until_nothing_repeats(odd_docs, odd_rows, no_docs):
+    got = {r["doc_id"]: r["longest"] for r in substring.repeat_levels(odd_docs, 4).collect()}
+    want, length = {}, 4
+    while True:
+        places = {}
+        for d, t, _, _ in odd_rows:
+            w = brute.words(t)
+            for i in range(len(w) - length + 1):
+                places.setdefault(tuple(w[i : i + length]), []).append(d)
+        again = {d for docs in places.values() if len(docs) > 1 for d in docs}
+        if not again:
+            break
+        want.update(dict.fromkeys(again, length))
+        length *= 2
+    assert got == want and max(got.values()) >= 128
+    assert substring.repeat_levels(no_docs).count() == 0
+
+
 def test_window_must_be_even(odd_docs):
     with pytest.raises(ValueError):
         substring.SubstringDedup(odd_docs, 7)
