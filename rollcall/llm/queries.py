@@ -51,7 +51,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit_toxicity(docs, labels, remainder(F.col("doc_id"), 4) != 2)
     return toxicity.score_toxicity(docs, model).select(
         "doc_id",
-        (remainder(F.col("doc_id"), 4) == 2).alias("held_out"),
+        F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
         "threshold",
@@ -76,7 +76,7 @@ def op5_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = quality_trees.fit_quality(docs, labels, remainder(F.col("doc_id"), 5) != 0)
     return quality_trees.score_quality(docs, forest).select(
         "doc_id",
-        (remainder(F.col("doc_id"), 5) == 0).alias("held_out"),
+        F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
