@@ -48,24 +48,6 @@ AUTH_EVENTS = T.StructType(
     ]
 )
 
-SIGNUP_FORMS = T.StructType(
-    [
-        T.StructField("form_id", T.LongType(), False),
-        T.StructField("username", T.StringType(), True),
-        T.StructField("password", T.StringType(), True),
-        T.StructField("confirm_password", T.StringType(), True),
-    ]
-)
-
-ROLE_REQUESTS = T.StructType(
-    [
-        T.StructField("request_id", T.LongType(), False),
-        T.StructField("actor_id", T.StringType(), True),
-        T.StructField("target_id", T.StringType(), True),
-        T.StructField("action", T.StringType(), True),
-    ]
-)
-
 # The given base tables the views are derived from (only the columns read).
 CUSTOMER = T.StructType(
     [

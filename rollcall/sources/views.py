@@ -44,7 +44,7 @@ def auth_users_from(customers: DataFrame, first_order: DataFrame, last_click: Da
     """Identity rows for the given customer rows (k, c_name, c_mktsegment).
 
     ``first_order`` (k, created_at) and ``last_click`` (k, last_click) are
-    per-customer aggregates; a stream passes them in materialised once.
+    per-customer aggregates.
     """
     k = F.col("k")
     email = F.when(k % 2 == 0, F.concat(F.lit("User"), k, F.lit("@app.local"))).otherwise(
@@ -83,18 +83,9 @@ def customer_keys(customers: DataFrame) -> DataFrame:
     return customers.select(F.col("c_custkey").alias("k"), "c_name", "c_mktsegment")
 
 
-def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _first_order(spark, sf_dir)
-
-
-def last_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, last_click): the latest click per customer."""
-    return _last_click(spark, sf_dir)
-
-
 def auth_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity rows: id, email, raw_user_meta_data (JSON), created_at, last_sign_in_at."""
-    return auth_users_from(_customers(spark, sf_dir), first_orders(spark, sf_dir), last_clicks(spark, sf_dir))
+    return auth_users_from(_customers(spark, sf_dir), _first_order(spark, sf_dir), _last_click(spark, sf_dir))
 
 
 def users(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = USER_COLUMNS) -> DataFrame:
