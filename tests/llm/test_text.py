@@ -79,6 +79,18 @@ def test_toxicity_on_odd_rows(spark, odd_docs, repeated_docs, no_docs):
             assert kept.columns == docs.columns and kept.count() == sum(not r["toxic"] for r in rows)
 
 
+def test_toxicity_without_two_classes_rejects_nothing(spark, odd_docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 18)], "doc_id bigint, toxic int")
+    unknown = labels.withColumn("doc_id", F.col("doc_id") + 10_000)
+    nulls = labels.withColumn("toxic", F.lit(None).cast("int"))
+    for known in (labels.where("false"), unknown, nulls, labels.where("toxic = 1"), labels.where("toxic = 0")):
+        model = toxicity.fit_toxicity(odd_docs, known, F.lit(True))
+        assert toxicity.drop_toxic(odd_docs, model).count() == odd_docs.count()
+        rows = toxicity.score_toxicity(odd_docs, model).collect()
+        assert not any(r["toxic"] for r in rows)
+    assert all(r["score"] < 0.3 for r in rows)
+
+
 def test_quality_on_odd_rows(spark, odd_docs, repeated_docs, no_docs):
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(1, 18)], "doc_id bigint, quality int, toxic int")
     for known in (labels, labels.where("false")):
