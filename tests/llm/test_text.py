@@ -91,6 +91,22 @@ def test_toxicity_without_two_classes_rejects_nothing(spark, odd_docs):
     assert all(r["score"] < 0.3 for r in rows)
 
 
+def test_long_or_repeated_texts_do_not_use_up_the_word_budget(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_WORDS", 3_000)
+    monkeypatch.setattr(toxicity, "FIT_DOC_WORDS", 50)
+    rows = [(i, "vile words here" if i % 2 else "kind words here", "en", "a") for i in range(200)]
+    rows += [(1000 + i, "kind words here " * n, "en", "a") for i, n in enumerate([5000, 600, 600, 600, 30])]
+    rows += [(3, "vile words again", "en", "a"), (3, "vile words here", "en", "a")] * 50
+    docs = as_docs(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in {r[0] for r in rows}], "doc_id bigint, toxic int")
+    got = toxicity._collected(docs, labels.withColumnRenamed("toxic", "label"), 1000)
+    words = [len(ids) // 4 // toxicity.SIDES for _, _, ids in got]
+    assert sum(n == 3 for n in words) == 200 and max(words) > 50 and sum(words) <= 3_000
+    model = toxicity.fit_toxicity(docs, labels, F.lit(True))
+    toxic = {r["doc_id"]: r["toxic"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert all(toxic[i] == (i % 2 == 1) for i in range(200))
+
+
 def test_quality_on_odd_rows(spark, odd_docs, repeated_docs, no_docs):
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(1, 18)], "doc_id bigint, quality int, toxic int")
     for known in (labels, labels.where("false")):
