@@ -91,6 +91,22 @@ def test_toxicity_without_two_classes_rejects_nothing(spark, odd_docs):
     assert all(r["score"] < 0.3 for r in rows)
 
 
+def test_thresholds_of_a_balanced_sample_are_those_of_all_labels(spark):
+    """All toxic texts and 30 % of the others say "bad", half of the toxic ones "vile"; 10 % are toxic."""
+    rng, rows, labels = random.Random(1), [], []
+    for i in range(8000):
+        toxic = i % 10 == 0
+        word = ("vile bad" if i % 20 else "bad") if toxic else "bad" if rng.random() < 0.3 else "kind"
+        rows.append((i, f"some {word} words", "en", "a"))
+        labels.append((i, int(toxic)))
+    labels = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    docs = as_docs(spark, rows)
+    model = toxicity.fit_toxicity(docs, labels, F.lit(True), most=1000)
+    kept = {r["doc_id"] for r in toxicity.drop_toxic(docs, model).collect()}
+    # F1 of "vile": 0.67; of "bad": 0.43, but 0.87 where both labels are as frequent
+    assert "en" in model.thresholds and kept == {i for i, text, _, _ in rows if "vile" not in text}
+
+
 def test_long_or_repeated_texts_do_not_use_up_the_word_budget(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "FIT_WORDS", 3_000)
     monkeypatch.setattr(toxicity, "FIT_DOC_WORDS", 50)
