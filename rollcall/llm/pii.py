@@ -7,11 +7,15 @@ addresses, numbers with other separators or without a plus sign).  Every
 candidate becomes a row of format features (lengths, digits, separators,
 checksum, parts) and context features (neighbouring characters and hint words
 before it).  Histogram gradient-boosted trees are fitted on at most
-``FIT_ROWS`` candidates: base finds are the positive ones; candidates that
-look alike but fail (checksum, part above 255, number of digits, no context)
-are the negative ones.  A threshold per kind is calibrated on a held-out fifth
-so that at least ``PRECISION`` of what reaches it is positive; candidates that
-reach it and overlap nothing better are redacted too.
+``FIT_ROWS`` candidates.  Positive are base finds, and what the generators
+propose for the same finds rewritten in their own context (``rewritten``:
+spelled out, without the plus, with other separators).  Negative are
+candidates that fail a check (checksum, part above 255, number of digits, end
+of a domain) and phone-like digit runs without a hint word; further candidates, and those that
+overlap a base find, are not learned from.  A threshold per kind is calibrated
+on a held-out fifth of the generators' candidates so that at least
+``PRECISION`` of what reaches it is positive; candidates that reach it and
+overlap nothing better are redacted too.
 
 No shuffle: texts are searched where they lie, in Arrow batches.  All
 patterns are linear in the text: none can start again inside a run that it has
@@ -27,6 +31,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -167,25 +172,84 @@ def features(text: str, span: Span) -> list[float]:
     ]
 
 
+def rewritten(text: str, span: Span) -> list[str]:
+    """A base find in the forms that only the generators find."""
+    inside = text[span.start : span.end]
+    if span.kind == 0:
+        local, _, domain = inside.partition("@")
+        spelled = domain.replace(".", " [dot] ")
+        return [f"{local} [at] {spelled}", f"{local}(at){domain}", f"{local} (at) {domain.replace('.', ' (dot) ')}"]
+    if span.kind == 2:
+        groups = re.findall("[0-9]+", inside)
+        if len(groups) == 1:
+            groups = re.findall("[0-9]{1,4}", inside)
+        return [sep.join(groups) for sep in (".", "/")]
+    if span.kind == 3:
+        plain = inside[1:]
+        return [plain, re.sub(r"[ ().-]+", ".", plain), re.sub(r"[ ().-]+", "/", plain)]
+    return []
+
+
+def _rewritten_spans(text: str, span: Span) -> Iterator[tuple[str, Span]]:
+    """(text, candidate) for each rewritten form that the generators find in the find's own context."""
+    before, after = text[max(0, span.start - 2 * CONTEXT) : span.start], text[span.end : span.end + CONTEXT]
+    for form in rewritten(text, span):
+        changed = before + form + after
+        end = len(before) + len(form)
+        for other in generated(changed):
+            if other.kind == span.kind and other.start <= len(before) and other.end >= end:
+                yield changed, other
+
+
+def _fails(text: str, span: Span) -> bool:
+    """Whether a generated candidate is surely none of its kind."""
+    inside = text[span.start : span.end]
+    if span.kind == 0:
+        return re.search(r"[A-Za-z]{2,}\Z", inside) is None
+    if span.kind == 2:
+        return not luhn(digits_of(inside))
+    before = text[max(0, span.start - CONTEXT) : span.start].lower()
+    return not any(h in before for h in _HINTS[KINDS[span.kind]])
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, order, x) of every candidate of each text."""
+    """(label, generated, x) of the candidates of each text whose label is known."""
     for batch in batches:
-        labels, rows = [], []
+        labels, made, rows = [], [], []
+
+        def add(text: str, span: Span, label: bool, by_generator: bool):
+            labels.append(int(label))
+            made.append(by_generator)
+            rows.append(features(text, span))
+
         for value in batch.column(0):
             text = value.as_py() or ""
             found = base_candidates(text)
-            spots = {span for span, _ in found}
-            found += [(span, False) for span in generated(text) if span not in spots]
+            taken = sorted((span.start, span.end) for span, good in found if good)
+            reach = list(accumulate((end for _, end in taken), max))
             for span, good in found:
                 if good or span.end - span.start >= 7:  # a lone short number is no look-alike
-                    labels.append(int(good))
-                    rows.append(features(text, span))
+                    if good or not _overlaps(taken, reach, span):
+                        add(text, span, good, False)
+                if good:
+                    for changed, other in _rewritten_spans(text, span):
+                        add(changed, other, True, True)
+            for span in generated(text):
+                if not _overlaps(taken, reach, span) and _fails(text, span):
+                    add(text, span, False, True)
         if labels:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(labels, pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["label", "x"]
+                [pa.array(labels, pa.int32()), pa.array(made, pa.bool_()), pa.array(rows, pa.list_(pa.float64()))],
+                ["label", "made", "x"],
             )
 
 
+def _overlaps(taken: list[tuple[int, int]], reach: list[int], span: Span) -> bool:
+    """Whether one of ``taken`` (sorted; ``reach``: largest end so far) overlaps the span."""
+    at = bisect_left(taken, (span.end,))
+    return at > 0 and reach[at - 1] > span.start
+
+
 class Model(NamedTuple):
     forest: Forest
     thresholds: tuple[float, ...]  # by kind; above 1: nothing is added
@@ -198,21 +262,22 @@ def fit_pii(docs: DataFrame, most: int = FIT_ROWS, precision: float = PRECISION)
     hinted = docs.where(F.col("text").rlike("[0-9]{3}|@")).select("doc_id", "text")
     ids = hinted.select("doc_id", F.xxhash64("text").alias("mark")).orderBy(F.xxhash64("doc_id", "mark"), "doc_id").limit(most)
     rows = hinted.withColumn("mark", F.xxhash64("text")).join(F.broadcast(ids.distinct()), ["doc_id", "mark"])
-    got = rows.select("text").mapInArrow(_examples, "label int, x array<double>")
-    got = got.orderBy(F.xxhash64("x"), "label").limit(most).toArrow()
+    got = rows.select("text").mapInArrow(_examples, "label int, made boolean, x array<double>")
+    got = got.orderBy(F.xxhash64("x", "label", "made"), "label", "made").limit(most).toArrow()
     y = got.column("label").to_numpy().astype(float)
     x = matrix(got.column("x"))
+    made = np.array(got.column("made").to_pylist(), bool)
     held = np.arange(len(y)) % 5 == 0
     forest = fit(x[~held], y[~held], trees=40, depth=4)
     limits = []
     for kind in range(len(KINDS)):
-        own = held & (x[:, 0] == kind) if len(y) else held
+        own = held & made & (x[:, 0] == kind) if len(y) else held  # thresholds are for generated candidates
         limits.append(_limit(forest.probability(x[own]), y[own], precision))
     return Model(forest, tuple(limits))
 
 
 def _limit(score: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """Least score from which on at least ``precision`` are positive; 2.0 if there is none."""
+    """Half-way below the least score from which on at least ``precision`` are positive; 2.0 if there is none."""
     if not len(y):
         return 2.0
     order = np.argsort(-score, kind="stable")
@@ -220,7 +285,11 @@ def _limit(score: np.ndarray, y: np.ndarray, precision: float) -> float:
     # equal scores stand or fall together
     ends = np.append(score[order][1:] != score[order][:-1], True)
     good = np.flatnonzero((share >= precision) & ends)
-    return max(0.5, float(score[order][good[-1]])) if len(good) else 2.0
+    if not len(good):
+        return 2.0
+    last = good[-1]
+    below = score[order][last + 1] if last + 1 < len(y) else 0.0
+    return max(0.5, float(score[order][last] + below) / 2)
 
 
 def find(text: str, model: Model) -> tuple[list[Span], list[Span]]:

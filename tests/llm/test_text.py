@@ -216,6 +216,31 @@ def test_pii_adds_spans_and_keeps_base(spark, odd_docs, repeated_docs, no_docs):
         assert pii.find_pii(some, pii.fit_pii(some)).count() == some.count()
 
 
+def test_pii_adds_other_forms_beside_plain_ones(spark):
+    rng = random.Random(4)
+    number = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
+
+    def card():
+        digits = "4" + number(14)
+        return next(digits + c for c in "0123456789" if pii.luhn(digits + c))
+
+    rows, planted = [], {}
+    for i in range(300):
+        n, c = number(10), card()
+        rows.append((i, f"call +1 ({n[:3]}) {n[3:6]}-{n[6:]} or write to ab{n[:3]}@mail.example.com today and then we pay {c} now", "en", "a"))
+        bad = re.findall("....", c[:-1] + str((int(c[-1]) + 1) % 10))  # fails the checksum
+        rows.append((1000 + i, f"order {number(12)} of {number(3)}.{number(4)} and {'.'.join(bad)} pieces", "en", "a"))
+        if i % 10 == 0:
+            forms = [f"1 ({n[:3]}) {n[3:6]}-{n[6:]}", f"ab{n[:3]} [at] mail [dot] example [dot] com", ".".join(re.findall("....", c))]
+            planted[2000 + i] = forms
+            rows.append((2000 + i, f"call {forms[0]} or write to {forms[1]} today and then we pay {forms[2]} now", "en", "a"))
+    docs = as_docs(spark, rows)
+    found = {r["doc_id"]: r["redacted"] for r in pii.find_pii(docs, pii.fit_pii(docs)).collect()}
+    for doc, forms in planted.items():
+        assert not [form for form in forms if form in found[doc]]
+    assert sum("order [" in found[1000 + i] for i in range(300)) <= 6
+
+
 def test_redaction_merges_overlaps():
     spans = [pii.Span(0, 2, 5), pii.Span(3, 4, 8), pii.Span(1, 9, 10)]
     assert pii.redact("0123456789AB", spans) == "01[email]8[ip]AB"
