@@ -36,6 +36,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -176,10 +177,12 @@ def _verify(size: int, t: Fraction):
         edges = (np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS)).astype(np.uint64)
 
         def sets(part: pa.RecordBatch, ids: str, texts: str) -> list[tuple[np.ndarray, np.ndarray]]:
-            """Sorted set and part sizes of each row; neighbours with the same id are worked out once."""
+            """Sorted set and part sizes of each row; neighbours with the same id and text are worked out once."""
             id_list = part.column(part.schema.get_field_index(ids)).to_pylist()
-            first = [i for i, x in enumerate(id_list) if not i or x != id_list[i - 1]]
-            column = part.column(part.schema.get_field_index(texts)).take(pa.array(first, pa.int64()))
+            column = part.column(part.schema.get_field_index(texts))
+            same = pc.equal(column.slice(1), column.slice(0, max(0, len(column) - 1))).to_pylist()
+            first = [i for i, x in enumerate(id_list) if not i or x != id_list[i - 1] or not same[i - 1]]
+            column = column.take(pa.array(first, pa.int64()))
             row, value = shingle_sets(hasher, column, size)
             bounds = _bounds(row, len(first))
             made = []

@@ -79,6 +79,17 @@ def test_jaccard_without_leader_rounds_finds_the_same(odd_docs):
     assert sorted(one) == sorted(jaccard.JaccardJoin(odd_docs, rounds=3).result().drop("n_links").collect())
 
 
+def test_each_version_of_an_id_is_verified():
+    """Only the second text of id 1 equals that of id 2; the rows come in either order."""
+    texts = ["a b c d e f g", "one two three four five six"]
+    for order in ((0, 1), (1, 0)):
+        batch = pa.RecordBatch.from_pydict(
+            {"a": [1, 1], "b": [2, 2], "text_a": [texts[i] for i in order], "text_b": [texts[1]] * 2}
+        )
+        got = [r for part in jaccard._verify(5, Fraction(3, 4))(iter([batch])) for r in part.to_pylist()]
+        assert got == [{"a": 1, "b": 2}]
+
+
 def test_least_overlap_is_the_threshold():
     for a in range(1, 30):
         for b in range(1, 30):
