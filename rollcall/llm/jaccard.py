@@ -19,6 +19,13 @@ links, another leader is taken (at most ``LEADER_ROUNDS`` times); last, all pair
 components are compared.  So no link between different components is missed,
 and the components are those of all links.
 
+These links only span the components.  The number of links of each document is
+counted afterwards: a link never leaves a component, so the members of each are
+dealt to blocks by hash, and all pairs of every two blocks are compared by a
+matrix of overlaps, of which only a count per document goes on.  Small
+components share a block.  This costs the square of a component's members, in
+blocks of bounded size.
+
 The sketch counts all shingles of all documents in 2**18 buckets whatever the
 input; it only orders shingles, so collisions cost speed, not results.
 
@@ -52,6 +59,8 @@ PARTS = 16
 LEADER_ROUNDS = 8
 PAIRS_PER_ROW = 4
 GAIN = 16  # a round that links fewer than one in so many documents is the last with a leader
+BLOCK = 1_000  # documents of a block at about this many bytes of text at most
+BLOCK_BYTES = 4_000_000
 BROADCAST_IDS = 1_000_000  # 8 MB of ids
 
 
@@ -206,8 +215,77 @@ def _verify(size: int, t: Fraction):
     return run
 
 
+def _overlaps(row: np.ndarray, value: np.ndarray, n: int, one: slice, two: slice) -> np.ndarray:
+    """Number of shingles that each row of ``one`` shares with each of ``two``; (row, value) in any order."""
+    order = np.lexsort((row, value))
+    row, value = row[order], value[order]
+    start = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.empty(0, int)
+    often = np.diff(np.append(start, len(value)))
+    out = np.zeros((one.stop - one.start, two.stop - two.start), np.float32)
+    # shingles of many rows by matrix product, some columns at a time
+    dense = np.flatnonzero(often * 16 > n)
+    for at in range(0, len(dense), 512):
+        some = dense[at : at + 512]
+        has = np.zeros((n, len(some)), np.float32)
+        for column, token in enumerate(some):
+            has[row[start[token] : start[token] + often[token]], column] = 1
+        out += has[one] @ has[two].T
+    # the others pair by pair, those with equally many rows at once
+    rare = np.flatnonzero((often > 1) & (often * 16 <= n))
+    for k in np.unique(often[rare]).tolist():
+        tokens, step = rare[often[rare] == k], max(1, 200_000 // (k * k))
+        for at in range(0, len(tokens), step):
+            rows = row[start[tokens[at : at + step]][:, None] + np.arange(k)]
+            a, b = np.repeat(rows, k, axis=1).ravel(), np.tile(rows, k).ravel()
+            use = (a >= one.start) & (a < one.stop) & (b >= two.start) & (b < two.stop)
+            np.add.at(out, (a[use] - one.start, b[use] - two.start), 1)
+    return out
+
+
+def _degrees(size: int, t: Fraction):
+    """(id, links) of the documents of two blocks, or of one, for the pairs that lie across."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("block", "ascending"), ("id", "ascending")])
+        hasher, at, rows, values = WordHasher(fold_ascii=True), 0, [], []
+        for batch in table.select(["text"]).combine_chunks().to_batches():
+            for part in slices(batch, "text"):
+                row, value = shingle_sets(hasher, part.column(0), size)
+                rows.append(row + at)
+                values.append(value)
+                at += part.num_rows
+        row, value, n = np.concatenate(rows), np.concatenate(values), at
+        sizes = np.bincount(row, minlength=n)
+        ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        if lo == hi:
+            one = two = slice(0, n)
+        else:
+            cut = int(np.searchsorted(block, hi))
+            one, two = slice(0, cut), slice(cut, n)
+        both = _overlaps(row, value, n, one, two)
+        linked = np.zeros(both.shape, bool)
+        for i in range(len(both)):
+            shared = both[i].astype(np.int64)
+            union = sizes[one][i] + sizes[two] - shared
+            linked[i] = (shared > 0) & (shared * t.denominator >= t.numerator * union) & (ids[two] != ids[one][i])
+        # the versions of one id are one document
+        first1 = np.flatnonzero(np.diff(ids[one], prepend=ids[one][:1] - 1)) if len(both) else np.empty(0, int)
+        first2 = np.flatnonzero(np.diff(ids[two], prepend=ids[two][:1] - 1)) if both.shape[1] else np.empty(0, int)
+        if both.size:
+            linked = np.logical_or.reduceat(np.logical_or.reduceat(linked, first1, axis=0), first2, axis=1)
+        else:
+            linked = np.zeros((len(first1), len(first2)), bool)
+        out, count = ids[one][first1], linked.sum(axis=1)
+        if lo != hi:
+            out, count = np.concatenate((out, ids[two][first2])), np.concatenate((count, linked.sum(axis=0)))
+        return pa.table({"id": pa.array(out, pa.int64()), "links": pa.array(count, pa.int64())})
+
+    return run
+
+
 class JaccardJoin:
-    """One run over ``docs`` (doc_id, text): sets, verified links and components."""
+    """One run over ``docs`` (doc_id, text): sets, components and numbers of links."""
 
     def __init__(self, docs: DataFrame, size: int = SHINGLE, t: Fraction = SIMILARITY, rounds: int = LEADER_ROUNDS):
         self.docs, self.size, self.t, self.rounds = docs.select("doc_id", "text"), size, t, rounds
@@ -242,7 +320,7 @@ class JaccardJoin:
         return self.spark.sparkContext.broadcast(often.tobytes())
 
     def links(self) -> tuple[DataFrame, DataFrame]:
-        """(verified links a, b; components node, root) among class representatives."""
+        """(links a, b that span the components; components node, root) among class representatives."""
         t = self.t
         texts = self._representatives()
         prefix = texts.mapInArrow(_prefixes(self.size, t, self._sketch()), "token bigint, id bigint, n int, at int")
@@ -250,7 +328,7 @@ class JaccardJoin:
         rows = durable(sorted_rows.mapInArrow(_shared_rows, "token bigint, id bigint, n int, at int"), "shared")
         ids = durable(rows.select("id").distinct(), "shared-ids")
         small = F.broadcast(ids) if sure_small(ids, BROADCAST_IDS) else ids
-        known = durable(texts.join(small, "id", "left_semi"), "shared-texts")
+        self.known = known = durable(texts.join(small, "id", "left_semi"), "shared-texts")
 
         links = self.spark.createDataFrame([], "a bigint, b bigint")
         tested, found = links, self.spark.createDataFrame([], "node bigint, root bigint")
@@ -277,7 +355,7 @@ class JaccardJoin:
                 pairs = pairs.where("id1 < id2")
             pairs = pairs.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
             pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            new = durable(self._verified(pairs, known), "verified")
+            new = durable(self._verified(pairs, known).distinct(), "verified")
             tested, links, gained = tested.unionByName(pairs), links.unionByName(new), new.count()
             stars = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
             found = durable(components(stars.unionByName(new)), "components")
@@ -318,9 +396,40 @@ class JaccardJoin:
         whole = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
         return whole.mapInArrow(_verify(self.size, self.t), "a bigint, b bigint")
 
-    def result(self) -> DataFrame:
-        """One row per document: doc_id, n_shingles, component_id, n_links (of its class's representative)."""
+    def degrees(self, found: DataFrame) -> DataFrame:
+        """(id, n_links): the exact number of other representatives that each linked one is similar to."""
+        weight = self.known.groupBy("id").agg(F.sum(F.octet_length("text")).alias("bytes"))
+        placed = found.join(weight, found["node"] == weight["id"]).select("id", "root", "bytes")
+        parts = placed.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes"))
+        need = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))
+        parts = durable(parts.withColumn("blocks", need), "parts")
+        few = parts.where("blocks = 1").agg(F.sum("m").alias("m"), F.sum("bytes").alias("bytes")).first()
+        bundles = max(1, -(-(few["m"] or 0) // BLOCK), -(-(few["bytes"] or 0) // BLOCK_BYTES))
+        # a bundle of small components has no links between them, so it is one block
+        alone = F.col("blocks") > 1
+        keyed = placed.drop("bytes").join(parts.select("root", "blocks"), "root").select(
+            "id",
+            F.when(alone, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bundles))).alias("part"),
+            "blocks",
+            F.when(alone, F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(F.lit(0).cast("long")).alias("block"),
+        )
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+        keyed = keyed.select("id", "part", (F.col("blocks") > 1).alias("alone"), "block", other)
+        keyed = keyed.select(
+            "id", "part", "alone", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+        )
+        pairs = self.known.join(keyed, "id").select("id", "text", "part", "alone", "block", "lo", "hi")
+        counted = pairs.groupBy("part", "alone", "lo", "hi").applyInArrow(_degrees(self.size, self.t), "id bigint, links bigint")
+        return counted.groupBy("id").agg(F.sum("links").alias("n_links"))
+
+    def result(self, count: bool = True) -> DataFrame:
+        """One row per document: doc_id, n_shingles, component_id, n_links.
+
+        n_links is the number of other sets that the set of its class is
+        similar to; without ``count`` the column is left out.
+        """
         links, found = self.links()
+        degree = durable(self.degrees(found), "degrees") if count else None
         member = self.sets.join(self.classes.drop("members"), ["k1", "k2", "n"], "left")
         member = member.withColumn("_class", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
         # the versions of one document belong together even if their sets differ
@@ -328,16 +437,12 @@ class JaccardJoin:
         if not versions.isEmpty():
             own = member.select(F.col("doc_id").alias("a"), F.col("_class").alias("b")).where("a <> b")
             found = components(links.unionByName(own))
-        ends = links.select(F.col("a").alias("_end")).unionByName(links.select(F.col("b").alias("_end")))
-        degree = ends.groupBy("_end").agg(F.count(F.lit(1)).alias("n_links"))
         out = member.join(found, F.col("_class") == F.col("node"), "left")
-        out = out.join(degree, F.col("_class") == F.col("_end"), "left")
-        return out.select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.coalesce("root", "_class").alias("component_id"),
-            F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        )
+        columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "_class").alias("component_id")]
+        if not count:
+            return out.select(*columns)
+        out = out.join(degree.withColumnRenamed("id", "_end"), F.col("_class") == F.col("_end"), "left")
+        return out.select(*columns, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, t: Fraction = SIMILARITY) -> DataFrame:
@@ -347,6 +452,6 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, t: Fraction = SIMIL
 
 def one_of_each_group(docs: DataFrame, size: int = SHINGLE, t: Fraction = SIMILARITY) -> DataFrame:
     """``docs`` with only the smallest doc_id of each component; empty texts and null ids stay."""
-    found = jaccard_components(docs, size, t)
+    found = JaccardJoin(docs, size, t).result(count=False)
     gone = durable(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -79,6 +79,32 @@ def test_jaccard_without_leader_rounds_finds_the_same(odd_docs):
     assert sorted(one) == sorted(jaccard.JaccardJoin(odd_docs, rounds=3).result().drop("n_links").collect())
 
 
+def test_links_are_counted_exactly(spark, odd_rows, monkeypatch):
+    """A group of different near copies, chains and an id with two texts, in one block and in many."""
+    rng = random.Random(9)
+    base = prose(rng, 60).split()
+    rows = [(1000 + i, " ".join([*base[:k], f"v{i}", *base[k + 1 :]]), "en", "a") for i, k in enumerate(range(0, 60, 2))]
+    rows += [(1003, prose(rng, 30), "en", "a"), *odd_rows]
+    docs = as_docs(spark, rows)
+    sets = {}
+    for d, t, _, _ in rows:
+        sets.setdefault(d, []).append(brute.shingles(t))
+    classes = {}
+    for d, own in sets.items():
+        for x in own:
+            classes[frozenset(x)] = min(d, classes.get(frozenset(x), d))
+    of = {d: [x for x in own if x and classes[frozenset(x)] == d] for d, own in sets.items()}
+    near = lambda x, y: len(x & y) and 100 * len(x & y) >= 75 * len(x | y)
+    want = {a: sum(a != b and any(near(x, y) for x in of[a] for y in of[b]) for b in of) for a in of}
+    assert max(want.values()) > 20
+    for block in (2000, 7):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        for r in jaccard.jaccard_components(docs).collect():
+            if len(sets[r["doc_id"]]) == 1:
+                x = frozenset(sets[r["doc_id"]][0])
+                assert r["n_links"] == (want[classes[x]] if x else 0)
+
+
 def test_each_version_of_an_id_is_verified():
     """Only the second text of id 1 equals that of id 2; the rows come in either order."""
     texts = ["a b c d e f g", "one two three four five six"]
