@@ -2,7 +2,7 @@
 
 The others are tested against brute force: op1 hashes n-grams with a function
 that DuckDB lacks; op2, op5 and op6 are trained models; op3 and op8 schedule
-items one after another; op7's components would need all pairs.
+items one after another; op7's components would need all pairs; op13 needs XXH64.
 """
 
 _SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -94,4 +94,55 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM docs d LEFT JOIN marks m ON d.doc_id = m.doc_id
 """
 
-ORACLE = {"op4_mixing": OP4, "op9_substring": OP9, "op10_decontaminate": OP10}
+
+
+def _kmeans_sql(rounds: int = 10, k: int = 8, dim: int = 64) -> str:
+    """Plain k-means: every vector against every centroid in each round, sums by component."""
+    parts = [
+        f"""
+vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), centroids0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v AS w
+  FROM vectors ORDER BY sha256('3:' || vec_id), v LIMIT {k}
+)"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""
+assigned{i} AS MATERIALIZED (
+  SELECT row_id, arg_min(c, (distance, c)) AS c, min(distance) AS distance FROM (
+    SELECT row_id, c, list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance
+    FROM vectors, centroids{i}
+  ) GROUP BY row_id
+)"""
+        )
+        if i < rounds:
+            parts.append(
+                f"""
+sums{i} AS MATERIALIZED (
+  SELECT c, j, sum(x)::BIGINT AS s, count(*) AS n FROM (
+    SELECT c, unnest(range(1, {dim} + 1)) AS j, unnest(v) AS x FROM assigned{i} JOIN vectors USING (row_id)
+  ) GROUP BY c, j
+), means{i} AS MATERIALIZED (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS m FROM sums{i} GROUP BY c
+), centroids{i + 1} AS MATERIALIZED (
+  SELECT c, coalesce(m, w) AS w FROM centroids{i} LEFT JOIN means{i} USING (c)
+)"""
+            )
+    return (
+        "WITH"
+        + ",".join(parts)
+        + f"""
+SELECT vec_id, c::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM assigned{rounds} JOIN vectors USING (row_id) JOIN centroids{rounds} USING (c)
+"""
+    )
+
+
+OP11 = _kmeans_sql()
+
+ORACLE = {"op4_mixing": OP4, "op9_substring": OP9, "op10_decontaminate": OP10, "op11_shallot": OP11}

@@ -15,6 +15,7 @@ from rollcall.llm import (
     pii,
     quality_rules,
     quality_trees,
+    shallot,
     sharding,
     simhash,
     substring,
@@ -136,6 +137,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shallot.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))

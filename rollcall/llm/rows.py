@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.session import scratch_path
+
 # The word pattern of the contracts, and its separators
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -31,3 +36,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sure_small(df: DataFrame, max_rows: int) -> bool:
     """Whether the table has at most ``max_rows`` rows; counts no further than that."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+class Rewritten:
+    """A table in the shared folder that every round of an algorithm writes anew.
+
+    A round reads only the table before it, which is dropped once the new one
+    is written; the last one stays.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = scratch_path(spark, "rounds", f"{name}-{uuid.uuid4().hex}")
+        self.turn = 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = os.path.join(self.root, str(self.turn))
+        df.write.parquet(path)
+        if self.turn:
+            jvm = self.spark.sparkContext._jvm
+            old = jvm.org.apache.hadoop.fs.Path(os.path.join(self.root, str(self.turn - 1)))
+            old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        self.turn += 1
+        return self.spark.read.schema(df.schema).parquet(path)
