@@ -2,7 +2,8 @@
 
 The others are tested against brute force: op1 hashes n-grams with a function
 that DuckDB lacks; op2, op5 and op6 are trained models; op3 and op8 schedule
-items one after another; op7's components would need all pairs; op13 needs XXH64.
+items one after another; op7's components would need all pairs; op12's damage needs
+CRC32 and op13 XXH64, which DuckDB lacks.
 """
 
 _SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

@@ -15,6 +15,7 @@ from rollcall.llm import (
     pii,
     quality_rules,
     quality_trees,
+    repair,
     shallot,
     sharding,
     simhash,
@@ -142,6 +143,11 @@ def op11_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shallot.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
