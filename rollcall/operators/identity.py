@@ -10,9 +10,10 @@ only grouping on a possibly hot key (the base name in O-27) is a partial
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions.display import role_rank
@@ -62,7 +63,25 @@ def first_per_id(auth: DataFrame) -> DataFrame:
     return picked.select("id", *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def insert_ignore(new_rows: DataFrame, target: DataFrame) -> DataFrame:
+@dataclass
+class Directory:
+    """What new profiles are checked against: an ``ids`` (id) and a ``names`` (username) table, or an index of either.
+
+    An index is a function from the asked keys (a table of one column) to the held ones
+    that may be among them, with the column named as in the table.
+    """
+
+    ids: DataFrame | Callable[[DataFrame], DataFrame]
+    names: DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def as_directory(users: DataFrame | Directory) -> Directory:
+    if isinstance(users, Directory):
+        return users
+    return Directory(users.select("id"), users.select("username").where(F.col("username").isNotNull()))
+
+
+def insert_ignore(new_rows: DataFrame, target) -> DataFrame:
     """O-21 ``ON CONFLICT (id) DO NOTHING``: drop rows whose id the target already has.
 
     A batch of new rows is usually small next to the directory, so it is
@@ -78,13 +97,13 @@ class Resolution:
 
 
 def resolve_collisions(
-    claims: DataFrame, taken: DataFrame, rounds: int = MAX_ATTEMPTS, stage_input: bool = True
+    claims: DataFrame, taken, rounds: int = MAX_ATTEMPTS, stage_input: bool = True
 ) -> Resolution:
     """O-27 in set form.
 
     ``claims`` (id, base, created_at): new identities and their base names,
     one row per id (``build_profiles`` ensures it); ``taken`` (username):
-    names already in the directory.  Claimants are
+    names already in the directory, or an index of them (``Directory``).  Claimants are
     served in (created_at, id) order within each name, like rows arriving one
     by one.  Round 0: the first claimant of a free base keeps it.  Round k
     (1..rounds): the rest try ``base_<4 hex of md5(id:k)>``; a candidate is
@@ -92,13 +111,12 @@ def resolve_collisions(
     asking for it in that round.  Whoever is left after ``rounds`` rounds is
     returned in ``rejected`` (never as a duplicate name).
 
-    The directory is only probed for the names asked for, each round's by
-    those still waiting, so a batch that is served at the first attempt never
-    builds the other nine.  Each round stages its askers and its winners
-    (shared folder: lineage cut, executor loss survivable).  The loop stops as
-    soon as every claimant is served.
+    The directory is probed twice, whatever the number of rounds: for the
+    distinct bases, and for all tries of everyone still waiting.  The rounds
+    are then settled on the free tries alone (at most ``rounds`` rows for a
+    claimant), one staged table per turn (shared folder: lineage cut, executor
+    loss survivable).
     """
-    held = taken.select(F.col("username").alias("cand")).where(F.col("cand").isNotNull())
     claims = claims.select("id", "base", "created_at")
     if stage_input:
         claims = durable(claims, "claims")
@@ -109,25 +127,16 @@ def resolve_collisions(
     # meets the directory as millions of rows in one task.
     firsts = claims.groupBy("base").agg(F.min_by("id", nulls_last_key(["created_at", "id"])).alias("id"))
     granted = durable(
-        anti_join_small(durable(firsts, "firsts"), held, "base", "cand").select(
+        anti_join_small(durable(firsts, "firsts"), taken, "base", "username").select(
             "id", F.col("base").alias("cand"), F.lit(0).cast("long").alias("attempt")
         ),
         "round0",
     )
     rest = claims.join(granted.select("id"), "id", "left_anti")
-    for k in range(1, rounds + 1):
-        name = F.concat(F.col("base"), F.lit("_"), hex_suffix(F.col("id"), k))
-        asking = claims.join(granted.select("id"), "id", "left_anti").select("id", name.alias("cand"), "created_at")
-        asking = durable(asking, "asking")
-        if asking.isEmpty():
-            break
-        free = anti_join_small(asking, held, "cand").join(granted.select("cand"), "cand", "left_anti")
-        first = free.groupBy("cand").agg(F.min_by("id", nulls_last_key(["created_at", "id"])).alias("id"))
-        won = durable(first.select("id", "cand", F.lit(k).cast("long").alias("attempt")), f"round{k}")
-        granted = granted.unionByName(won)
-
-    accepted = granted.select("id", F.col("cand").alias("username"), "attempt")
-    rejected = rest.join(accepted.select("id"), "id", "left_anti").select(
+    tries = free_tries(rest, taken, rounds)
+    served = _serve(tries.join(granted.select("cand"), "cand", "left_anti"))
+    accepted = granted.unionByName(served).select("id", F.col("cand").alias("username"), "attempt")
+    rejected = rest.join(served.select("id"), "id", "left_anti").select(
         "id",
         "base",
         F.concat(F.col("base"), F.lit("_"), hex_suffix(F.col("id"), rounds)).alias("last_candidate"),
@@ -135,6 +144,40 @@ def resolve_collisions(
     return Resolution(accepted, rejected)
 
 
+def free_tries(waiting: DataFrame, taken, rounds: int) -> DataFrame:
+    """(id, created_at, attempt, cand): all suffixed tries of ``waiting`` (id, base, created_at) that ``taken`` (username) lacks."""
+    names = [F.concat(F.col("base"), F.lit("_"), hex_suffix(F.col("id"), k)) for k in range(1, rounds + 1)]
+    tries = waiting.select("id", "created_at", F.posexplode(F.array(*names)).alias("at", "cand"))
+    tries = tries.select("id", "created_at", (F.col("at") + 1).cast("long").alias("attempt"), "cand")
+    return anti_join_small(durable(tries, "tries"), taken, "cand", "username")
+
+
+def _serve(tries: DataFrame) -> DataFrame:
+    """(id, cand, attempt) of the claimants that get one of their free ``tries`` (``free_tries``).
+
+    A name goes to the try with the smallest (attempt, created_at, id), if its
+    claimant comes to ask for it; so whoever comes first for the first name on
+    its own list has it, whatever happens to the others.  All of those are
+    served at once, then their names are struck off the lists of the rest.  Each turn serves at
+    least all winners of the lowest attempt left, so there are as many turns as
+    attempts at most, and two or three as a rule.
+    """
+    order = nulls_last_key(["attempt", "created_at", "id"])
+    served = None
+    while True:
+        comes_first = order == F.min(order).over(Window.partitionBy("cand"))
+        listed = tries.withColumn("mine", comes_first).groupBy("id", "created_at")
+        listed = listed.agg(F.array_sort(F.collect_list(F.struct("attempt", "cand", "mine"))).alias("list"))
+        listed = durable(listed, "turn")
+        got = listed.where("list[0].mine").select("id", F.col("list")[0]["cand"].alias("cand"), F.col("list")[0]["attempt"].alias("attempt"))
+        served = got if served is None else served.unionByName(got)
+        waiting = listed.where("not list[0].mine")
+        if waiting.isEmpty():
+            return served
+        tries = waiting.select("id", "created_at", F.explode("list").alias("t")).select("id", "created_at", "t.attempt", "t.cand")
+        tries = tries.join(got.select("cand"), "cand", "left_anti")
+
+
 # Why a profile could not be stored
 NAME_TAKEN = "username_unique"
 NAME_MISSING = "username_not_null"
@@ -148,7 +191,7 @@ class BuildResult:
 
 
 def build_profiles(
-    auth_new: DataFrame, users: DataFrame, variant: str = "v2", as_of: dt.datetime | Column | None = None
+    auth_new: DataFrame, users: DataFrame | Directory, variant: str = "v2", as_of: dt.datetime | Column | None = None
 ) -> BuildResult:
     """O-26: profiles for newly inserted identities, under either sign-up rule.
 
@@ -161,14 +204,15 @@ def build_profiles(
     by O-31, T-7).
     """
     as_of = _ts(DEFAULT_AS_OF if as_of is None else as_of)
-    fresh = insert_ignore(first_per_id(auth_new), users)
+    held = as_directory(users)
+    fresh = insert_ignore(first_per_id(auth_new), held.ids)
     if variant == "v1":
         named = fresh.select("id", "created_at", v1_username().alias("username"))
-        return _as_is(named, users, lambda: profile_frame(F.col("id"), F.col("username"), as_of))
+        return _as_is(named, held.names, lambda: profile_frame(F.col("id"), F.col("username"), as_of))
     if variant != "v2":
         raise ValueError(f"unknown variant {variant!r}")
     fresh = durable(add_base_username(fresh, "base", avatar="avatar").select("id", "created_at", "base", "avatar"), "fresh")
-    res = resolve_collisions(fresh, users.select("username"), stage_input=False)
+    res = resolve_collisions(fresh, held.names, stage_input=False)
     rows = res.accepted.join(fresh.select("id", "avatar"), "id").select(
         *profile_frame(F.col("id"), F.col("username"), as_of, F.col("avatar"))
     )
@@ -176,7 +220,7 @@ def build_profiles(
     return BuildResult(rows, rejected)
 
 
-def _as_is(named: DataFrame, users: DataFrame, columns) -> BuildResult:
+def _as_is(named: DataFrame, taken, columns) -> BuildResult:
     """Profiles for (id, created_at, username) rows under the table's constraints on names.
 
     The first claimant (created_at, id) of a free name gets it, as if rows
@@ -186,7 +230,7 @@ def _as_is(named: DataFrame, users: DataFrame, columns) -> BuildResult:
     named = durable(named.withColumn("reason", bad), "named")
     firsts = first_keys(named.where("reason is null"), ["username"], ["created_at"], "id")
     firsts = durable(firsts.join(named.select("id", "username"), "id"), "firsts")
-    granted = anti_join_small(firsts, users.where("username is not null"), "username")
+    granted = anti_join_small(firsts, taken, "username")
     granted = durable(granted.select("id", F.lit(True).alias("_granted")), "granted")
     out = named.join(granted, "id", "left")
     profiles = out.where("_granted").select(*columns())
@@ -201,7 +245,7 @@ def backfill_missing_profiles(
     as_of = _ts(DEFAULT_AS_OF if as_of is None else as_of)
     missing = auth.join(users.select("id"), "id", "left_anti").select("id", "created_at", v1_username().alias("username"))
     joined = F.coalesce(F.col("created_at"), as_of)
-    built = _as_is(missing, users, lambda: profile_frame(F.col("id"), F.col("username"), joined))
+    built = _as_is(missing, as_directory(users).names, lambda: profile_frame(F.col("id"), F.col("username"), joined))
     return users.select(*USER_COLUMNS).unionByName(built.profiles), built.rejected
 
 

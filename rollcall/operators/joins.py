@@ -25,7 +25,7 @@ Three patterns recur in the directory jobs:
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +55,9 @@ def mark_first(
     return df.join(winners, key, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
-def anti_join_small(small: DataFrame, big: DataFrame, key: str, big_key: str | None = None) -> DataFrame:
+def anti_join_small(
+    small: DataFrame, big: DataFrame | Callable[[DataFrame], DataFrame], key: str, big_key: str | None = None
+) -> DataFrame:
     """``small`` rows whose ``key`` does not occur in ``big`` (a left anti join), for a staged ``small``.
 
     Spark cannot broadcast the left side of an anti join, so ``small`` anti
@@ -64,7 +66,12 @@ def anti_join_small(small: DataFrame, big: DataFrame, key: str, big_key: str | N
     list.  ``small`` is a stored table, so the planner knows its bytes: below
     its broadcast threshold ``big`` is only scanned, above it both sides are
     shuffled as in any large join.  No size is assumed here.
+
+    ``big`` may also be an index: a function that takes the asked keys (one
+    column) and returns the part of the big table that can hold them.
     """
+    if callable(big):
+        big = big(small.select(key))
     big_keys = big.select(F.col(big_key or key).alias(key))
     present = big_keys.join(small.select(key), key, "left_semi")
     return small.join(present, key, "left_anti")

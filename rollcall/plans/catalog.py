@@ -367,15 +367,25 @@ def q_login_touch_stream(spark, sf_dir):
     return J.apply_login_updates(spark, _backfilled(spark, sf_dir)[0], out)
 
 
-@register("profiles_stream")
-def q_profiles_stream(spark, sf_dir):
-    """All identities in four micro-batches (by ``k % 4``) against the crowded directory."""
+def _profile_stream(spark, sf_dir):
+    """All identities in four micro-batches (by ``k % 4``) against the crowded directory; returns the output folder."""
     out, ckpt = _stream_dirs(spark, "profiles")
     crowd = stored_users(spark, V.crowded_directory(spark, sf_dir))
     part = F.pmod(F.col("id").cast("long"), F.lit(BATCHES))
     for folder in _arriving(spark, V.auth_users(spark, sf_dir), part, "identities"):
         J.run_profile_stream(J.file_stream(spark, folder, AUTH_USERS), crowd, out, out + "-rejects", ckpt, as_of=as_of_col())
-    return J.read_batches(spark, out, USERS)
+    return out
+
+
+@register("profiles_stream")
+def q_profiles_stream(spark, sf_dir):
+    return J.read_batches(spark, _profile_stream(spark, sf_dir), USERS)
+
+
+@register("profiles_stream_rejected")
+def q_profiles_stream_rejected(spark, sf_dir):
+    """The identities to which no batch could give a profile, and why."""
+    return J.read_batches(spark, _profile_stream(spark, sf_dir) + "-rejects", J.REJECTS)
 
 
 # ------------------------------------------------- more reads and sinks

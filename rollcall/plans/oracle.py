@@ -474,14 +474,18 @@ ORACLE["session_state_stream"] = ORACLE["session_state"]
 ORACLE["login_touch_stream"] = ORACLE["login_touch"]
 
 
-def _stream_sql(batches: int = 4) -> str:
-    """v2 profiles of the identities with k % batches = 0, then 1, ...: each batch sees the names before it."""
+def _stream_sql(batches: int = 4, rejects: bool = False) -> str:
+    """v2 profiles (or rejects) of the identities with k % batches = 0, then 1, ...: each batch sees the names before it."""
     ctes = [_CLAIMS_V2]
     for i in range(batches):
         earlier = "".join(f" UNION ALL SELECT username FROM b{j}_resolved WHERE username IS NOT NULL" for j in range(i))
         ctes.append(f"b{i}_new AS (SELECT * FROM claims WHERE CAST(id AS BIGINT) % {batches} = {i})")
         ctes.append(f"b{i}_held AS (SELECT username FROM crowd{earlier})")
         ctes.append(collision_sql(f"b{i}_new", f"b{i}_held", p=f"b{i}_"))
+    if rejects:
+        parts = [f"SELECT id, last_candidate FROM b{i}_resolved WHERE username IS NULL" for i in range(batches)]
+        body = f"SELECT id, last_candidate AS username, 'username_unique' AS reason FROM ({' UNION ALL '.join(parts)})"
+        return with_ctes(body, ("auth_users", "crowd"), tuple(ctes))
     made = " UNION ALL ".join(f"SELECT id, username FROM b{i}_resolved WHERE username IS NOT NULL" for i in range(batches))
     body = f"""SELECT r.id, r.username, 'USER' AS role, {AS_OF_SQL} AS created_at, {_PROFILE_NULLS},
        json_extract_string(n.raw_user_meta_data, '$.avatar_url') AS avatar_url
@@ -490,6 +494,7 @@ FROM ({made}) r JOIN auth_users n ON n.id = r.id"""
 
 
 ORACLE["profiles_stream"] = _stream_sql()
+ORACLE["profiles_stream_rejected"] = _stream_sql(rejects=True)
 
 ORACLE.update(
     {

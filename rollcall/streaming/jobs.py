@@ -21,15 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.operators.identity import apply_touches, build_profiles
+from rollcall.operators.identity import Directory, apply_touches, build_profiles
 from rollcall.session import staged_area
 from rollcall.sources import schemas as S
 from rollcall.sources.tables import missing_path
+from rollcall.streaming.held_index import BUCKETS, HeldIndex
 from rollcall.streaming.session_state import SIGNED_IN, latest_events, merge_latest
 
 BATCH_COL = "batch_id"
 
 LATEST = T.StructType([S.AUTH_EVENTS[c] for c in ("id", "event", "ts", "event_id")])
+REJECTS = T.StructType([S.AUTH_USERS["id"], *(T.StructField(c, T.StringType(), True) for c in ("username", "reason"))])
 TOUCHES = T.StructType([S.AUTH_EVENTS["id"], T.StructField("_touch", T.TimestampNTZType(), True)])
 
 
@@ -159,21 +161,37 @@ def run_profile_stream(
     variant: str = "v2",
     as_of: dt.datetime | F.Column | None = None,
     trigger: dict | None = None,
+    index: str | None = None,
+    buckets: int = BUCKETS,
 ):
     """Profiles for identities as they arrive, with collisions resolved across batches.
 
-    Each batch is checked against ``base_users`` plus every earlier batch's
-    output (not its own, so a replay rebuilds the same rows).  What a batch
+    Each batch is checked against ``base_users`` and what earlier batches granted
+    (not its own, so a replay rebuilds the same rows), through an index of ids and
+    names under ``index`` (by default beside ``out``): it reads the buckets that it asks about, not the directory or the
+    earlier output.  ``base_users`` must be the same on every restart; it is indexed once.  What a batch
     stages on the way is dropped once its profiles and rejects are written.
     """
     spark = identities.sparkSession
+    root = index or f"{out.rstrip('/')}-held"
+    ids, names = (HeldIndex(spark, os.path.join(root, kind), buckets) for kind in ("ids", "names"))
+    ids.start(base_users.select("id"))
+    names.start(base_users.select("username"))
 
     def write(batch_df: DataFrame, batch_id: int) -> None:
-        existing = base_users.unionByName(read_batches(spark, out, S.USERS, below=batch_id))
+        for held in (ids, names):
+            held.merge(batch_id)
+        existing = Directory(
+            lambda asked: ids.among(asked, batch_id).withColumnRenamed("key", "id"),
+            lambda asked: names.among(asked, batch_id).withColumnRenamed("key", "username"),
+        )
         with staged_area(spark):
             built = build_profiles(batch_df, existing, variant, as_of)
             built.rejected.write.mode("overwrite").parquet(_batch_dir(rejects, batch_id))
             built.profiles.write.mode("overwrite").parquet(_batch_dir(out, batch_id))
+        made = spark.read.schema(S.USERS).parquet(_batch_dir(out, batch_id))
+        ids.append(made.select("id"), batch_id)
+        names.append(made.select("username"), batch_id)
 
     return _run(identities, out, checkpoint, "append", write, trigger=trigger)
 
