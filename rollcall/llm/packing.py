@@ -30,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.rows import small_batches
+from rollcall.llm.rows import small_batches, tidy
 
 ROW_TOKENS = 2048
 GROUP_BYTES = 8_000_000
-CACHE_CHUNKS = 200_000
+PART_CHARS = 1_000_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
-# Fixed value: the pattern that belongs to the vocabulary's merges
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Fixed value: the pattern that belongs to the vocabulary's merges (possessive, so that long runs need no backtracking)
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,11 +48,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Tokenizer:
-    """Ids of texts as little-endian bytes; remembers the ids of the chunks between spaces.
+    """Ids of texts as little-endian bytes.
 
     The pattern always starts a new piece at a space that stands between two
-    characters other than white space, so the chunks that begin there are
-    encoded independently.  The memory is bounded: it starts again when full.
+    characters other than white space, so a long text is cut there and encoded
+    part by part, with the ids of one part as Python numbers at a time.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
@@ -62,23 +62,23 @@ class Tokenizer:
 
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1
-        self.dtype = np.dtype("<u2" if self.end < 1 << 16 else "<u4")
+        self.dtype = id_type(self.end)
         self.cut = re.compile(r"(?<=\S) (?=\S)")
-        self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        first, *rest = self.cut.split(text)
-        known, out = self.known, []
-        for chunk in [first, *[" " + c for c in rest]]:
-            ids = known.get(chunk)
-            if ids is None:
-                ids = np.array(self.encoding.encode_ordinary(chunk), self.dtype).tobytes()
-                if len(chunk) <= 64:
-                    known[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        out, at = [], 0
+        while len(text) - at > PART_CHARS and (found := self.cut.search(text, at + PART_CHARS)):
+            out.append(self._encoded(text[at : found.start()]))
+            at = found.start()
+        return b"".join([*out, self._encoded(text[at:] if at else text)])
+
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.encoding.encode_ordinary(text), self.dtype).tobytes()
+
+
+def id_type(largest: int) -> np.dtype:
+    """Two little-endian bytes, or four for numbers that do not fit."""
+    return np.dtype("<u2" if largest < 1 << 16 else "<u4")
 
 
 class CapacityTree:
@@ -143,9 +143,9 @@ def _tokenise(ranks, size: int):
         for batch in batches:
             out: list[tuple] = []
             held = 0
-            for i in range(batch.num_rows):
-                ids = tokens.ids(batch.column(2)[i].as_py() or "") + end
-                doc, mark = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            docs, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for doc, mark, text in zip(docs, marks, batch.column(2)):
+                ids = tokens.ids(text.as_py() or "") + end
                 for piece, at in enumerate(range(0, len(ids), size * width)):
                     part = ids[at : at + size * width]
                     out.append((doc, mark, piece, at // width, len(part) // width, part))
@@ -176,12 +176,12 @@ def _pack(size: int, dtype: str, pad: int):
 
     def rows_of(group: int, pieces: pa.Table) -> pa.RecordBatch:
         doc, piece, begin, n, ids = (pieces.column(c).to_pylist() for c in ("doc_id", "piece", "begin", "n", "ids"))
-        kind, out = np.dtype(dtype), []
+        kind, steps, out = np.dtype(dtype), id_type(size - 1), []
         for row, items in enumerate(best_fit(n, size)):
             ends = np.cumsum([0, *(n[i] for i in items)])
             matrix = np.full(size, pad, kind)
             matrix[: ends[-1]] = np.frombuffer(b"".join(ids[i] for i in items), kind)
-            place = np.zeros(size, kind)
+            place = np.zeros(size, steps)
             place[: ends[-1]] = np.arange(ends[-1]) - np.repeat(ends[:-1], np.diff(ends))
             out.append(
                 (
@@ -220,23 +220,22 @@ def pack(
 ) -> DataFrame:
     """Packed rows (schema ``PACKED``) of ``docs`` (doc_id, text).
 
-    ``input_ids`` and ``position_ids`` hold ``size`` little-endian numbers of
-    two bytes (four for vocabularies over 65,535); the end id also pads.
+    ``input_ids`` and ``position_ids`` hold ``size`` little-endian numbers of two
+    bytes (four for vocabularies of more than 65,535 tokens, or rows of more than 65,536 ids); the end id also pads.
     ``pieces`` and ``begins`` place each segment in its document.
     """
     spark = docs.sparkSession
     small_batches(spark)
     ranks = read_ranks(vocabulary)  # a vocabulary file, a few MB
     end = max(ranks.values()) + 1
-    dtype = "<u2" if end < 1 << 16 else "<u4"
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    pieces = rows.mapInArrow(_tokenise(spark.sparkContext.broadcast(ranks), size), _PIECES)
+    pieces = rows.mapInArrow(tidy(_tokenise(spark.sparkContext.broadcast(ranks), size)), _PIECES)
     group = F.pmod(F.xxhash64("doc_id", "mark", "piece"), F.lit(groups)).cast("int").alias("shard")
     dealt = pieces.select(group, "*").repartition("shard")
     ordered = dealt.sortWithinPartitions("shard", F.desc("n"), "doc_id", "mark", "piece")
-    return ordered.drop("mark").mapInArrow(_pack(size, dtype, end), PACKED)
+    return ordered.drop("mark").mapInArrow(tidy(_pack(size, id_type(end).str, end)), PACKED)
 
 
 def matrices(packed: DataFrame, rows: int = 256) -> DataFrame:
