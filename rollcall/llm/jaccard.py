@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.components import components
-from rollcall.llm.rows import small_batches, sure_small
+from rollcall.llm.rows import small_batches, sure_small, tidy
 from rollcall.llm.words import WordHasher, mix64, signed, slices
 from rollcall.session import durable
 
@@ -292,7 +292,7 @@ class JaccardJoin:
         self.spark = docs.sparkSession
         small_batches(self.spark)
         self.narrow = durable(
-            self.docs.mapInArrow(_scan(size), "kind int, id bigint, k1 bigint, k2 bigint, n bigint"), "sets"
+            self.docs.mapInArrow(tidy(_scan(size)), "kind int, id bigint, k1 bigint, k2 bigint, n bigint"), "sets"
         )
         self.sets = self.narrow.where("kind = 0").drop("kind").withColumnRenamed("id", "doc_id")
         named = self.sets.where("n > 0 and doc_id is not null")
@@ -323,9 +323,9 @@ class JaccardJoin:
         """(links a, b that span the components; components node, root) among class representatives."""
         t = self.t
         texts = self._representatives()
-        prefix = texts.mapInArrow(_prefixes(self.size, t, self._sketch()), "token bigint, id bigint, n int, at int")
+        prefix = texts.mapInArrow(tidy(_prefixes(self.size, t, self._sketch())), "token bigint, id bigint, n int, at int")
         sorted_rows = prefix.repartition("token").sortWithinPartitions("token")
-        rows = durable(sorted_rows.mapInArrow(_shared_rows, "token bigint, id bigint, n int, at int"), "shared")
+        rows = durable(sorted_rows.mapInArrow(tidy(_shared_rows), "token bigint, id bigint, n int, at int"), "shared")
         ids = durable(rows.select("id").distinct(), "shared-ids")
         small = F.broadcast(ids) if sure_small(ids, BROADCAST_IDS) else ids
         self.known = known = durable(texts.join(small, "id", "left_semi"), "shared-texts")
@@ -394,7 +394,7 @@ class JaccardJoin:
         one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
         two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
         whole = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-        return whole.mapInArrow(_verify(self.size, self.t), "a bigint, b bigint")
+        return whole.mapInArrow(tidy(_verify(self.size, self.t)), "a bigint, b bigint")
 
     def degrees(self, found: DataFrame) -> DataFrame:
         """(id, n_links): the exact number of other representatives that each linked one is similar to."""
