@@ -107,11 +107,17 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", done)
 
 
+def _octet(digits: str) -> bool:
+    """Whether digits, of any length, are at most 255."""
+    value = digits.lstrip("0")
+    return len(value) <= 3 and int(value or "0") <= 255
+
+
 def base_candidates(text: str) -> list[tuple[Span, bool]]:
     """Leftmost matches of the base patterns, and whether each passes its rule."""
     out = [(Span(0, a, b), True) for a, b in _emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
-        out.append((Span(1, *m.span()), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))))
+        out.append((Span(1, *m.span()), all(_octet(p) for p in m.group().split("."))))
     for m in _CARD.finditer(text):
         number = digits_of(m.group())
         out.append((Span(2, *m.span()), 13 <= len(number) <= 19 and luhn(number)))

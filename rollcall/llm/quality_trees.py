@@ -108,15 +108,19 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     statistics = Statistics()
     for batch in batches:
         for part in slices(batch, "text"):
-            rows = pa.array(list(statistics(part.column(1))), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), rows], ["label", "x"])
+            rows = pa.array(list(statistics(part.column(2))), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), rows], ["doc_id", "label", "x"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, usable, most: int = FIT_ROWS, label: str = "quality") -> Forest:
     """Trees fitted on at most ``most`` labelled documents for which ``usable`` (over labels) holds."""
     small_batches(docs.sparkSession)
     rows = sample(docs.select("doc_id", "text"), known_labels(labels, label, usable), most)
-    got = rows.select("label", "text").mapInArrow(_examples, "label int, x array<double>").toArrow()
+    made = rows.select(F.col("doc_id").cast("bigint"), "label", "text").mapInArrow(
+        _examples, "doc_id bigint, label int, x array<double>"
+    )
+    # an id that repeats counts once, so at most ``most`` rows come to the driver
+    got = made.groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("one")).select("one.*").toArrow()
     y = got.column("label").to_numpy().astype(float)
     x = matrix(got.column("x"))
     order = np.lexsort((*x.T, y)) if len(y) else []  # task order must not change the sums

@@ -25,7 +25,8 @@ the removal; Spark reuses that one exchange.
 Defined results: null text or no words gives 0 words and an empty rest; rows
 with the same id and text are one document, and neither removes words of the
 other; rows that share only the id are ordered by a hash of the text; a null
-id counts as largest; further columns are ignored.
+id counts as larger than every other, and rows without one go by a hash of the
+text; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -241,15 +242,24 @@ class SubstringDedup:
             raise ValueError("window must be an even number of words")
         self.window = window
         small_batches(docs.sparkSession)
-        largest = (1 << 63) - 1
         mark = F.shiftrightunsigned(F.xxhash64("text"), 64 - (63 - PLACE_BITS))
         self.docs = docs.select(
-            F.coalesce("doc_id", F.lit(largest)).alias("doc"), mark.alias("mark"), "text", "doc_id"
+            F.coalesce("doc_id", self._beyond(docs)).alias("doc"), mark.alias("mark"), "text", "doc_id"
         )
 
+    @staticmethod
+    def _beyond(docs: DataFrame):
+        """Numbers above every doc_id for rows without one, by a hash of the text, so that they are documents apart."""
+        room = (1 << 63) - 2 - max(docs.agg(F.max("doc_id")).first()[0] or 0, 0)
+        if room < 1:
+            return F.lit((1 << 63) - 1)
+        return F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(F.lit(9), "text"), F.lit(room))
+
     def _with_places(self, places: DataFrame, how: str) -> DataFrame:
-        lists = places.groupBy("doc").agg(F.collect_list("place").alias("places"))
-        return self.docs.join(lists, "doc", how).select("doc", "mark", "text", "places", "doc_id")
+        # a place tells its text, so versions of one id do not get each other's places
+        lists = places.groupBy("doc", F.shiftrightunsigned("place", PLACE_BITS).alias("mark"))
+        lists = lists.agg(F.collect_list("place").alias("places"))
+        return self.docs.join(lists, ["doc", "mark"], how).select("doc", "mark", "text", "places", "doc_id")
 
     def copies(self) -> DataFrame:
         """(doc, mark) of the texts that a smaller id has too."""
