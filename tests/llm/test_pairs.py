@@ -9,6 +9,8 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from rollcall.llm import components, jaccard, sharding, substring
 from rollcall.llm.words import WordHasher, slices
@@ -216,27 +218,61 @@ def test_window_must_be_even(odd_docs):
         substring.SubstringDedup(odd_docs, 7)
 
 
-def test_schedule_is_longest_first_to_the_least_loaded():
-    rng = random.Random(4)
-    weights = [(i, rng.randrange(1, 50)) for i in range(200)]
-    loads = [0] * 7
-    for item, weight in sorted(weights, key=lambda x: (-x[1], x[0])):
+def longest_first(weights, shards):
+    """Loads, and how many items of each weight each shard has, by scheduling items one after another."""
+    loads, has = [0] * shards, Counter()
+    for weight in sorted(weights, reverse=True):
         shard = loads.index(min(loads))
         loads[shard] += weight
-    got = Counter()
-    for item, shard in sharding.schedule(weights, 7):
-        got[shard] += dict(weights)[item]
-    assert sorted(got.values()) == sorted(loads) and heapq
+        has[weight, shard] += 1
+    return loads, has
 
 
-def check_shards(docs, shards=40, fine=256):
-    rows = sharding.shard_documents(docs, shards, fine).collect()
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 12), st.integers(1, 60)), max_size=12), st.integers(1, 7))
+def test_runs_are_scheduled_like_their_items(runs, shards):
+    """Runs longer and shorter than the number of shards, and a heap over single items."""
+    runs = sorted(dict(runs).items(), reverse=True)
+    weights = [w for w, n in runs for _ in range(n)]
+    got = Counter()
+    for weight, ends, of in sharding.schedule(runs, shards):
+        for shard, low, high in zip(of, [0, *ends], ends):
+            got[weight, shard] += high - low
+    loads, want = longest_first(weights, shards)
+    assert got == want
+    heap = [(0, s) for s in range(shards)]
+    for weight in weights:
+        load, s = heap[0]
+        heapq.heapreplace(heap, (load + weight, s))
+    assert sorted(load for load, _ in heap) == sorted(loads)
+
+
+def test_a_run_of_very_many_groups_is_placed_at_once():
+    loads = [5, 0, 11]
+    taken = sharding.place_run(loads, 3, 10**12)
+    assert sum(taken) == 10**12 and max(loads) - min(loads) <= 3
+
+
+def check_shards(docs, shards=40):
+    rows = sharding.shard_documents(docs, shards).collect()
     texts = [(r["text"] or "").encode() for r in docs.select("text").collect()]
     assert sorted((r["size"], r["text_crc32"]) for r in rows) == sorted((len(t) + 16, zlib.crc32(t)) for t in texts)
     for shard, members in brute.by(rows, "shard").items():
         assert 0 <= shard < shards and sorted(m["slot"] for m in members) == list(range(len(members)))
     for members in brute.by(rows, "text_crc32").values():
         assert len({m["shard"] for m in members}) == 1
+    # the whole schedule, over all groups
+    groups = Counter()
+    for t in texts:
+        groups[t] += len(t) + 16
+    loads, want = longest_first(groups.values(), shards)
+    weight = {zlib.crc32(t): w for t, w in groups.items()}
+    got = {(m["text_crc32"], m["shard"]) for m in rows}
+    assert Counter((weight[crc], shard) for crc, shard in got) == want
+    mine = Counter()
+    for r in rows:
+        mine[r["shard"]] += r["size"]
+    assert sorted(mine.values()) == sorted(x for x in loads if x)
     return rows
 
 
@@ -246,11 +282,31 @@ def test_shards(odd_docs, repeated_docs, no_docs):
     assert check_shards(no_docs) == []
 
 
-def test_shards_are_even_with_bundles(spark):
+def test_shards_of_a_whole_table(spark):
+    check_shards(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_shards_are_even(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 7)  # the plan in several blocks
+    monkeypatch.setattr(sharding, "BROADCAST_RUNS", 0)  # and joined instead of broadcast
     rng = random.Random(4)
     docs = as_docs(spark, [(i, prose(rng, rng.randrange(20, 60)), "en", "a") for i in range(3000)])
-    rows = check_shards(docs, 4, 16)  # 64 bundles of about 47 documents
+    rows = check_shards(docs, 4)
     loads = Counter()
     for r in rows:
         loads[r["shard"]] += r["size"]
     assert max(loads.values()) - min(loads.values()) < 0.02 * sum(loads.values())
+
+
+def test_texts_without_id_do_not_share_places(spark):
+    """Rows without id, and versions of one id, are documents apart in the joins."""
+    rng = random.Random(8)
+    passage = prose(rng, 30)
+    rows = [(None if i % 2 else 7, f"{prose(rng, 25)} {passage} x{i}", "en", "a") for i in range(60)]
+    job = substring.SubstringDedup(as_docs(spark, rows))
+    places = job._with_places(job.later_starts(), "left").selectExpr("coalesce(size(places), 0) n").collect()
+    assert sorted(r["n"] for r in places)[1:] == [11] * 59  # each its own eleven starts
+    got = job.result().collect()
+    assert sorted(r["n_removed"] for r in got)[1:] == [30] * 59
+    top = as_docs(spark, [(2**63 - 1, passage, "en", "a"), (None, passage + " y", "en", "a"), (1, "z", "en", "a")])
+    assert sorted(r["n_removed"] for r in substring.remove_repeats(top).collect()) == [0, 0, 30]
