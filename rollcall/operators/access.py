@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from rollcall.functions.display import is_admin
 from rollcall.operators.joins import lookup_join
 from rollcall.operators.search import NotFound, single
-from rollcall.sources.schemas import USER_COLUMNS
+from rollcall.session import durable
+from rollcall.sources.schemas import ADMIN_ROLES, USER_COLUMNS
 
 # The role each action sets and the role it requires first,
 # and the landing pages chosen by the admin test.
@@ -127,6 +128,56 @@ def role_change_outcomes(requests: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
+def changed_rows(outcomes: DataFrame, users: DataFrame) -> DataFrame:
+    """O-30 with O-06 (d): for each applied request, its id and the whole profile row it leaves."""
+    applied = outcomes.where(F.col("status") == "applied").select("request_id", "target_id", "new_role")
+    found = lookup_join(durable(applied, "applied"), ["target_id"], users.select(*USER_COLUMNS), "id")
+    return found.select(
+        "request_id",
+        *[F.col("new_role" if c == "role" else f"target_id_row.{c}").alias(c) for c in USER_COLUMNS],
+    )
+
+
+class SessionDirectory:
+    """O-29 as a view: every read of the directory goes through the signed-in actor's policy.
+
+    ``directory`` is a temporary view of ``users`` whose predicate reads two
+    session variables, the actor and their role.  They are constants when a query is
+    planned, so an admin's query has no predicate and a user's one on ``id``,
+    which reaches the scan.  Without a session there is no view to read.
+    """
+
+    ACTOR, ROLE = "rollcall_actor", "rollcall_actor_role"
+
+    def __init__(self, users: DataFrame, name: str = "directory"):
+        self.users, self.name, self.spark = users, name, users.sparkSession
+        users.createOrReplaceTempView(f"{name}_rows")
+        self.sign_out()
+
+    def _set(self, actor: str | None, role: str | None) -> None:
+        for variable, value in ((self.ACTOR, actor), (self.ROLE, role)):
+            self.spark.sql(f"DECLARE OR REPLACE VARIABLE {variable} STRING")
+            self.spark.sql(f"SET VAR {variable} = CAST(:value AS STRING)", args={"value": value})
+
+    def sign_in(self, actor_id: str | None) -> None:
+        role = actor_role(self.users, actor_id)
+        self._set(actor_id, role)
+        admins = ", ".join(f"'{r}'" for r in ADMIN_ROLES)
+        self.spark.sql(
+            f"CREATE OR REPLACE TEMPORARY VIEW {self.name} AS SELECT * FROM {self.name}_rows "
+            f"WHERE coalesce({self.ROLE} IN ({admins}), false) OR id = {self.ACTOR}"
+        )
+
+    def sign_out(self) -> None:
+        self._set(None, None)
+        self.spark.catalog.dropTempView(self.name)
+
+    def read(self) -> DataFrame:
+        if not self.spark.catalog.tableExists(self.name):
+            raise NoSession("No active session")
+        return self.spark.table(self.name)
+
+
 def apply_role_changes(users: DataFrame, outcomes: DataFrame) -> DataFrame:
     """The snapshot after a batch: applied changes, last request per target wins."""
     changes = (

@@ -41,12 +41,37 @@ class NotUnique(LookupError):
     pass
 
 
-# O-15: the section registry.  Each section names its projection and the
-# column its text search reads; the reference has one section.
+class InvalidFilter(ValueError):
+    pass
+
+
+@dataclass(frozen=True)
+class Filter:
+    """A filter that a section declares: the request field it sets, the UI's name and label, and its kind."""
+
+    field: str
+    key: str
+    label: str
+    kind: str  # 'select' (equal to one of the options), 'from' or 'to' (UTC day bounds, inclusive)
+    column: str
+    options: tuple[str, ...] = ()
+
+
+# O-15: the section registry.  Each section declares its projection, the
+# column that its text search reads, its filters and sorts, and what to say
+# when nothing matches; the reference has one section (labels and message are fixed values).
 SECTIONS = {
     "users": {
+        "label": "Users",
         "columns": ("id", "username", "role", "created_at", "last_login"),
         "search_column": "username",
+        "empty_message": "No users matched your search.",
+        "filters": (
+            Filter("role", "role", "Role", "select", "role", ROLES),
+            Filter("joined_after", "joinedAfter", "Joined After", "from", "created_at"),
+            Filter("joined_before", "joinedBefore", "Joined Before", "to", "created_at"),
+        ),
+        "sorts": (("username", "Username"), ("createdAt", "Date Joined"), ("lastLogin", "Last Login")),
     }
 }
 
@@ -75,6 +100,20 @@ class SearchRequest:
         return cls(q=q, **cleaned)
 
 
+def request_for(section: str, q: str = "", filters: dict[str, str] | None = None, **sort) -> SearchRequest:
+    """O-15: a request from the UI's names of filters; one that the section does not declare is refused."""
+    declared = {f.key: f.field for f in check_section(section)["filters"]}
+    for key in filters or {}:
+        if key not in declared:
+            raise InvalidFilter(f"Invalid filter: '{key}'")
+    return SearchRequest.from_ui(section=section, q=q, **{declared[k]: v for k, v in (filters or {}).items()}, **sort)
+
+
+def empty_message(section: str, rows: int) -> str | None:
+    """What a section says when no row matches; None if there are rows."""
+    return None if rows else check_section(section)["empty_message"]
+
+
 def _day(value: str) -> dt.date:
     try:
         return dt.date.fromisoformat(value)
@@ -95,18 +134,21 @@ def predicates(df: DataFrame, req: SearchRequest) -> list[Column]:
     section = SECTIONS[req.section]
     if req.q:
         out.append(F.col(section["search_column"]).ilike(like_pattern(req.q, req.literal)))
-    if req.role:
-        if req.role not in ROLES:
-            raise InvalidRole(f"Invalid role: '{req.role}'")
-        out.append(F.col("role") == F.lit(req.role))
-    ts_type = df.schema["created_at"].dataType
-    if req.joined_after:
-        start = dt.datetime.combine(_day(req.joined_after), dt.time(0, 0, 0))
-        out.append(F.col("created_at") >= _ts_literal(start, ts_type))
-    if req.joined_before:
-        # inclusive end of day to the millisecond, as the reference sends it
-        end = dt.datetime.combine(_day(req.joined_before), dt.time(23, 59, 59, 999000))
-        out.append(F.col("created_at") <= _ts_literal(end, ts_type))
+    for declared in section["filters"]:
+        value, column = getattr(req, declared.field), F.col(declared.column)
+        if not value:
+            continue
+        if declared.kind == "select":
+            if value not in declared.options:
+                raise InvalidRole(f"Invalid {declared.field}: '{value}'")
+            out.append(column == F.lit(value))
+            continue
+        ts_type = df.schema[declared.column].dataType
+        if declared.kind == "from":
+            out.append(column >= _ts_literal(dt.datetime.combine(_day(value), dt.time(0, 0, 0)), ts_type))
+        else:
+            # inclusive end of day to the millisecond, as the reference sends it
+            out.append(column <= _ts_literal(dt.datetime.combine(_day(value), dt.time(23, 59, 59, 999000)), ts_type))
     return out
 
 

@@ -20,8 +20,10 @@ from rollcall.operators import access as A
 from rollcall.operators import identity as I
 from rollcall.operators import quality as Q
 from rollcall.operators import search as S
+from rollcall.operators import trigrams as G
 from rollcall.plans.positions import with_position
 from rollcall.session import durable, scratch_path
+from rollcall.sources import bucketed as B
 from rollcall.sources import snapshots as SN
 from rollcall.sources import tables as T
 from rollcall.sources import views as V
@@ -73,10 +75,10 @@ def table_root(spark, name):
     return scratch_path(spark, "tables", f"{name}-{uuid.uuid4().hex}")
 
 
-def stored_users(spark, df, cluster_by=None):
+def stored_users(spark, df, cluster_by=None, bloom=()):
     """A derived directory written once through the sink (O-04) and read back as stored table (O-01)."""
     root = table_root(spark, "users")
-    SN.write_snapshot(df, root, cluster_by)
+    SN.write_snapshot(df, root, cluster_by, bloom)
     return T.read_users(spark, SN.current_path(spark, root))
 
 
@@ -101,6 +103,28 @@ for _name, _req in SEARCHES.items():
     QUERIES[_name] = _search_query(_req)
 
 
+# requests that a trigram index serves: a rare run, and runs between wildcards
+INDEXED = {
+    "search_indexed": S.SearchRequest(q="00123"),
+    "search_indexed_wildcard": S.SearchRequest(q="ER#0%12_", sort_by="username", sort_dir="asc"),
+}
+
+
+def _indexed_query(req: S.SearchRequest):
+    def run(spark, sf_dir):
+        users = stored_users(spark, V.users(spark, sf_dir), cluster_by="id")
+        root = table_root(spark, "trigrams")
+        G.write_index(users, root)
+        key, ascending = S.sort_key(req)
+        return with_position(G.search_indexed(users, G.read_index(spark, root), req), S.order_columns(key, ascending))
+
+    return run
+
+
+for _name, _req in INDEXED.items():
+    QUERIES[_name] = _indexed_query(_req)
+
+
 @register("scan_users")
 def q_scan_users(spark, sf_dir):
     """O-01 on a snapshot written before the avatar column existed (O-05)."""
@@ -126,6 +150,29 @@ def q_directory_count(spark, sf_dir):
     return S.directory_count(V.users(spark, sf_dir, ("id",)))
 
 
+def _day_range(users):
+    """The joined-range search over a stored directory."""
+    return S.search_unsorted(users, SEARCHES["search_joined_range"])
+
+
+@register("clustered_range")
+def q_clustered_range(spark, sf_dir):
+    """O-10 over a snapshot clustered by creation time and id."""
+    return _day_range(stored_users(spark, V.users(spark, sf_dir), cluster_by=("created_at", "id")))
+
+
+@register("clustered_profile")
+def q_clustered_profile(spark, sf_dir):
+    """O-13 over the same layout."""
+    return S.by_id(stored_users(spark, V.users(spark, sf_dir), cluster_by=("created_at", "id")), "7")
+
+
+@register("profile_by_bloom")
+def q_profile_by_bloom(spark, sf_dir):
+    """O-13 over a snapshot that is not clustered, with Bloom filters on its keys."""
+    return S.by_id(stored_users(spark, V.users(spark, sf_dir), bloom=("id", "username")), "7")
+
+
 @register("profile_by_id")
 def q_profile_by_id(spark, sf_dir):
     return S.by_id(stored_users(spark, V.users(spark, sf_dir), cluster_by="id"), "7")
@@ -226,6 +273,37 @@ def q_cascade_delete(spark, sf_dir):
     return I.cascade_delete(V.users(spark, sf_dir), kept)
 
 
+BUCKETS = 64
+
+
+def _bucketed(spark, df, name):
+    """A derived table stored in buckets of its id; 64 or as many as the session shuffles into."""
+    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return B.write_bucketed(df, f"{name}_{uuid.uuid4().hex}", buckets)
+
+
+@register("bucketed_backfill")
+def q_bucketed_backfill(spark, sf_dir):
+    """O-18 on bucketed tables: the anti join reads both in place."""
+    existing = _bucketed(spark, users_existing(spark, sf_dir), "users")
+    identities = _bucketed(spark, V.auth_users(spark, sf_dir), "auth")
+    return I.backfill_missing_profiles(identities, existing, as_of_col())[0]
+
+
+@register("bucketed_cascade_delete")
+def q_bucketed_cascade_delete(spark, sf_dir):
+    """O-23 on bucketed tables."""
+    kept = V.auth_users(spark, sf_dir).where(F.col("id").cast("long") % 11 != 0)
+    return I.cascade_delete(_bucketed(spark, V.users(spark, sf_dir), "users"), _bucketed(spark, kept, "auth"))
+
+
+@register("bucketed_login_touch")
+def q_bucketed_login_touch(spark, sf_dir):
+    """O-28 on a bucketed directory: only the sign-ins are shuffled."""
+    users = _bucketed(spark, V.users(spark, sf_dir), "users")
+    return I.login_touch(users, V.auth_events(spark, sf_dir))
+
+
 def _seeded(spark, sf_dir):
     directory = V.users(spark, sf_dir).unionByName(V.seed_holders(spark, sf_dir))
     users = stored_users(spark, directory)
@@ -287,6 +365,35 @@ def q_change_roles_snapshot(spark, sf_dir):
     return A.apply_role_changes(users, A.role_change_outcomes(V.role_requests(spark, sf_dir), users.select("id", "role")))
 
 
+@register("change_roles_returning")
+def q_change_roles_returning(spark, sf_dir):
+    """O-30 with the changed row (O-06 d) of each applied request."""
+    users = stored_users(spark, V.users(spark, sf_dir))
+    return A.changed_rows(A.role_change_outcomes(V.role_requests(spark, sf_dir), users.select("id", "role")), users)
+
+
+def _session(spark, sf_dir, actor):
+    directory = A.SessionDirectory(stored_users(spark, V.users(spark, sf_dir), cluster_by="id"), f"d{uuid.uuid4().hex}")
+    directory.sign_in(actor)
+    return directory.read()
+
+
+@register("policy_search_user")
+def q_policy_search_user(spark, sf_dir):
+    """O-29 as a view: a user's search sees their own row."""
+    return S.search_unsorted(_session(spark, sf_dir, "7"), S.SearchRequest())
+
+
+@register("policy_search_admin")
+def q_policy_search_admin(spark, sf_dir):
+    return S.search_unsorted(_session(spark, sf_dir, "11"), S.SearchRequest(q="team"))
+
+
+@register("policy_count_user")
+def q_policy_count_user(spark, sf_dir):
+    return S.directory_count(_session(spark, sf_dir, "7"))
+
+
 # --------------------------------------------------------------- quality
 
 

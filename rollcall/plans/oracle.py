@@ -528,3 +528,32 @@ FROM ({_form_check_sql(_SIGNUP_RULES)}) s WHERE valid""",
         "profile_sink": ORACLE["backfill_avatar"],
     }
 )
+
+# the same questions over other storage: index, layout, buckets, policy view
+_ROW = "SELECT id, username, role, created_at, last_login FROM users"
+ORACLE.update(
+    {
+        "search_indexed": search_sql("username ILIKE '%00123%'"),
+        "search_indexed_wildcard": search_sql("username ILIKE '%ER#0%12_%'", "username ASC NULLS LAST"),
+        "clustered_range": with_views(f"{_ROW} WHERE {_DAY_RANGE.format(a='1993-01-01', b='1995-06-30')}", "users"),
+        "clustered_profile": ORACLE["profile_by_id"],
+        "profile_by_bloom": ORACLE["profile_by_id"],
+        "bucketed_backfill": ORACLE["backfill_missing_profiles"],
+        "bucketed_cascade_delete": ORACLE["cascade_delete"],
+        "bucketed_login_touch": with_ctes(
+            """SELECT s.id, s.username, s.role, s.created_at, greatest(s.last_login, t.touch) AS last_login, s.avatar_url
+FROM users s LEFT JOIN t ON t.id = s.id""",
+            ("users", "auth_events"),
+            ("t AS (SELECT id, max(ts) AS touch FROM auth_events WHERE event = 'SIGNED_IN' GROUP BY id)",),
+        ),
+        "change_roles_returning": with_ctes(
+            """SELECT o.request_id, u.id, u.username, o.new_role AS role, u.created_at, u.last_login, u.avatar_url
+FROM outcomes o JOIN users u ON u.id = o.target_id WHERE o.status = 'applied'""",
+            ("users", "role_requests"),
+            (f"outcomes AS ({_OUTCOMES})",),
+        ),
+        "policy_search_user": with_views(f"{_ROW} WHERE id = '7'", "users"),
+        "policy_search_admin": with_views(f"{_ROW} WHERE username ILIKE '%team%'", "users"),
+        "policy_count_user": with_views("SELECT count(*) AS total_users FROM users WHERE id = '7'", "users"),
+    }
+)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcall.sources.tables import missing_path
+from rollcall.sources.zorder import clustered
 
 COMMITS = "commits"
 
@@ -52,21 +53,31 @@ def current_version(spark: SparkSession, root: str) -> int | None:
         raise
 
 
-def write_snapshot(df: DataFrame, root: str, cluster_by: str | None = None) -> int:
+def write_snapshot(
+    df: DataFrame, root: str, cluster_by: str | tuple[str, str] | None = None, bloom: tuple[str, ...] = ()
+) -> int:
     """Write ``df`` as the next version and commit it; returns the version.
 
     ``cluster_by`` (e.g. ``"id"``) range-partitions and sorts the version by
     that column, so each file and row group covers a narrow key range and a
-    key lookup (O-13) skips the rest by their min/max statistics.
+    key lookup (O-13) skips the rest by their min/max statistics.  A pair of
+    columns (e.g. ``("created_at", "id")``) clusters by both (``zorder``).
+    ``bloom`` columns get Bloom filters, by which an equality on a column that
+    is not clustered skips row groups.
     """
     spark = df.sparkSession
     latest = current_version(spark, root)
     version = 0 if latest is None else latest + 1
-    if cluster_by:
+    if isinstance(cluster_by, tuple):
+        df = clustered(df, *cluster_by)
+    elif cluster_by:
         df = df.repartitionByRange(cluster_by).sortWithinPartitions(cluster_by)
     while True:
         try:
-            df.write.mode("errorifexists").parquet(version_path(root, version))
+            writer = df.write.mode("errorifexists")
+            for column in bloom:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+            writer.parquet(version_path(root, version))
             break
         except AnalysisException as exc:
             if exc.getCondition() != "PATH_ALREADY_EXISTS":
