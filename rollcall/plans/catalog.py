@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.identity import add_base_username, signup_email
 from rollcall.operators import access as A
+from rollcall.operators import constraints as N
 from rollcall.operators import identity as I
 from rollcall.operators import quality as Q
 from rollcall.operators import search as S
@@ -424,6 +425,17 @@ def q_constraint_report(spark, sf_dir):
     return Q.constraint_report(directory, kept)
 
 
+@register("constraint_report_incremental")
+def q_constraint_report_incremental(spark, sf_dir):
+    """O-31 by change sets: rows that break every rule arrive, then identities go."""
+    users, identities = stored_users(spark, V.users(spark, sf_dir)), V.auth_users(spark, sf_dir)
+    log = N.ConstraintLog(spark, table_root(spark, "constraints"))
+    log.start(users, identities)
+    log.apply(1, added=V.breaking_rows(users))
+    log.apply(2, identities_removed=identities.where(F.col("id").cast("long") % 11 == 0))
+    return log.report(2)
+
+
 # --------------------------------------------------------------- session
 
 

@@ -529,6 +529,12 @@ FROM ({_form_check_sql(_SIGNUP_RULES)}) s WHERE valid""",
     }
 )
 
+_report = ORACLE["constraint_report"]
+_split = _report.index("SELECT 'id_not_null' AS rule")
+ORACLE["constraint_report_incremental"] = (
+    f"{_report[:_split]} SELECT rule, key, count(*) AS violations FROM ({_report[_split:]}) GROUP BY rule, key"
+)
+
 # the same questions over other storage: index, layout, buckets, policy view
 _ROW = "SELECT id, username, role, created_at, last_login FROM users"
 ORACLE.update(

@@ -245,6 +245,11 @@ def shared_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def broken_directory(directory: DataFrame) -> DataFrame:
     """A directory with further rows that break each constraint of O-31."""
+    return directory.unionByName(breaking_rows(directory))
+
+
+def breaking_rows(directory: DataFrame) -> DataFrame:
+    """Rows that break each constraint of O-31 once they are added to the directory."""
     k, own = F.col("id").cast("long"), F.col("id")
     with_id = lambda c: F.concat(F.lit(c), own)
     none = F.lit(None).cast("string")
@@ -256,7 +261,8 @@ def broken_directory(directory: DataFrame) -> DataFrame:
         (113, own, with_id("dup_"), "USER"),
         (127, with_id("w"), F.col("username"), "USER"),
     ]
-    out = directory
+    out = None
     for modulus, id_col, username, role in cases:
-        out = out.unionByName(_profiles(directory.where(k % modulus == 1), id_col, username, role))
+        rows = _profiles(directory.where(k % modulus == 1), id_col, username, role)
+        out = rows if out is None else out.unionByName(rows)
     return out
