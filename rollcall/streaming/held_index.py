@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FAN = 8
-BUCKETS = 256
+BUCKETS = 32  # more if micro-batches hold fewer names than there are buckets
 BASE = "base"
 
 
