@@ -25,6 +25,7 @@ from rollcall.operators import trigrams as G
 from rollcall.plans.positions import with_position
 from rollcall.session import durable, scratch_path
 from rollcall.sources import bucketed as B
+from rollcall.sources import delta as D
 from rollcall.sources import snapshots as SN
 from rollcall.sources import tables as T
 from rollcall.sources import views as V
@@ -478,6 +479,21 @@ def q_session_state_stream(spark, sf_dir):
     return SS.session_state(J.read_session_latest(spark, out), users_existing(spark, sf_dir))
 
 
+@register("session_attached_stream")
+def q_session_attached_stream(spark, sf_dir):
+    """O-37 from two streams; the profiles of the users with k % 4 = 3 arrive first, those with 0 after all sign-ins."""
+    out, ckpt = _stream_dirs(spark, "attached")
+    events = V.auth_events(spark, sf_dir)
+    folders = zip(
+        _arriving(spark, events, F.pmod("event_id", F.lit(BATCHES)), "events"),
+        _arriving(spark, users_existing(spark, sf_dir), F.lit(BATCHES - 1) - F.pmod(F.col("id").cast("long"), F.lit(BATCHES)), "profiles"),
+    )
+    for event_folder, profile_folder in folders:
+        streams = J.file_stream(spark, event_folder, AUTH_EVENTS), J.file_stream(spark, profile_folder, USERS)
+        J.run_attached_stream(*streams, out, ckpt)
+    return J.read_attached(spark, out)
+
+
 @register("login_touch_stream")
 def q_login_touch_stream(spark, sf_dir):
     out, ckpt = _stream_dirs(spark, "login")
@@ -523,6 +539,21 @@ def q_signup_accounts(spark, sf_dir):
     return checked.select("form_id", "username", signup_email("username").alias("email"))
 
 
+@register("changed_snapshots")
+def q_changed_snapshots(spark, sf_dir):
+    """O-04 with O-30 and O-23: a batch of role changes, then a cascade delete, each rewriting its own buckets only."""
+    users = V.users(spark, sf_dir)
+    table = D.ChangedSnapshots(spark, table_root(spark, "changed"), USERS, buckets=BUCKETS)
+    table.write(users)
+    before = table.read()
+    outcomes = A.role_change_outcomes(V.role_requests(spark, sf_dir), before.select("id", "role"))
+    last = outcomes.where("status = 'applied'").groupBy("target_id").agg(F.max("request_id").alias("request_id"))
+    rows = A.changed_rows(outcomes.join(last, ["target_id", "request_id"], "left_semi"), before)
+    table.apply(changed=rows.drop("request_id"))
+    table.apply(deleted=before.where(F.col("id").cast("long") % 11 == 0).select("id"))
+    return table.read()
+
+
 @register("profile_sink")
 def q_profile_sink(spark, sf_dir):
     """O-04 / O-05: a snapshot written before the avatar column existed, read

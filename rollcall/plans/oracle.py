@@ -471,6 +471,7 @@ UNION ALL SELECT 'identity_exists', id FROM broken u
 
 # streaming jobs must agree with their batch counterparts
 ORACLE["session_state_stream"] = ORACLE["session_state"]
+ORACLE["session_attached_stream"] = ORACLE["session_state"]
 ORACLE["login_touch_stream"] = ORACLE["login_touch"]
 
 
@@ -563,3 +564,4 @@ FROM outcomes o JOIN users u ON u.id = o.target_id WHERE o.status = 'applied'"""
         "policy_count_user": with_views("SELECT count(*) AS total_users FROM users WHERE id = '7'", "users"),
     }
 )
+ORACLE["changed_snapshots"] = f"SELECT * FROM ({ORACLE['change_roles_snapshot']}) WHERE CAST(id AS BIGINT) % 11 <> 0"

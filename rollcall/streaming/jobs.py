@@ -26,12 +26,19 @@ from rollcall.session import staged_area
 from rollcall.sources import schemas as S
 from rollcall.sources.tables import missing_path
 from rollcall.streaming.held_index import BUCKETS, HeldIndex
-from rollcall.streaming.session_state import SIGNED_IN, latest_events, merge_latest
+from rollcall.streaming.session_state import SIGNED_IN, attached, latest_events, latest_of_both, merge_latest, tagged
 
 BATCH_COL = "batch_id"
 
 LATEST = T.StructType([S.AUTH_EVENTS[c] for c in ("id", "event", "ts", "event_id")])
 REJECTS = T.StructType([S.AUTH_USERS["id"], *(T.StructField(c, T.StringType(), True) for c in ("username", "reason"))])
+_SESSION = T.StructType([S.AUTH_EVENTS[c] for c in ("event", "ts", "event_id")])
+_PROFILE = T.StructType(
+    [S.USERS["created_at"], T.StructField("row", T.StructType([S.USERS[c] for c in ("username", "role")]), True)]
+)
+ATTACHED = T.StructType(
+    [S.AUTH_EVENTS["id"], T.StructField("session", _SESSION, True), T.StructField("profile", _PROFILE, True)]
+)
 TOUCHES = T.StructType([S.AUTH_EVENTS["id"], T.StructField("_touch", T.TimestampNTZType(), True)])
 
 
@@ -134,6 +141,22 @@ def read_session_latest(spark: SparkSession, out: str) -> DataFrame:
     return merge_latest(read_batches(spark, out, LATEST))
 
 
+def run_attached_stream(events: DataFrame, profiles: DataFrame, out: str, checkpoint: str, trigger: dict | None = None):
+    """O-37 with the profile attached inside the stream, whichever of the two arrives first.
+
+    Both streams feed one state row per user (latest event, latest profile), so a
+    profile that arrives after the sign-in updates the user's row and clears its error.
+    A stream-stream outer join would hold the sign-in back until a watermark
+    passes and lose later profiles; here nothing is late.
+    """
+    return _run(latest_of_both(tagged(events, profiles)), out, checkpoint, "update", trigger=trigger)
+
+
+def read_attached(spark: SparkSession, out: str) -> DataFrame:
+    """The session state after all batches."""
+    return attached(latest_of_both(read_batches(spark, out, ATTACHED)))
+
+
 # ----------------------------------------------------------------- O-36
 
 

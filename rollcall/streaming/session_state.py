@@ -40,6 +40,32 @@ def merge_latest(partials: DataFrame) -> DataFrame:
     return latest_events(partials.select("id", "event", "ts", "event_id"))
 
 
+def tagged(events: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Session events and profile rows in one table: who, the event with its order, the profile with its order."""
+    session = F.struct("event", "ts", "event_id")
+    wanted = F.col("event").isin(SIGNED_IN, SIGNED_OUT) & F.col("id").isNotNull()
+    said = events.where(wanted).select("id", session.alias("session"))
+    row = F.struct("username", "role")
+    known = profiles.where("id is not null").select("id", F.struct("created_at", row.alias("row")).alias("profile"))
+    return said.unionByName(known, allowMissingColumns=True)
+
+
+def latest_of_both(both: DataFrame) -> DataFrame:
+    """(id, session, profile): the latest event and the latest profile row of each user; associative like ``latest_events``."""
+    order = F.struct("session.ts", "session.event_id")
+    return both.groupBy("id").agg(
+        F.max_by("session", F.when(F.col("session").isNotNull(), order)).alias("session"),
+        F.max("profile").alias("profile"),
+    )
+
+
+def attached(latest: DataFrame) -> DataFrame:
+    """``session_state`` from ``latest_of_both``: one row per user with a session event."""
+    events = latest.where("session is not null").select("id", "session.*")
+    profiles = latest.where("profile is not null").select("id", "profile.row.username", "profile.row.role")
+    return session_state(events, profiles)
+
+
 def session_state(latest: DataFrame, users: DataFrame) -> DataFrame:
     """One row per user with a session event: signed_in, profile fields, error, landing page."""
     profiles = users.select("id", "username", "role")
