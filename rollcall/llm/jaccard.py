@@ -451,7 +451,10 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, t: Fraction = SIMIL
 
 
 def one_of_each_group(docs: DataFrame, size: int = SHINGLE, t: Fraction = SIMILARITY) -> DataFrame:
-    """``docs`` with only the smallest doc_id of each component; empty texts and null ids stay."""
+    """``docs`` with only the smallest doc_id of each component; empty texts and null ids stay.
+
+    Documents go by their id: rows that repeat under a kept id all stay, rows under a dropped id all go.
+    """
     found = JaccardJoin(docs, size, t).result(count=False)
     gone = durable(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -112,7 +112,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: ``docs`` with each row as often as taken, the row at a cut shortened.
 
     Copies are whole texts; the shortened text keeps its first words and the
-    white space between them.  Rows without words are in no mix.
+    white space between them.  Rows without words are in no mix.  Of rows equal in
+    doc_id, text and source one stands for all; if their other columns differ, any of them does.
     """
     plan = mix(docs, **options).where("taken > 0").select(
         F.coalesce("doc_id", F.lit(-1)).alias("__llm_id"),

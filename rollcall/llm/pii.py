@@ -3,15 +3,16 @@
 Method.  Fixed base rules find e-mail addresses, IPv4 addresses, card and
 phone numbers; what they accept is always redacted.  High-recall generators
 propose further, overlapping spans of the same kinds (spelled-out e-mail
-addresses, numbers with other separators or without a plus sign).  Every
+addresses, IP addresses with bracketed, spelled or spaced dots, numbers with other separators or
+without a plus sign) and of a fifth kind without base rule, secrets (long runs of letters and digits).  Every
 candidate becomes a row of format features (lengths, digits, separators,
 checksum, parts) and context features (neighbouring characters and hint words
 before it).  Histogram gradient-boosted trees are fitted on at most
 ``FIT_ROWS`` candidates.  Positive are base finds, and what the generators
 propose for the same finds rewritten in their own context (``rewritten``:
-spelled out, without the plus, with other separators).  Negative are
-candidates that fail a check (checksum, part above 255, number of digits, end
-of a domain) and phone-like digit runs without a hint word; further candidates, and those that
+spelled out, without the plus, with other separators), and secrets given to a
+named key (``token = ...``).  Negative are candidates that fail a check (checksum, part above 255, number of digits, end
+of a domain), phone-like digit runs without a hint word and long runs that no key names; further candidates, and those that
 overlap a base find, are not learned from.  A threshold per kind is calibrated
 on a held-out fifth of the generators' candidates so that at least
 ``PRECISION`` of what reaches it is positive; candidates that reach it and
@@ -43,7 +44,9 @@ from rollcall.llm.labelled import matrix
 from rollcall.llm.rows import small_batches
 from rollcall.llm.trees import Forest, fit
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+SECRET = 4
 FIT_ROWS = 20_000
 PRECISION = 0.99
 CONTEXT = 24
@@ -59,16 +62,22 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 
 # Candidate generators beyond the base patterns
 _SPELLED = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s?[\[({<]\s?at\s?[\])}>]\s?[A-Za-z0-9-]{1,63}"
-    r"(?:(?:\.|\s?[\[({<]\s?dot\s?[\])}>]\s?)[A-Za-z0-9-]{1,63}){1,4}",
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+\s?[\[({<]\s?at\s?[\])}>]\s?[A-Za-z0-9-]+"
+    r"(?:(?:\.|\s?[\[({<]\s?dot\s?[\])}>]\s?)[A-Za-z0-9-]+)+",
     re.IGNORECASE,
 )
+_DOTTED = re.compile(
+    r"(?<![0-9.])[0-9]{1,3}(?:(?:\s?[\[({<]\s?(?:\.|dot)\s?[\])}>]\s?|\s\.\s?|\.\s|\sdot\s)[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE
+)
+_RUN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}={0,2}")
+_NAMED = re.compile(r"""[=:]\s?["']?\Z""")
 _DIGITS = re.compile(r"(?<![0-9A-Za-z])\(?[0-9][0-9 ().\-/]{6,30}[0-9](?![0-9A-Za-z])")
 _HINTS = {
     "email": ("mail", "contact", "write"),
     "ip": ("ip", "host", "server", "addr"),
     "card": ("card", "visa", "credit", "pay"),
     "phone": ("tel", "phone", "call", "fax", "mobile"),
+    "secret": ("token", "secret", "passw", "key", "auth", "credential"),
 }
 
 
@@ -136,6 +145,11 @@ def generated(text: str) -> list[Span]:
     out = []
     if "at" in text or "AT" in text or "At" in text:
         out += [Span(0, *m.span()) for m in _SPELLED.finditer(text)]
+    out += [Span(1, *m.span()) for m in _DOTTED.finditer(text)]
+    for m in _RUN.finditer(text):
+        run = m.group()
+        if any("0" <= c <= "9" for c in run) and any(c.isalpha() for c in run):
+            out.append(Span(SECRET, *m.span()))
     for m in _DIGITS.finditer(text):
         n = len(digits_of(m.group()))
         if 9 <= n <= 15:
@@ -174,6 +188,9 @@ def features(text: str, span: Span) -> list[float]:
         float(nxt.isalnum()),
         float(prev in ("=", '"', "'", "/")),
         float(prev in ("", " ", "\n")),
+        float(bool(_NAMED.search(before))),
+        sum(c.isupper() for c in inside),
+        sum(c in "abcdefABCDEF" for c in inside),
         *(float(any(h in before for h in _HINTS[k])) for k in KINDS),
     ]
 
@@ -185,6 +202,8 @@ def rewritten(text: str, span: Span) -> list[str]:
         local, _, domain = inside.partition("@")
         spelled = domain.replace(".", " [dot] ")
         return [f"{local} [at] {spelled}", f"{local}(at){domain}", f"{local} (at) {domain.replace('.', ' (dot) ')}"]
+    if span.kind == 1:
+        return [inside.replace(".", dot) for dot in ("[.]", " [dot] ", " . ", "(dot)", " dot ")]
     if span.kind == 2:
         groups = re.findall("[0-9]+", inside)
         if len(groups) == 1:
@@ -207,13 +226,23 @@ def _rewritten_spans(text: str, span: Span) -> Iterator[tuple[str, Span]]:
                 yield changed, other
 
 
+def _names_secret(text: str, span: Span) -> bool:
+    """Whether the text gives the run to a key that is called a secret."""
+    before = text[max(0, span.start - CONTEXT) : span.start].lower()
+    return bool(_NAMED.search(before)) and any(h in before for h in _HINTS["secret"])
+
+
 def _fails(text: str, span: Span) -> bool:
     """Whether a generated candidate is surely none of its kind."""
     inside = text[span.start : span.end]
     if span.kind == 0:
         return re.search(r"[A-Za-z]{2,}\Z", inside) is None
+    if span.kind == 1:
+        return not all(_octet(g) for g in re.findall("[0-9]+", inside))
     if span.kind == 2:
         return not luhn(digits_of(inside))
+    if span.kind == SECRET:
+        return not _names_secret(text, span)
     before = text[max(0, span.start - CONTEXT) : span.start].lower()
     return not any(h in before for h in _HINTS[KINDS[span.kind]])
 
@@ -241,8 +270,12 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for changed, other in _rewritten_spans(text, span):
                         add(changed, other, True, True)
             for span in generated(text):
-                if not _overlaps(taken, reach, span) and _fails(text, span):
+                if _overlaps(taken, reach, span):
+                    continue
+                if _fails(text, span):
                     add(text, span, False, True)
+                elif span.kind == SECRET:
+                    add(text, span, True, True)
         if labels:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(labels, pa.int32()), pa.array(made, pa.bool_()), pa.array(rows, pa.list_(pa.float64()))],
@@ -265,7 +298,7 @@ def fit_pii(docs: DataFrame, most: int = FIT_ROWS, precision: float = PRECISION)
     """Trees and thresholds from at most ``most`` candidates, taken from documents in hash order."""
     small_batches(docs.sparkSession)
     # a document gives one candidate or more, so this many documents are enough and bound the work
-    hinted = docs.where(F.col("text").rlike("[0-9]{3}|@")).select("doc_id", "text")
+    hinted = docs.where(F.col("text").rlike("[0-9]{3}|@|[0-9][.][0-9]")).select("doc_id", "text")
     ids = hinted.select("doc_id", F.xxhash64("text").alias("mark")).orderBy(F.xxhash64("doc_id", "mark"), "doc_id").limit(most)
     rows = hinted.withColumn("mark", F.xxhash64("text")).join(F.broadcast(ids.distinct()), ["doc_id", "mark"])
     got = rows.select("text").mapInArrow(_examples, "label int, made boolean, x array<double>")

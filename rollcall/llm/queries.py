@@ -94,9 +94,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id",
-        *[of(kind) for kind in pii.KINDS],
+        *[of(kind) for kind in pii.BASE_KINDS],
         F.sha2(joined("base"), 256).alias("base_sha256"),
         joined("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
