@@ -253,7 +253,8 @@ class SubstringDedup:
         room = (1 << 63) - 2 - max(docs.agg(F.max("doc_id")).first()[0] or 0, 0)
         if room < 1:
             return F.lit((1 << 63) - 1)
-        return F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(F.lit(9), "text"), F.lit(room))
+        # never null, or the inner join would filter its side and have an exchange of the texts for itself
+        return F.coalesce(F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(F.lit(9), "text"), F.lit(room)), F.lit((1 << 63) - 1))
 
     def _with_places(self, places: DataFrame, how: str) -> DataFrame:
         # a place tells its text, so versions of one id do not get each other's places

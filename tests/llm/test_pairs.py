@@ -302,7 +302,7 @@ def test_texts_without_id_do_not_share_places(spark):
     """Rows without id, and versions of one id, are documents apart in the joins."""
     rng = random.Random(8)
     passage = prose(rng, 30)
-    rows = [(None if i % 2 else 7, f"{prose(rng, 25)} {passage} x{i}", "en", "a") for i in range(60)]
+    rows = [(None if i % 2 else 7, f"{prose(rng, 25)} y{i} {passage} x{i}", "en", "a") for i in range(60)]
     job = substring.SubstringDedup(as_docs(spark, rows))
     places = job._with_places(job.later_starts(), "left").selectExpr("coalesce(size(places), 0) n").collect()
     assert sorted(r["n"] for r in places)[1:] == [11] * 59  # each its own eleven starts
@@ -310,3 +310,16 @@ def test_texts_without_id_do_not_share_places(spark):
     assert sorted(r["n_removed"] for r in got)[1:] == [30] * 59
     top = as_docs(spark, [(2**63 - 1, passage, "en", "a"), (None, passage + " y", "en", "a"), (1, "z", "en", "a")])
     assert sorted(r["n_removed"] for r in substring.remove_repeats(top).collect()) == [0, 0, 30]
+
+
+def test_texts_are_shuffled_once(spark):
+    """The levels and the removal share one exchange of the texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = substring.remove_repeats(docs)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ReusedExchange" in plan.split("== Initial")[0]
