@@ -29,6 +29,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def give_back_memory() -> None:
+    """Gives what the allocators of a Python worker keep back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def tidy(work):
     """A ``mapInArrow`` function that gives its memory back to the system when its partition ends.
 
@@ -37,19 +51,10 @@ def tidy(work):
     """
 
     def run(batches):
-        import ctypes
-        import gc
-
-        import pyarrow as pa
-
         try:
             yield from work(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-            if trim:
-                trim(0)
+            give_back_memory()
 
     return run
 
