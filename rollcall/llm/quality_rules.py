@@ -39,9 +39,11 @@ MAX_REPEAT_PERCENT = 30
 
 
 def _windows(hashes: Column, size: int) -> Column:
-    starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(1), F.size(hashes) - size + 1))
+    starts = F.when(F.size(hashes) >= size, F.slice(hashes, F.lit(1), F.size(hashes) - size + 1))
+    # the hash of the elements one by one is that of their array, which need not be made
     return F.transform(
-        F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice(hashes, i, F.lit(size)))
+        F.coalesce(starts, F.array().cast("array<bigint>")),
+        lambda h, i: F.xxhash64(h, *[F.get(hashes, i + step) for step in range(1, size)]),
     )
 
 

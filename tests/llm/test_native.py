@@ -1,6 +1,7 @@
 """Quality rules, mixing and decontamination against plain-Python models."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -151,3 +152,16 @@ def test_contamination_in_blocks(spark, odd_rows, odd_docs):
     windows = decontaminate.test_windows(bench)
     one = decontaminate.window_hits(odd_docs, windows).collect()
     assert sorted(decontaminate.window_hits(odd_docs, windows, block=7).collect()) == sorted(one)
+
+
+def test_windows_are_hashed_without_making_their_arrays(spark):
+    rows = [([random.Random(n).randrange(-(2**63), 2**63) for _ in range(n)],) for n in (0, 1, 7, 8, 9, 30)]
+    hashes = spark.createDataFrame([*rows, ([],)], "h array<bigint>")
+    for size in (2, 8):
+        made = hashes.select("h", quality_rules._windows(F.col("h"), size).alias("got"))
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambdafunction(xxhash64(slice" not in plan
+        each = made.select("got", F.posexplode_outer("h").alias("i", "x"), "h").where(f"i + {size} <= size(h)")
+        for r in each.select(F.expr(f"got[i] = xxhash64(slice(h, i + 1, {size}))").alias("same")).collect():
+            assert r["same"]
+        assert made.where(f"size(got) != greatest(size(h) - {size} + 1, 0)").count() == 0
