@@ -125,7 +125,7 @@ def test_long_or_repeated_texts_do_not_use_up_the_word_budget(spark, monkeypatch
     assert all(toxic[i] == (i % 2 == 1) for i in range(200))
 
 
-def test_toxicity_learns_and_calibrates_on_all_labelled_rows(spark):
+def test_toxicity_learns_and_calibrates_on_all_labelled_rows(spark, monkeypatch):
     """160 bad words in ten documents each, which 100 toxic documents cannot show, and a language with 400."""
     rng = random.Random(2)
     bad = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(160)]
@@ -138,6 +138,7 @@ def test_toxicity_learns_and_calibrates_on_all_labelled_rows(spark):
     asked = as_docs(spark, [(i, f"some {word} words here", "en", "a") for i, word in enumerate(bad)])
     found = [r["toxic"] for r in toxicity.score_toxicity(asked, model).collect()]
     assert sum(found) > 150
+    monkeypatch.setattr(toxicity, "LABEL_BROADCAST", 0)  # joined by shuffle
     other = toxicity.fit_toxicity(docs.repartition(7), labels.repartition(3), F.lit(True), most=200)
     assert other.thresholds == model.thresholds and (other.net.table == model.net.table).all()
 
